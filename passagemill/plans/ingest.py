@@ -98,6 +98,8 @@ def run_ingest(
     """
     started = now or datetime.now(timezone.utc)
     current = store.manifest()
+    if run_id in current.run_logs:
+        return current  # already published; a repeated trigger changes nothing
     stored = store.documents(current)
     # Paths and hashes only; the texts of unchanged documents are not moved.
     changes = persist_table(changes if changes is not None else C.classify_changes(corpus, stored, force), "changes")

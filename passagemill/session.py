@@ -46,9 +46,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    local = os.path.join(tempfile.gettempdir(), "passagemill-scratch")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return os.path.join(tempfile.gettempdir(), "passagemill-scratch")
 
 
 def persist_table(df: DataFrame, name: str) -> DataFrame:
