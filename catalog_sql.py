@@ -149,10 +149,11 @@ def suppressed(limit: int | None = None, questions: str = "") -> str:
     """Keep-first suppression in rank order: CTE ``sources`` with ``source_no``."""
     bound = f"WHERE pos <= {limit}" if limit else ""
     return f"""worded AS (SELECT query_id, pos, chunk_id, {DISTINCT_WORDS.format("content")} AS words FROM passages {bound} {questions}),
+word_items AS (SELECT query_id, pos, len(words) AS n, unnest(words) AS word FROM worded),
 repeats AS (
-  SELECT a.query_id, a.pos AS earlier, b.pos AS later FROM worded a JOIN worded b ON a.query_id = b.query_id AND a.pos < b.pos
-  WHERE len(a.words) > 0 AND len(b.words) > 0
-    AND len(list_intersect(a.words, b.words)) / least(len(a.words), len(b.words))::DOUBLE >= {K.DUPLICATE_OVERLAP}),
+  SELECT a.query_id, a.pos AS earlier, b.pos AS later FROM word_items a
+  JOIN word_items b ON a.query_id = b.query_id AND a.word = b.word AND a.pos < b.pos
+  GROUP BY a.query_id, a.pos, b.pos, a.n, b.n HAVING count(*) / least(a.n, b.n)::DOUBLE >= {K.DUPLICATE_OVERLAP}),
 keeping AS (
   SELECT query_id, 0::BIGINT AS pos, []::BIGINT[] AS kept FROM (SELECT DISTINCT query_id FROM worded)
   UNION ALL
@@ -579,7 +580,7 @@ ORACLE["active_sessions"] = """
 SELECT c_custkey AS user_id, c_name AS email, c_mktsegment AS role, EXISTS (
   SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'F' AND o_orderdate > TIMESTAMP '1999-01-01') AS has_active_session
 FROM customer WHERE c_name ILIKE '%#0000%' AND c_mktsegment = 'MACHINERY'"""
-LIMITED = """calls AS (SELECT user_id AS caller, epoch_ms(ts) AS ts_ms, event_id FROM events),
+LIMITED = """calls AS (SELECT user_id AS caller, epoch_us(ts) // 1000 AS ts_ms, event_id FROM events),
 openings AS (
   SELECT caller, min(ts_ms) AS opened FROM calls GROUP BY caller
   UNION ALL

@@ -67,7 +67,7 @@ def heading_lines(lines: list[str]) -> Iterator[tuple[int, int, str]]:
 
 def read_sections(body: str) -> tuple[str | None, list[tuple[list[str], str]]]:
     """The title and the non-empty stretches between headings with their ancestor headings."""
-    lines = re.split(r"\r?\n", body)
+    lines = body.replace("\r\n", "\n").split("\n")
     title: str | None = None
     marks: list[tuple[int, list[str]]] = [(-1, [])]
     above: dict[int, str] = {}
@@ -157,13 +157,17 @@ def chunk_pieces(
 
 
 def sections_column(body: Column) -> Column:
-    @F.pandas_udf(SECTION_TYPE)
     def kernel(bodies: pd.Series) -> pd.DataFrame:
         parsed = [read_sections(body or "") for body in bodies]
         rows = [[{"heading_path": path, "content": content} for path, content in found] for _, found in parsed]
         return pd.DataFrame({"title": [title for title, _ in parsed], "sections": rows})
 
-    return kernel(body)
+    return evaluated_once(kernel, SECTION_TYPE)(body)
+
+
+def evaluated_once(kernel: Callable, result: str) -> Callable[..., Column]:
+    """A vectorised function that Catalyst must not copy, as it would into a filter before an explode."""
+    return F.pandas_udf(kernel, result).asNondeterministic()
 
 
 def chunks_column(
@@ -189,9 +193,8 @@ def chunks_column(
             for ordinal, piece in enumerate(pieces)
         ]
 
-    @F.pandas_udf(CHUNK_TYPE)
     def kernel(bodies: pd.Series, subjects: pd.Series, tag_lists: pd.Series) -> pd.DataFrame:
         rows = [chunk_one(*row) for row in zip(bodies, subjects, tag_lists)]
         return pd.DataFrame(rows, columns=["title", "error", "chunks"])
 
-    return kernel(body, subject, tags)
+    return evaluated_once(kernel, CHUNK_TYPE)(body, subject, tags)

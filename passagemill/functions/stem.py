@@ -114,11 +114,10 @@ def english_stem(word: str) -> str:
 def english(terms: Column) -> Column:
     """Stems of an array of terms, one Arrow batch at a time."""
 
-    @F.pandas_udf("array<string>")
     def kernel(lists: pd.Series) -> pd.Series:
         return lists.map(lambda words: [english_stem(word) for word in words])
 
-    return kernel(terms)
+    return F.pandas_udf(kernel, "array<string>").asNondeterministic()(terms)
 
 
 def identity(terms: Column) -> Column:

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from passagemill.functions import constants as K
 from passagemill.functions import text
 
+CITATIONS = (
+    "array<struct<marker: int, source_index: int, chunk_id: string, document_id: string, document_title: string, "
+    "source_path: string, breadcrumb: string>>"
+)
+
 
 def minimum_fused_score(k: int = K.RRF_K, candidates: int = K.CANDIDATES) -> float:
     """First in one arm and last candidate of the other: both arms agree on some passage."""
@@ -153,10 +158,7 @@ def validate_citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
                     entry["source"]["source_path"].alias("source_path"), entry["source"]["breadcrumb"].alias("breadcrumb"),
                 ),
             ),
-            F.array().cast(
-                "array<struct<marker: int, source_index: int, chunk_id: string, document_id: string, "
-                "document_title: string, source_path: string, breadcrumb: string>>"
-            ),
+            F.array().cast(CITATIONS),
         ).alias("citations"),
         "dropped_markers",
         F.when(F.size("dropped_markers") > 0, F.regexp_replace(tidy, r"\s+$", "")).otherwise(F.col("answer")).alias("text"),

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import constants as K
 from passagemill.functions import text
 
+WORD = re.compile("[a-z0-9]+")
+
 
 @dataclass(frozen=True)
 class Provider:
@@ -28,34 +31,32 @@ class Provider:
 
 
 def token_weights(df: DataFrame, key: str, column: str, dimensions: int) -> DataFrame:
-    """Sparse hashed words ``(key, dimension, weight)``; integer weights, so sums are exact."""
-    tokens = df.select(key, F.explode(text.embedding_tokens(F.col(column))).alias("token"))
-    counted = tokens.groupBy(key, "token").agg(F.count("*").alias("n"))
-    hashed = counted.withColumn("hash", text.hash_token(F.col("token")))
-    sign = F.when(F.shiftright("hash", 16) % 2 == 0, F.col("n")).otherwise(-F.col("n"))
-    return hashed.groupBy(key, (F.col("hash") % dimensions).cast("int").alias("dimension")).agg(
-        F.sum(sign).alias("weight")
-    )
+    """Hashed words per key and dimension, zeros included; integer weights, so sums are exact.
 
+    A text is one row, so the map-side sum already leaves one row per dimension.
+    """
 
-def hash_embedding(df: DataFrame, key: str, column: str, dimensions: int) -> DataFrame:
-    """Unit vector ``embedding`` of hashed words per key; a text without words has the zero vector.
+    def hashed(token: Column) -> Column:
+        code = text.hash_token(token)
+        sign = F.when(F.shiftright(code, 16) % 2 == 0, 1).otherwise(-1)
+        return F.struct((code % dimensions).cast("int").alias("dimension"), sign.alias("weight"))
 
-    ``key`` is unique. Rows are spread by it once; the later groupings reuse that layout.
-    """
-    spread = df.select(key, column).repartition(key)
-    entry = F.when(F.col("dimension").isNotNull(), F.struct("dimension", F.col("weight").cast("double").alias("weight")))
-    sparse = (
-        spread.select(key)
-        .join(token_weights(spread, key, column, dimensions), key, "left")
-        .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(entry)).alias("weights"))
-    )
-    dense = F.transform(
+    zeros = F.transform(
         F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda place: F.coalesce(F.try_element_at("weights", place), F.lit(0.0)),
+        lambda place: F.struct(place.alias("dimension"), F.lit(0).alias("weight")),
     )
-    return sparse.select(key, text.normalise(dense).alias("embedding"))
+    words = F.transform(text.embedding_tokens(F.coalesce(F.col(column), F.lit(""))), hashed)
+    entries = df.select(key, F.explode(F.concat(words, zeros)).alias("entry")).select(key, "entry.*")
+    return entries.groupBy(key, "dimension").agg(F.sum("weight").cast("double").alias("weight"))
+
+
+def hash_embedding(df: DataFrame, key: str, column: str, dimensions: int) -> DataFrame:
+    """Unit vector ``embedding`` of hashed words per unique key; a text without words has the zero vector."""
+    ordered = F.array_sort(F.collect_list(F.struct("dimension", "weight")))
+    dense = token_weights(df, key, column, dimensions).groupBy(key).agg(
+        F.transform(ordered, lambda entry: entry["weight"]).alias("embedding")
+    )
+    return dense.withColumn("embedding", text.normalise(F.col("embedding")))
 
 
 def hash_provider(dimensions: int) -> Provider:
@@ -65,7 +66,7 @@ def hash_provider(dimensions: int) -> Provider:
         known: dict[str, tuple[int, int]] = {}
         vectors = np.zeros((len(texts), dimensions))
         for row, value in zip(vectors, texts):
-            for token in ascii_words(value):
+            for token in WORD.findall(value.lower()):
                 if token not in known:
                     state = K.FNV_OFFSET
                     for code in token.encode():
@@ -79,11 +80,6 @@ def hash_provider(dimensions: int) -> Provider:
     return Provider(embed, dimensions)
 
 
-def ascii_words(value: str) -> list[str]:
-    lowered = value.lower()
-    return "".join(c if c.isascii() and c.isalnum() else " " for c in lowered).split()
-
-
 def request_ranges(sizes: list[int], provider: Provider) -> Iterator[tuple[int, int]]:
     """Greedy requests within the token and count caps, in input order."""
     start, total = 0, 0
@@ -97,23 +93,25 @@ def request_ranges(sizes: list[int], provider: Provider) -> Iterator[tuple[int,
 
 
 def embed_with_provider(df: DataFrame, column: str, provider: Provider, token_count: str = "token_count") -> DataFrame:
-    """Adds ``embedding``. Oversize texts get none; quarantine them first to report them."""
-    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    """Adds ``embedding``. Oversize texts get none; quarantine them first to report them.
 
-    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fits = np.flatnonzero((batch[token_count] <= provider.max_input_tokens).to_numpy())
-            texts = [batch[column].iat[place] for place in fits]
-            vectors: list[list[float] | None] = [None] * len(batch)
-            for start, end in request_ranges([int(batch[token_count].iat[place]) for place in fits], provider):
-                made = provider.embed(texts[start:end])
+    Only texts and their sizes travel to Python.
+    """
+
+    def embed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, sizes in batches:
+            fits = np.flatnonzero((sizes <= provider.max_input_tokens).to_numpy())
+            vectors: list[list[float] | None] = [None] * len(texts)
+            for start, end in request_ranges([int(sizes.iat[place]) for place in fits], provider):
+                made = provider.embed([texts.iat[place] for place in fits[start:end]])
                 if len(made) != end - start:
                     raise ValueError(f"provider returned {len(made)} vectors for {end - start} inputs")
                 for place, vector in zip(fits[start:end], made):
                     vectors[place] = vector
-            yield batch.assign(embedding=vectors)
+            yield pd.Series(vectors)
 
-    return df.mapInPandas(embed, schema)
+    kernel = F.pandas_udf(embed, "array<double>", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+    return df.withColumn("embedding", kernel(F.col(column), F.col(token_count)))
 
 
 def token_budget_batches(df: DataFrame, key: str, token_count: str, provider: Provider) -> DataFrame:

@@ -18,10 +18,12 @@ def build_postings(chunks: DataFrame, stemmer: Stemmer = stem.identity) -> DataF
     """Inverted index of ``breadcrumb || ' ' || content``.
 
     ``weight`` is the lexeme's part of the rank: 0.1 times the sum of 1/j^2 over its occurrences.
-    Counting happens per chunk, so a lexeme found everywhere is no hot key.
+    Chunks are spread by id once and counted in place, so neither postings nor a lexeme found
+    everywhere are shuffled.
     """
     searched = F.concat_ws(" ", "breadcrumb", "content")
-    terms = chunks.select(
+    spread = chunks.select("chunk_id", "document_id", "doc_type", "breadcrumb", "content").repartition("chunk_id")
+    terms = spread.select(
         "chunk_id", "document_id", "doc_type", F.explode(stemmer(text.lexemes(searched))).alias("lexeme")
     )
     counted = terms.groupBy("chunk_id", "document_id", "doc_type", "lexeme").agg(F.count("*").cast("int").alias("tf"))
@@ -32,8 +34,8 @@ def build_postings(chunks: DataFrame, stemmer: Stemmer = stem.identity) -> DataF
 
 
 def by_lexeme(postings: DataFrame) -> DataFrame:
-    """Layout for storage: sorted by lexeme, so a search skips the row groups of other terms."""
-    return postings.repartitionByRange("lexeme", "chunk_id").sortWithinPartitions("lexeme", "chunk_id")
+    """Layout for storage: equal lexemes lie together, and those of oversize groups are split."""
+    return postings.hint("rebalance", "lexeme").sortWithinPartitions("lexeme", "chunk_id")
 
 
 def split_questions(questions: DataFrame) -> DataFrame:

@@ -10,15 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import constants as K
-from passagemill.functions import text
 
 # Scores are compared after rounding, so equal vectors tie whatever the order of summation.
 SCORE_DIGITS = 9
@@ -225,45 +223,40 @@ def grid_topk(asked: DataFrame, offered: DataFrame, result: T.StructType, k: int
     return tagged.mapInArrow(scan, result)
 
 
-def fit_cells(chunks: DataFrame, cells: int, seed: int = 7):
-    """Centres of ``cells`` groups of unit vectors."""
-    points = chunks.where(F.col("embedding").isNotNull()).select(
-        array_to_vector(text.normalise(F.col("embedding"))).alias("features")
+def cell_centres(chunks: DataFrame, cells: int, chunk_key: str) -> np.ndarray:
+    """Unit vectors of ``cells`` chunks chosen by the hash of their id."""
+    norm = F.aggregate("embedding", F.lit(0.0), lambda total, value: total + value * value)
+    filled = chunks.where(F.col("embedding").isNotNull()).select(
+        F.xxhash64(chunk_key).alias("place"), F.col("embedding").cast("array<double>").alias("embedding")
     )
-    return KMeans(k=cells, seed=seed, maxIter=10, initSteps=2).fit(points)
+    chosen = filled.where(norm > 0).orderBy("place").limit(cells).toArrow()
+    centres = as_matrix(chosen.combine_chunks()["embedding"].combine_chunks())
+    return centres / np.linalg.norm(centres, axis=1, keepdims=True)
 
 
-def assign_cells(chunks: DataFrame, model) -> DataFrame:
+def near_cells(vectors: pd.Series, centres: np.ndarray, count: int) -> np.ndarray:
+    """The nearest centres of each vector, best first; ties go to the lower cell."""
+    matrix = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
+    scores = np.round(matrix @ centres.T, SCORE_DIGITS)
+    return np.argsort(-scores, axis=1, kind="stable")[:, :count]
+
+
+def assign_cells(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
     """Adds ``cell``; written partitioned by it, a search reads only probed cells."""
-    featured = chunks.where(F.col("embedding").isNotNull()).withColumn(
-        "features", array_to_vector(text.normalise(F.col("embedding")))
-    )
-    return model.setPredictionCol("cell").transform(featured).drop("features")
+    nearest = F.pandas_udf(lambda vectors: pd.Series(near_cells(vectors, centres, 1)[:, 0]), "int", F.PandasUDFType.SCALAR)
+    return chunks.where(F.col("embedding").isNotNull()).withColumn("cell", nearest("embedding"))
 
 
-def probe_cells(questions: DataFrame, model, probes: int) -> DataFrame:
+def probe_cells(questions: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     """Adds ``probes``: the cells whose centres are nearest to a question."""
-    centres = [[float(value) for value in centre] for centre in model.clusterCenters()]
-    vector = text.normalise(F.col("embedding"))
-    distances = F.array(
-        *[
-            F.struct(
-                F.aggregate(
-                    F.zip_with(vector, F.array(*[F.lit(value) for value in centre]), lambda a, b: (a - b) * (a - b)),
-                    F.lit(0.0),
-                    lambda total, value: total + value,
-                ).alias("distance"),
-                F.lit(cell).alias("cell"),
-            )
-            for cell, centre in enumerate(centres)
-        ]
+    nearest = F.pandas_udf(
+        lambda vectors: pd.Series(near_cells(vectors, centres, probes).tolist()), "array<int>", F.PandasUDFType.SCALAR
     )
-    nearest = F.slice(F.array_sort(distances), 1, probes)
-    return questions.withColumn("probes", F.transform(nearest, lambda entry: entry["cell"]))
+    return questions.where(F.col("embedding").isNotNull()).withColumn("probes", nearest("embedding"))
 
 
 def vector_topk_ann(
-    questions: DataFrame, chunks: DataFrame, dimensions: int, cells: int = 16, probes: int = 4, k: int = K.CANDIDATES,
+    questions: DataFrame, chunks: DataFrame, dimensions: int, cells: int = 32, probes: int = 8, k: int = K.CANDIDATES,
     chunk_key: str = "chunk_id",
 ) -> DataFrame:
     """Approximate ``vector_topk``: each question looks into its nearest cells only.
@@ -271,8 +264,10 @@ def vector_topk_ann(
     A chunk lies in one cell, so no candidate appears twice and a crowded cell is read by many
     tasks. Scores of the found chunks are exact.
     """
-    model = fit_cells(chunks, cells)
-    return vector_topk(probe_cells(questions, model, probes), assign_cells(chunks, model), dimensions, k, chunk_key)
+    centres = cell_centres(chunks, cells, chunk_key)
+    return vector_topk(
+        probe_cells(questions, centres, probes), assign_cells(chunks, centres), dimensions, k, chunk_key
+    )
 
 
 def recall_against(exact: DataFrame, found: DataFrame) -> DataFrame:

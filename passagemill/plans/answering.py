@@ -50,7 +50,7 @@ def answer_passages(
         .select(
             "query_id", "question", answered.alias("answered"),
             F.when(answered, F.col("text")).otherwise(K.ABSTENTION_TEXT).alias("text"),
-            F.when(answered, F.col("citations")).otherwise(F.slice("citations", 1, 0)).alias("citations"),
+            F.when(answered, F.col("citations")).otherwise(F.array().cast(A.CITATIONS)).alias("citations"),
             F.coalesce("abstain_reason", F.when(declined, "MODEL_DECLINED")).alias("abstain_reason"),
             F.when(answered, F.col("dropped_markers")).otherwise(F.array().cast("array<int>")).alias("dropped_markers"),
             "sources", F.lit(mode).alias("answer_mode"), "top_score",

@@ -12,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document table; a single file is one split, so its rows are spread over the cores."""
+    documents = table(spark, sf_dir, "documents")
+    if len(documents.inputFiles()) > 1:
+        return documents
+    return documents.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+
+
 def scan_corpus(spark: SparkSession, root: str, extensions: tuple[str, ...] = K.CORPUS_EXTENSIONS) -> DataFrame:
     """Files under ``root`` as ``(source_path, content, content_hash)``; paths are relative to it.
 
@@ -42,7 +50,7 @@ def with_hash(df: DataFrame) -> DataFrame:
 def table_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document table under the corpus contract."""
     return with_hash(
-        table(spark, sf_dir, "documents").select(
+        texts(spark, sf_dir).select(
             F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("source_path"),
             F.col("text").alias("content"),
         )
@@ -70,7 +78,7 @@ def library_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("meeting-notes/2025-"), month, F.lit("-"), day, F.lit("_"), doc, F.lit(".md")))
     )
     return with_hash(
-        table(spark, sf_dir, "documents").select(
+        texts(spark, sf_dir).select(
             "doc_id", "source", "lang", "n_chars", path.alias("source_path"), F.col("text").alias("content")
         )
     )
