@@ -136,21 +136,21 @@ FUSED = f"""joined_arms AS (
   SELECT query_id, chunk_id, v.rank AS vector_rank, k.rank AS keyword_rank,
     coalesce(1.0::DOUBLE / (v.rank + {K.RRF_K}), 0) + coalesce(1.0::DOUBLE / (k.rank + {K.RRF_K}), 0) AS score
   FROM vector_hits v FULL JOIN keyword_hits k USING (query_id, chunk_id)),
-fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_rank NULLS LAST, keyword_rank NULLS LAST, chunk_id) AS pos
+fused AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_rank NULLS LAST, keyword_rank NULLS LAST, chunk_id) AS pos
   FROM joined_arms)"""
 LIBRARY_CHUNKS = (LIBRARY, NAMED, WHOLE)
 RETRIEVAL = (
     *LIBRARY_CHUNKS, QUESTIONS, POSTINGS, COUNTS, REWRITE, vector_arm("rewritten", "vector_text"), ASKED, keyword_arm(), FUSED,
 )
-PASSAGES = "passages AS (SELECT f.*, w.* EXCLUDE (chunk_id, base) FROM fused f JOIN whole w USING (chunk_id))"
+PASSAGES = "passages AS MATERIALIZED (SELECT f.*, w.* EXCLUDE (chunk_id, base) FROM fused f JOIN whole w USING (chunk_id))"
 
 
 def suppressed(limit: int | None = None, questions: str = "") -> str:
     """Keep-first suppression in rank order: CTE ``sources`` with ``source_no``."""
     bound = f"WHERE pos <= {limit}" if limit else ""
-    return f"""worded AS (SELECT query_id, pos, chunk_id, {DISTINCT_WORDS.format("content")} AS words FROM passages {bound} {questions}),
+    return f"""worded AS MATERIALIZED (SELECT query_id, pos, chunk_id, {DISTINCT_WORDS.format("content")} AS words FROM passages {bound} {questions}),
 word_items AS (SELECT query_id, pos, len(words) AS n, unnest(words) AS word FROM worded),
-repeats AS (
+repeats AS MATERIALIZED (
   SELECT a.query_id, a.pos AS earlier, b.pos AS later FROM word_items a
   JOIN word_items b ON a.query_id = b.query_id AND a.word = b.word AND a.pos < b.pos
   GROUP BY a.query_id, a.pos, b.pos, a.n, b.n HAVING count(*) / least(a.n, b.n)::DOUBLE >= {K.DUPLICATE_OVERLAP}),
@@ -162,7 +162,7 @@ keeping AS (
     THEN k.kept ELSE list_append(k.kept, w.pos) END
   FROM keeping k JOIN worded w ON w.query_id = k.query_id AND w.pos = k.pos + 1),
 kept_lists AS (SELECT query_id, arg_max(kept, pos) AS kept FROM keeping GROUP BY query_id),
-sources AS (
+sources AS MATERIALIZED (
   SELECT p.*, list_position(kept, p.pos)::INT AS source_no FROM passages p JOIN kept_lists USING (query_id)
   WHERE list_contains(kept, p.pos))"""
 

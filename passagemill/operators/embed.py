@@ -36,8 +36,7 @@ def token_weights(df: DataFrame, key: str, column: str, dimensions: int) -> Data
     A text is one row, so the map-side sum already leaves one row per dimension.
     """
 
-    def hashed(token: Column) -> Column:
-        code = text.hash_token(token)
+    def place_and_sign(code: Column) -> Column:
         sign = F.when(F.shiftright(code, 16) % 2 == 0, 1).otherwise(-1)
         return F.struct((code % dimensions).cast("int").alias("dimension"), sign.alias("weight"))
 
@@ -45,7 +44,8 @@ def token_weights(df: DataFrame, key: str, column: str, dimensions: int) -> Data
         F.sequence(F.lit(0), F.lit(dimensions - 1)),
         lambda place: F.struct(place.alias("dimension"), F.lit(0).alias("weight")),
     )
-    words = F.transform(text.embedding_tokens(F.coalesce(F.col(column), F.lit(""))), hashed)
+    tokens = text.embedding_tokens(F.coalesce(F.col(column), F.lit("")))
+    words = F.transform(F.transform(tokens, text.hash_token), place_and_sign)
     entries = df.select(key, F.explode(F.concat(words, zeros)).alias("entry")).select(key, "entry.*")
     return entries.groupBy(key, "dimension").agg(F.sum("weight").cast("double").alias("weight"))
 
@@ -110,7 +110,7 @@ def embed_with_provider(df: DataFrame, column: str, provider: Provider, token_co
                     vectors[place] = vector
             yield pd.Series(vectors)
 
-    kernel = F.pandas_udf(embed, "array<double>", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+    kernel = F.pandas_udf(embed, "array<double>").asNondeterministic()
     return df.withColumn("embedding", kernel(F.col(column), F.col(token_count)))
 
 

@@ -243,16 +243,22 @@ def near_cells(vectors: pd.Series, centres: np.ndarray, count: int) -> np.ndarra
 
 def assign_cells(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
     """Adds ``cell``; written partitioned by it, a search reads only probed cells."""
-    nearest = F.pandas_udf(lambda vectors: pd.Series(near_cells(vectors, centres, 1)[:, 0]), "int", F.PandasUDFType.SCALAR)
-    return chunks.where(F.col("embedding").isNotNull()).withColumn("cell", nearest("embedding"))
+
+    def nearest(vectors: pd.Series) -> pd.Series:
+        return pd.Series(near_cells(vectors, centres, 1)[:, 0])
+
+    return chunks.where(F.col("embedding").isNotNull()).withColumn("cell", F.pandas_udf(nearest, "int")("embedding"))
 
 
 def probe_cells(questions: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     """Adds ``probes``: the cells whose centres are nearest to a question."""
-    nearest = F.pandas_udf(
-        lambda vectors: pd.Series(near_cells(vectors, centres, probes).tolist()), "array<int>", F.PandasUDFType.SCALAR
+
+    def nearest(vectors: pd.Series) -> pd.Series:
+        return pd.Series(near_cells(vectors, centres, probes).tolist())
+
+    return questions.where(F.col("embedding").isNotNull()).withColumn(
+        "probes", F.pandas_udf(nearest, "array<int>")("embedding")
     )
-    return questions.where(F.col("embedding").isNotNull()).withColumn("probes", nearest("embedding"))
 
 
 def vector_topk_ann(
@@ -262,7 +268,7 @@ def vector_topk_ann(
     """Approximate ``vector_topk``: each question looks into its nearest cells only.
 
     A chunk lies in one cell, so no candidate appears twice and a crowded cell is read by many
-    tasks. Scores of the found chunks are exact.
+    tasks. Scores of the found chunks are exact. Vectors without any grouping need more probes.
     """
     centres = cell_centres(chunks, cells, chunk_key)
     return vector_topk(
