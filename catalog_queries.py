@@ -548,7 +548,14 @@ def stemmed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = keyword.keyword_topk(questions(spark, sf_dir), library_index(spark, sf_dir).postings)
+    hits = keyword.keyword_topk(questions(spark, sf_dir), library_index(spark, sf_dir).terms)
+    return hits.select("query_id", "chunk_id", F.round("raw_score", 6).alias("raw_score"), "rank")
+
+
+@query
+def keyword_topk_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search with the question lexemes beyond the broadcast bound."""
+    hits = keyword.keyword_topk(questions(spark, sf_dir), library_index(spark, sf_dir).terms, broadcast_rows=0)
     return hits.select("query_id", "chunk_id", F.round("raw_score", 6).alias("raw_score"), "rank")
 
 
@@ -565,7 +572,7 @@ def doc_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def term_document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = library_index(spark, sf_dir)
-    return keyword.term_document_counts(questions(spark, sf_dir), index.postings, index.documents)
+    return keyword.term_document_counts(questions(spark, sf_dir), index.frequencies, index.documents)
 
 
 @query
@@ -1006,7 +1013,7 @@ def compacted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = two_runs(spark, sf_dir)
     before = source.manifest()
     store = IndexStore(spark, run_folder(spark, "compact-index"))
-    for table, rows in (("chunks", source.chunks(before)), ("postings", source.postings(before))):
+    for table, rows in (("chunks", source.chunks(before)), ("terms", source.terms(before))):
         store.write(rows, table, "seed")
     documents = store.write(source.documents(before), "documents", "seed")
     from dataclasses import replace

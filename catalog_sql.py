@@ -373,6 +373,7 @@ ORACLE["build_postings"] = with_parts(*LIBRARY_CHUNKS, POSTINGS) + (
 ORACLE["keyword_topk"] = with_parts(*LIBRARY_CHUNKS, QUESTIONS, POSTINGS, ASKED, keyword_arm()) + (
     "SELECT query_id, chunk_id, round(raw_score, 6) AS raw_score, rank::INT AS rank FROM keyword_hits"
 )
+ORACLE["keyword_topk_joined"] = ORACLE["keyword_topk"]
 TYPED = "typed AS (SELECT *, concat('src', query_id % 20, '-report') AS doc_type FROM questions), asked AS (SELECT * FROM typed)"
 ORACLE["doc_type_filter"] = with_parts(
     *LIBRARY_CHUNKS, QUESTIONS, POSTINGS, TYPED, vector_arm("typed", "question", True), keyword_arm(True)

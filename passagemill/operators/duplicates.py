@@ -15,6 +15,8 @@ from passagemill.functions import constants as K
 from passagemill.functions import text
 from passagemill.session import persist_table
 
+PREFIX_HITS = 4
+
 
 def order_share(document_id: Column) -> Column:
     """Place of a hexadecimal id in id order, as a share of all ids."""
@@ -29,32 +31,45 @@ def word_sets(documents: DataFrame) -> DataFrame:
 
 
 def with_prefix(sets: DataFrame, overlap: float) -> DataFrame:
-    """Adds ``prefix``, the rarest words: a set that overlaps this one by the bound has one of them."""
+    """Adds ``prefix``, the rarest words, and ``hits``, how many of them any larger match must contain."""
     words = sets.select("document_id", F.explode("words").alias("word"))
     frequency = words.groupBy("word").agg(F.count("*").alias("frequency"))
     rarest = F.transform(
         F.array_sort(F.collect_list(F.struct("frequency", "word"))), lambda entry: entry["word"]
     )
     size = F.size("words")
-    # At least ``needed`` words are shared, so that many may be left out but one.
+    # A match shares ``needed`` words. With all but ``needed - hits`` of them in the prefix, at least
+    # ``hits`` of the shared ones are there.
     needed = F.ceil(size * overlap - 1e-9).cast("int")
     listed = words.join(frequency, "word").groupBy("document_id").agg(rarest.alias("words"))
-    return listed.withColumn("prefix", F.slice("words", F.lit(1), size - needed + 1)).withColumn("n", size)
+    return (
+        listed.withColumn("n", size)
+        .withColumn("hits", F.least(F.lit(PREFIX_HITS), needed))
+        .withColumn("prefix", F.slice("words", F.lit(1), size - needed + F.col("hits")))
+    )
 
 
 def first_partners(leaders: DataFrame, open_sets: DataFrame, sets: DataFrame, overlap: float) -> DataFrame:
     """The lowest overlapping leader of each open document, if it has one."""
-    smaller = leaders.select(F.col("document_id").alias("leader"), F.col("n").alias("leader_n"), F.explode("prefix").alias("word"))
-    larger = leaders.select(F.col("document_id").alias("leader"), F.col("n").alias("leader_n"), F.explode("words").alias("word"))
+
+    def words_of(entries: DataFrame, words: str, key: str, size: str) -> DataFrame:
+        return entries.select(F.col("document_id").alias(key), F.col("n").alias(size), "hits", F.explode(words).alias("word"))
+
     below = F.col("leader") < F.col("document_id")
-    by_words = open_sets.select("document_id", "n", F.explode("words").alias("word"))
-    by_prefix = open_sets.select("document_id", "n", F.explode("prefix").alias("word"))
+    small_leader = words_of(leaders, "prefix", "leader", "leader_n").join(
+        words_of(open_sets, "words", "document_id", "n").drop("hits"), "word"
+    ).where(below & (F.col("leader_n") <= F.col("n")))
+    large_leader = words_of(open_sets, "prefix", "document_id", "n").join(
+        words_of(leaders, "words", "leader", "leader_n").drop("hits"), "word"
+    ).where(below & (F.col("leader_n") > F.col("n")))
+    columns = ["document_id", "leader", "hits"]
     pairs = (
-        smaller.join(by_words, "word").where(below & (F.col("leader_n") <= F.col("n"))).select("document_id", "leader")
-        .unionByName(
-            larger.join(by_prefix, "word").where(below & (F.col("leader_n") > F.col("n"))).select("document_id", "leader")
-        )
-        .distinct()
+        small_leader.select(*columns)
+        .unionByName(large_leader.select(*columns))
+        .groupBy(*columns)
+        .agg(F.count("*").alias("shared"))
+        .where(F.col("shared") >= F.col("hits"))
+        .select("document_id", "leader")
     )
     left = sets.select("document_id", "words")
     right = sets.select(F.col("document_id").alias("leader"), F.col("words").alias("leader_words"))

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagemill.functions import constants as K
 from passagemill.functions import stem, text
-from passagemill.operators.vector import SCORE_DIGITS, ranked
+from passagemill.operators.vector import SCORE_DIGITS, RunningTopK, arrow_schema, as_objects, ranked
 
 Stemmer = Callable[[Column], Column]
+# Question lexemes that may be sent to every task, and chunks scored in one block.
+BROADCAST_ROWS = 500_000
+SCORED_CHUNKS = 500
 
 
-def build_postings(chunks: DataFrame, stemmer: Stemmer = stem.identity) -> DataFrame:
-    """Inverted index of ``breadcrumb || ' ' || content``.
+def chunk_terms(chunks: DataFrame, stemmer: Stemmer = stem.identity) -> DataFrame:
+    """Lexemes of ``breadcrumb || ' ' || content`` per chunk: ``terms`` of lexeme, ``tf`` and ``weight``.
 
     ``weight`` is the lexeme's part of the rank: 0.1 times the sum of 1/j^2 over its occurrences.
     Chunks are spread by id once and counted in place, so neither postings nor a lexeme found
@@ -23,19 +31,35 @@ def build_postings(chunks: DataFrame, stemmer: Stemmer = stem.identity) -> DataF
     """
     searched = F.concat_ws(" ", "breadcrumb", "content")
     spread = chunks.select("chunk_id", "document_id", "doc_type", "breadcrumb", "content").repartition("chunk_id")
-    terms = spread.select(
+    found = spread.select(
         "chunk_id", "document_id", "doc_type", F.explode(stemmer(text.lexemes(searched))).alias("lexeme")
     )
-    counted = terms.groupBy("chunk_id", "document_id", "doc_type", "lexeme").agg(F.count("*").cast("int").alias("tf"))
+    counted = found.groupBy("chunk_id", "document_id", "doc_type", "lexeme").agg(F.count("*").cast("int").alias("tf"))
     inverse_squares = F.aggregate(
         F.sequence(F.lit(1), F.col("tf")), F.lit(0.0), lambda total, place: total + 1.0 / (place * place)
     )
-    return counted.withColumn("weight", K.LEXEME_WEIGHT * inverse_squares / K.INVERSE_SQUARE_LIMIT)
+    weight = K.LEXEME_WEIGHT * inverse_squares / K.INVERSE_SQUARE_LIMIT
+    return counted.groupBy("chunk_id", "document_id", "doc_type").agg(
+        F.collect_list(F.struct("lexeme", "tf", weight.alias("weight"))).alias("terms")
+    )
+
+
+def postings_of(terms: DataFrame) -> DataFrame:
+    """One row per chunk and lexeme."""
+    return terms.select(
+        *[name for name in terms.columns if name != "terms"], F.explode("terms").alias("term")
+    ).select("*", "term.*").drop("term")
 
 
-def by_lexeme(postings: DataFrame) -> DataFrame:
-    """Layout for storage: equal lexemes lie together, and those of oversize groups are split."""
-    return postings.hint("rebalance", "lexeme").sortWithinPartitions("lexeme", "chunk_id")
+def build_postings(chunks: DataFrame, stemmer: Stemmer = stem.identity) -> DataFrame:
+    """Inverted index ``(lexeme, chunk_id, document_id, doc_type, tf, weight)``."""
+    return postings_of(chunk_terms(chunks, stemmer))
+
+
+def lexeme_frequencies(terms: DataFrame) -> DataFrame:
+    """Documents per lexeme. Distinct pairs first, so a common lexeme is counted by many tasks."""
+    pairs = terms.select("document_id", F.explode("terms.lexeme").alias("lexeme")).distinct()
+    return pairs.groupBy("lexeme").agg(F.count("*").alias("documents"))
 
 
 def split_questions(questions: DataFrame) -> DataFrame:
@@ -57,46 +81,100 @@ def question_lexemes(questions: DataFrame, stemmer: Stemmer = stem.identity) ->
 
 
 def keyword_topk(
-    questions: DataFrame, postings: DataFrame, k: int = K.CANDIDATES, stemmer: Stemmer = stem.identity
+    questions: DataFrame, terms: DataFrame, k: int = K.CANDIDATES, stemmer: Stemmer = stem.identity,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``(query_id, chunk_id, raw_score, rank)``: chunks with any lexeme of the question, best ``k``.
 
-    Catalyst broadcasts the question side while it is small and splits hot lexemes otherwise; the
-    sums are combined map-side and the rank window limits each partition before its shuffle.
+    Question lexemes of checked number go to every task, which scores each chunk in place and keeps
+    a running top-k. Beyond the bound both sides are joined on the lexeme.
     """
     wanted = question_lexemes(questions, stemmer)
+    block = wanted.limit(broadcast_rows + 1).toArrow()
+    if block.num_rows > broadcast_rows:
+        return ranked(joined_scores(wanted, postings_of(terms)), k)
+    result = T.StructType(
+        [wanted.schema["query_id"], terms.schema["chunk_id"], T.StructField("raw_score", T.DoubleType())]
+    )
+    return ranked(scanned_scores(block, terms, result, k), k)
+
+
+def joined_scores(wanted: DataFrame, postings: DataFrame) -> DataFrame:
+    """Scores by an equi-join; sums are combined map-side and AQE splits hot lexemes."""
     matched = postings.select("lexeme", "chunk_id", "doc_type", "weight").join(wanted, "lexeme")
     allowed = F.col("wanted_type").isNull() | (F.col("wanted_type") == F.col("doc_type"))
-    scored = (
+    return (
         matched.where(allowed)
         .groupBy("query_id", "chunk_id")
         .agg(F.round(F.sum(F.col("weight") / F.col("n")), SCORE_DIGITS).alias("raw_score"))
         .where(F.col("raw_score") > 0)
     )
-    return ranked(scored, k)
+
+
+def scanned_scores(block: pa.Table, terms: DataFrame, result: T.StructType, k: int) -> DataFrame:
+    """Best ``k`` chunks of each question per partition, from one pass over the chunk terms."""
+    shared = terms.sparkSession.sparkContext.broadcast(block)
+    arrays = terms.select("chunk_id", "doc_type", F.col("terms.lexeme").alias("lexemes"), F.col("terms.weight").alias("weights"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = LexemeScorer(shared.value, k)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SCORED_CHUNKS):
+                scorer.add(batch.slice(start, SCORED_CHUNKS))
+        yield scorer.batch(arrow_schema(result))
+
+    return arrays.mapInArrow(scan, result)
+
+
+class LexemeScorer(RunningTopK):
+    """Scores chunks by the lexemes they share with each question."""
+
+    def __init__(self, block: pa.Table, k: int) -> None:
+        asked = block.to_pandas()
+        by_question = asked.drop_duplicates("query_id")
+        super().__init__(by_question["query_id"].tolist(), by_question["wanted_type"].tolist(), k)
+        self.doc_types = [None if pd.isna(kind) else kind for kind in self.doc_types]
+        places = {name: place for place, name in enumerate(self.ids)}
+        asked = asked.sort_values("lexeme", kind="stable")
+        vocabulary, self.starts = np.unique(asked["lexeme"].to_numpy(object).astype(str), return_index=True)
+        self.vocabulary = pa.array(vocabulary)
+        self.starts = np.append(self.starts, len(asked))
+        self.askers = asked["query_id"].map(places).to_numpy(np.int64)
+        self.shares = 1.0 / asked["n"].to_numpy(np.float64)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if not batch.num_rows or not self.ids:
+            return
+        lexemes = batch["lexemes"]
+        known = pc.index_in(lexemes.flatten(), value_set=self.vocabulary)
+        hit = known.is_valid().to_numpy(zero_copy_only=False)
+        if not hit.any():
+            return
+        lexeme = known.drop_null().to_numpy()
+        weight = batch["weights"].flatten().to_numpy(zero_copy_only=False)[hit]
+        chunk = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lexemes).to_numpy())[hit]
+        # Every matched lexeme counts for all questions that ask for it.
+        askers = self.starts[lexeme + 1] - self.starts[lexeme]
+        first = np.repeat(self.starts[lexeme] - np.cumsum(askers) + askers, askers)
+        entry = first + np.arange(askers.sum())
+        cells = np.repeat(chunk, askers) * len(self.ids) + self.askers[entry]
+        sums = np.bincount(cells, np.repeat(weight, askers) * self.shares[entry], batch.num_rows * len(self.ids))
+        scores = np.round(sums.reshape(batch.num_rows, len(self.ids)), SCORE_DIGITS)
+        scores[scores <= 0] = -np.inf
+        self.offer(as_objects(batch["chunk_id"]), scores, as_objects(batch["doc_type"]))
 
 
 def term_document_counts(
-    questions: DataFrame, postings: DataFrame, documents: DataFrame, stemmer: Stemmer = stem.identity
+    questions: DataFrame, frequencies: DataFrame, documents: DataFrame, stemmer: Stemmer = stem.identity
 ) -> DataFrame:
-    """Documents containing each term of a question, 0 if none, and the size of the corpus.
-
-    Frequencies are counted once per distinct lexeme, however many questions use it.
-    """
+    """Documents containing each term of a question, 0 if none, and the size of the corpus."""
     terms = questions.select("query_id", F.array_distinct(text.lexemes(F.col("question"))).alias("terms"))
     paired = terms.select("query_id", F.arrays_zip("terms", stemmer(F.col("terms")).alias("stems")).alias("pairs"))
     asked = paired.select("query_id", F.explode("pairs").alias("pair")).select(
         "query_id", F.col("pair.terms").alias("term"), F.col("pair.stems").alias("lexeme")
     )
-    counted = (
-        postings.select("lexeme", "document_id")
-        .join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
-        .distinct()
-        .groupBy("lexeme")
-        .agg(F.count("*").alias("documents"))
-    )
     total = documents.agg(F.count("*").alias("n")).scalar()
-    return asked.join(counted, "lexeme", "left").select(
+    return asked.join(frequencies, "lexeme", "left").select(
         "query_id", "term", F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"),
         total.alias("total_documents"),
     )

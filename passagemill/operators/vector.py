@@ -27,30 +27,15 @@ BLOCK_VALUES = 4_000_000
 
 
 class RunningTopK:
-    """Best ``k`` chunks of every question over the chunk batches seen so far."""
+    """Best ``k`` chunks of every question over the score blocks seen so far."""
 
-    def __init__(self, ids: list, vectors: np.ndarray, doc_types: list, k: int, probes: list | None = None) -> None:
-        norms = np.linalg.norm(vectors, axis=1)
-        usable = norms > 0
-        self.k = k
-        self.ids = [name for name, ok in zip(ids, usable) if ok]
-        self.vectors = vectors[usable] / norms[usable, None]
-        self.doc_types = [kind for kind, ok in zip(doc_types, usable) if ok]
-        self.probes = None if probes is None else [frozenset(cells) for cells, ok in zip(probes, usable) if ok]
-        self.scores: list[np.ndarray] = [np.empty(0)] * len(self.ids)
-        self.chunks: list[np.ndarray] = [np.empty(0, dtype=object)] * len(self.ids)
+    def __init__(self, ids: list, doc_types: list, k: int) -> None:
+        self.ids, self.doc_types, self.k = ids, doc_types, k
+        self.scores: list[np.ndarray] = [np.empty(0)] * len(ids)
+        self.chunks: list[np.ndarray] = [np.empty(0, dtype=object)] * len(ids)
 
-    def add(self, chunk_ids: np.ndarray, vectors: np.ndarray, doc_types: np.ndarray, cells: np.ndarray | None) -> None:
-        norms = np.linalg.norm(vectors, axis=1)
-        usable = norms > 0
-        if not usable.any() or not self.ids:
-            return
-        chunk_ids, doc_types = chunk_ids[usable], doc_types[usable]
-        scores = np.round((vectors[usable] / norms[usable, None]) @ self.vectors.T, SCORE_DIGITS)
-        if self.probes is not None:
-            cells = cells[usable]
-            for question, wanted in enumerate(self.probes):
-                scores[~np.isin(cells, list(wanted)), question] = -np.inf
+    def offer(self, chunk_ids: np.ndarray, scores: np.ndarray, doc_types: np.ndarray) -> None:
+        """Takes a chunk-by-question block of scores; minus infinity is no match."""
         for kind in set(self.doc_types) - {None}:
             asking = [place for place, wanted in enumerate(self.doc_types) if wanted == kind]
             scores[np.ix_(doc_types != kind, asking)] = -np.inf
@@ -80,6 +65,31 @@ class RunningTopK:
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
+class NearestChunks(RunningTopK):
+    """Scores chunk vectors by cosine; zero vectors match nothing."""
+
+    def __init__(self, ids: list, vectors: np.ndarray, doc_types: list, k: int, probes: list | None = None) -> None:
+        norms = np.linalg.norm(vectors, axis=1)
+        usable = norms > 0
+        super().__init__(
+            [name for name, ok in zip(ids, usable) if ok], [kind for kind, ok in zip(doc_types, usable) if ok], k
+        )
+        self.vectors = vectors[usable] / norms[usable, None]
+        self.probes = None if probes is None else [frozenset(cells) for cells, ok in zip(probes, usable) if ok]
+
+    def add(self, chunk_ids: np.ndarray, vectors: np.ndarray, doc_types: np.ndarray, cells: np.ndarray) -> None:
+        norms = np.linalg.norm(vectors, axis=1)
+        usable = norms > 0
+        if not usable.any() or not self.ids:
+            return
+        scores = np.round((vectors[usable] / norms[usable, None]) @ self.vectors.T, SCORE_DIGITS)
+        if self.probes is not None:
+            cells = cells[usable]
+            for question, wanted in enumerate(self.probes):
+                scores[~np.isin(cells, list(wanted)), question] = -np.inf
+        self.offer(chunk_ids[usable], scores, doc_types[usable])
+
+
 def as_matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(column), -1)
@@ -141,10 +151,10 @@ def arrow_schema(result: T.StructType) -> pa.Schema:
     return to_arrow_schema(result)
 
 
-def top_from(block: pa.Table, k: int) -> RunningTopK:
+def top_from(block: pa.Table, k: int) -> NearestChunks:
     block = block.combine_chunks()
     probes = block["probes"].to_pylist()
-    return RunningTopK(
+    return NearestChunks(
         block["query_id"].to_pylist(),
         np.array(block["embedding"].to_pylist(), dtype=np.float64).reshape(block.num_rows, -1),
         block["doc_type"].to_pylist(),

@@ -16,6 +16,8 @@ from passagemill.plans.retrieval import Index
 from passagemill.session import persist_table
 from passagemill.sources.index_store import CHUNK_SCHEMA, IndexStore, Manifest
 
+QUIET_WORK = "source_path string, outcome string, chunk_count int, unsupported int, phase string, error string"
+
 
 @dataclass(frozen=True)
 class Options:
@@ -94,7 +96,7 @@ def run_ingest(
     """Brings the index up to date with ``(source_path, content, content_hash)`` rows.
 
     ``corpus`` is the full listing unless ``changes`` gives the classified paths itself. Only added
-    and updated documents are prepared, and only their chunks and postings are written.
+    and updated documents are prepared, and only their chunks and terms are written.
     """
     started = now or datetime.now(timezone.utc)
     current = store.manifest()
@@ -103,32 +105,59 @@ def run_ingest(
     stored = store.documents(current)
     # Paths and hashes only; the texts of unchanged documents are not moved.
     changes = persist_table(changes if changes is not None else C.classify_changes(corpus, stored, force), "changes")
-    touched = changes.where(F.col("change").isin("added", "updated")).select("source_path", "change")
-    work = persist_table(
-        with_outcomes(prepared_documents(corpus.join(touched, "source_path"), options)).drop("content", "body"), "work"
-    )
+    kinds = {row["change"] for row in changes.select("change").distinct().collect()}
+    if kinds <= {"unchanged"}:
+        return publish_quiet_run(store, current, run_id, trigger, corpus_dir, changes, started, batch_id, feed)
+    if kinds == {"added"}:
+        entering = corpus.withColumn("change", F.lit("added"))
+    else:
+        touched = changes.where(F.col("change").isin("added", "updated")).select("source_path", "change")
+        entering = corpus.join(touched, "source_path")
+    work = persist_table(with_outcomes(prepared_documents(entering, options)).drop("content", "body"), "work")
     good = work.where(F.col("outcome").isin("added", "updated"))
     indexed = indexed_rows(good, run_id, started)
     failed = failed_rows(work.where(F.col("outcome") == "failed"), stored)
     gone = changes.where(F.col("change") == "removed").select("source_path")
 
-    rows = prepare.chunk_rows(good)
-    embedded = embed.embed_with_provider(rows, "embedded_text", options.vectors()).withColumn("layer", F.lit(run_id))
-    chunk_path = store.write(embedded, "chunks", run_id)
-    written = store.read(CHUNK_SCHEMA, chunk_path)
-    postings = keyword.build_postings(written, options.stemmer).withColumn("layer", F.lit(run_id))
-    store.write(keyword.by_lexeme(postings), "postings", run_id)
+    layers = current.layers
+    if kinds & {"added", "updated"}:
+        rows = prepare.chunk_rows(good)
+        embedded = embed.embed_with_provider(rows, "embedded_text", options.vectors()).withColumn("layer", F.lit(run_id))
+        written = store.read(CHUNK_SCHEMA, store.write(embedded, "chunks", run_id))
+        store.write(keyword.chunk_terms(written, options.stemmer).withColumn("layer", F.lit(run_id)), "terms", run_id)
+        layers = [*layers, run_id]
 
     documents = store.write(snapshot(stored, indexed, failed, gone), "documents", run_id)
-    left = indexed.select("source_path").unionByName(gone)
-    dead = stored.where(F.col("layer").isNotNull()).join(left, "source_path", "left_semi").select("document_id", "layer")
-    superseded = store.write(store.superseded(current).unionByName(dead), "superseded", run_id)
+    superseded = current.superseded
+    if current.documents:
+        left = indexed.select("source_path").unionByName(gone)
+        dead = stored.where(F.col("layer").isNotNull()).join(left, "source_path", "left_semi").select("document_id", "layer")
+        superseded = store.write(store.superseded(current).unionByName(dead), "superseded", run_id)
     write_run_log(store, run_id, trigger, corpus_dir, changes, work, started)
-    feed_path = store.write(feed, "feed", run_id) if feed is not None else current.feed
     return store.publish(
         replace(
             current, version=current.version + 1, run_id=run_id, batch_id=batch_id, documents=documents,
-            superseded=superseded, feed=feed_path, layers=[*current.layers, run_id], run_logs=[*current.run_logs, run_id],
+            superseded=superseded, feed=feed_path(store, current, run_id, feed), layers=layers,
+            run_logs=[*current.run_logs, run_id],
+        )
+    )
+
+
+def feed_path(store: IndexStore, current: Manifest, run_id: str, feed: DataFrame | None) -> str | None:
+    return current.feed if feed is None else store.write(feed, "feed", run_id)
+
+
+def publish_quiet_run(
+    store: IndexStore, current: Manifest, run_id: str, trigger: str, corpus_dir: str, changes: DataFrame,
+    started: datetime, batch_id: int | None, feed: DataFrame | None,
+) -> Manifest:
+    """A run that found nothing to do is logged and keeps every table."""
+    nothing = store.spark.createDataFrame([], QUIET_WORK)
+    write_run_log(store, run_id, trigger, corpus_dir, changes, nothing, started)
+    return store.publish(
+        replace(
+            current, version=current.version + 1, run_id=run_id, batch_id=batch_id,
+            feed=feed_path(store, current, run_id, feed), run_logs=[*current.run_logs, run_id],
         )
     )
 
@@ -180,8 +209,10 @@ def write_run_log(
 def open_index(store: IndexStore, options: Options = Options()) -> Index:
     """The published index for retrieval plans."""
     manifest = store.manifest()
+    terms = store.terms(manifest)
+    frequencies = keyword.lexeme_frequencies(terms)
     return Index(
-        store.documents(manifest), store.chunks(manifest), store.postings(manifest), options.dimensions, options.stemmer
+        store.documents(manifest), store.chunks(manifest), terms, frequencies, options.dimensions, options.stemmer
     )
 
 

@@ -19,7 +19,8 @@ class Index:
 
     documents: DataFrame
     chunks: DataFrame
-    postings: DataFrame
+    terms: DataFrame
+    frequencies: DataFrame
     dimensions: int
     stemmer: keyword.Stemmer = stem.identity
 
@@ -27,19 +28,21 @@ class Index:
 def build_index(
     corpus: DataFrame, dimensions: int = 64, stemmer: keyword.Stemmer = stem.identity, whole_texts: bool = False
 ) -> Index:
-    """Chunks, vectors and postings of a corpus, written once to the scratch folder.
+    """Chunks, vectors, terms and term frequencies of a corpus, written once to the scratch folder.
 
-    Chunking and embedding are narrow; only the postings are shuffled.
+    Chunking and embedding are narrow; the terms spread the chunk texts once.
     """
     rows = prepare.whole_text_chunks(corpus) if whole_texts else prepare.chunk_corpus(corpus)
     embedded = embed.embed_with_provider(rows, "embedded_text", embed.hash_provider(dimensions))
     chunks = persist_table(embedded, "chunks")
-    postings = persist_table(keyword.by_lexeme(keyword.build_postings(chunks, stemmer)), "postings")
-    return Index(corpus.select("source_path"), chunks, postings, dimensions, stemmer)
+    terms = persist_table(keyword.chunk_terms(chunks, stemmer), "terms")
+    frequencies = persist_table(keyword.lexeme_frequencies(terms), "frequencies")
+    documents = persist_table(corpus.select("source_path"), "documents")
+    return Index(documents, chunks, terms, frequencies, dimensions, stemmer)
 
 
 def rewritten_questions(questions: DataFrame, index: Index) -> DataFrame:
-    counts = keyword.term_document_counts(questions, index.postings, index.documents, index.stemmer)
+    counts = keyword.term_document_counts(questions, index.frequencies, index.documents, index.stemmer)
     return keyword.rewrite_query(questions, counts)
 
 
@@ -51,7 +54,7 @@ def vector_arm(rewritten: DataFrame, index: Index, k: int = K.CANDIDATES) -> Dat
 
 
 def keyword_arm(questions: DataFrame, index: Index, k: int = K.CANDIDATES) -> DataFrame:
-    return keyword.keyword_topk(questions, index.postings, k, index.stemmer)
+    return keyword.keyword_topk(questions, index.terms, k, index.stemmer)
 
 
 def fused_hits(questions: DataFrame, index: Index) -> DataFrame:

@@ -118,10 +118,12 @@ def test_keyword_arm_ranks_by_covered_terms(spark):
         "a.md": "apple size limit", "b.md": "size chart", "c.md": "apple apple apple", "d.md": "nothing here",
     })
     asked = spark.createDataFrame([(1, "What is the apple size limit?"), (2, "the of and")], "query_id int, question string")
-    hits = keyword.keyword_topk(asked, index.postings).join(index.chunks, "chunk_id").orderBy("rank").collect()
-    assert [r.source_path for r in hits] == ["a.md", "c.md", "b.md"]
-    assert hits[0].raw_score == pytest.approx(3 * 0.1 / 1.64493406685 / 3, abs=1e-9)
-    assert hits[1].raw_score == pytest.approx(0.1 * (1 + 1 / 4 + 1 / 9) / 1.64493406685 / 3, abs=1e-9)
+    for bound in (100, 0):
+        found = keyword.keyword_topk(asked, index.terms, broadcast_rows=bound)
+        hits = found.join(index.chunks, "chunk_id").orderBy("rank").collect()
+        assert [r.source_path for r in hits] == ["a.md", "c.md", "b.md"]
+        assert hits[0].raw_score == pytest.approx(3 * 0.1 / 1.64493406685 / 3, abs=1e-9)
+        assert hits[1].raw_score == pytest.approx(0.1 * (1 + 1 / 4 + 1 / 9) / 1.64493406685 / 3, abs=1e-9)
 
 
 def test_term_counts_are_by_document_and_stem(spark):
@@ -129,7 +131,7 @@ def test_term_counts_are_by_document_and_stem(spark):
 
     index = make_index(spark, {"a.md": "weekly reports", "b.md": "one report. report", "c.md": "other"}, stemmer=stem.english)
     asked = spark.createDataFrame([(1, "the reports unknown")], "query_id int, question string")
-    rows = keyword.term_document_counts(asked, index.postings, index.documents, stem.english).collect()
+    rows = keyword.term_document_counts(asked, index.frequencies, index.documents, stem.english).collect()
     assert {r.term: (r.documents, r.total_documents) for r in rows} == {"reports": (2, 3), "unknown": (0, 3)}
 
 
