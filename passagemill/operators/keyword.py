@@ -17,13 +17,12 @@ from passagemill.functions import stem, text
 from passagemill.operators.vector import SCORE_DIGITS, RunningTopK, arrow_schema, as_objects, ranked
 
 Stemmer = Callable[[Column], Column]
-# Question lexemes that may be sent to every task, and chunks scored in one block.
+# Question lexemes that may be sent to every task.
 BROADCAST_ROWS = 500_000
-SCORED_CHUNKS = 500
 
 
-def chunk_terms(chunks: DataFrame, stemmer: Stemmer = stem.identity) -> DataFrame:
-    """Lexemes of ``breadcrumb || ' ' || content`` per chunk: ``terms`` of lexeme, ``tf`` and ``weight``.
+def build_postings(chunks: DataFrame, stemmer: Stemmer = stem.identity) -> DataFrame:
+    """Inverted index ``(lexeme, chunk_id, document_id, doc_type, tf, weight)`` of breadcrumbs and contents.
 
     ``weight`` is the lexeme's part of the rank: 0.1 times the sum of 1/j^2 over its occurrences.
     Chunks are spread by id once and counted in place, so neither postings nor a lexeme found
@@ -38,9 +37,13 @@ def chunk_terms(chunks: DataFrame, stemmer: Stemmer = stem.identity) -> DataFram
     inverse_squares = F.aggregate(
         F.sequence(F.lit(1), F.col("tf")), F.lit(0.0), lambda total, place: total + 1.0 / (place * place)
     )
-    weight = K.LEXEME_WEIGHT * inverse_squares / K.INVERSE_SQUARE_LIMIT
-    return counted.groupBy("chunk_id", "document_id", "doc_type").agg(
-        F.collect_list(F.struct("lexeme", "tf", weight.alias("weight"))).alias("terms")
+    return counted.withColumn("weight", K.LEXEME_WEIGHT * inverse_squares / K.INVERSE_SQUARE_LIMIT)
+
+
+def chunk_terms(chunks: DataFrame, stemmer: Stemmer = stem.identity) -> DataFrame:
+    """The postings of each chunk in one row, in the layout of the spread chunks: ``terms`` of lexeme, ``tf``, ``weight``."""
+    return build_postings(chunks, stemmer).groupBy("chunk_id", "document_id", "doc_type").agg(
+        F.collect_list(F.struct("lexeme", "tf", "weight")).alias("terms")
     )
 
 
@@ -51,11 +54,6 @@ def postings_of(terms: DataFrame) -> DataFrame:
     ).select("*", "term.*").drop("term")
 
 
-def build_postings(chunks: DataFrame, stemmer: Stemmer = stem.identity) -> DataFrame:
-    """Inverted index ``(lexeme, chunk_id, document_id, doc_type, tf, weight)``."""
-    return postings_of(chunk_terms(chunks, stemmer))
-
-
 def lexeme_frequencies(terms: DataFrame) -> DataFrame:
     """Documents per lexeme. Distinct pairs first, so a common lexeme is counted by many tasks."""
     pairs = terms.select("document_id", F.explode("terms.lexeme").alias("lexeme")).distinct()
@@ -119,8 +117,9 @@ def scanned_scores(block: pa.Table, terms: DataFrame, result: T.StructType, k: i
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = LexemeScorer(shared.value, k)
         for batch in batches:
-            for start in range(0, batch.num_rows, SCORED_CHUNKS):
-                scorer.add(batch.slice(start, SCORED_CHUNKS))
+            step = scorer.rows_per_block()
+            for start in range(0, batch.num_rows, step):
+                scorer.add(batch.slice(start, step))
         yield scorer.batch(arrow_schema(result))
 
     return arrays.mapInArrow(scan, result)

@@ -22,8 +22,10 @@ from passagemill.functions import constants as K
 SCORE_DIGITS = 9
 # Vector values (8 bytes each) that may be sent to every task: 64 MB.
 BROADCAST_VALUES = 8_000_000
-# Vector values of one question block in the grid.
+BROADCAST_QUESTIONS = 20_000
+# Vector values of one question block in the grid, and scores computed at once.
 BLOCK_VALUES = 4_000_000
+BLOCK_SCORES = 2_000_000
 
 
 class RunningTopK:
@@ -31,6 +33,7 @@ class RunningTopK:
 
     def __init__(self, ids: list, doc_types: list, k: int) -> None:
         self.ids, self.doc_types, self.k = ids, doc_types, k
+        self.floors = np.full(len(ids), -np.inf)
         self.scores: list[np.ndarray] = [np.empty(0)] * len(ids)
         self.chunks: list[np.ndarray] = [np.empty(0, dtype=object)] * len(ids)
 
@@ -40,21 +43,22 @@ class RunningTopK:
             asking = [place for place, wanted in enumerate(self.doc_types) if wanted == kind]
             scores[np.ix_(doc_types != kind, asking)] = -np.inf
         best = scores.max(axis=0)
-        for question in range(len(self.ids)):
-            kept = self.scores[question]
-            full = len(kept) == self.k
-            floor = kept[-1] if full else -np.inf
-            # A tie with the last kept score may still win by its id.
-            if best[question] == -np.inf or best[question] < floor:
-                continue
-            column = scores[:, question]
+        # A tie with the last kept score may still win by its id.
+        for question in np.flatnonzero((best >= self.floors) & (best > -np.inf)):
+            floor, column = self.floors[question], scores[:, question]
             if len(column) > self.k:
                 floor = max(floor, np.partition(column, -self.k)[-self.k])
             found = np.flatnonzero((column >= floor) & (column > -np.inf))
-            merged = np.concatenate([kept, column[found]])
+            merged = np.concatenate([self.scores[question], column[found]])
             names = np.concatenate([self.chunks[question], chunk_ids[found]])
             order = np.lexsort((names, -merged))[: self.k]
             self.scores[question], self.chunks[question] = merged[order], names[order]
+            if len(order) == self.k:
+                self.floors[question] = merged[order[-1]]
+
+    def rows_per_block(self) -> int:
+        """Chunks to score at once, so that a block of scores stays small whatever the questions."""
+        return max(1, BLOCK_SCORES // max(1, len(self.ids)))
 
     def batch(self, schema: pa.Schema) -> pa.RecordBatch:
         counts = [len(scores) for scores in self.scores]
@@ -78,6 +82,12 @@ class NearestChunks(RunningTopK):
         self.probes = None if probes is None else [frozenset(cells) for cells, ok in zip(probes, usable) if ok]
 
     def add(self, chunk_ids: np.ndarray, vectors: np.ndarray, doc_types: np.ndarray, cells: np.ndarray) -> None:
+        step = self.rows_per_block()
+        for start in range(0, len(chunk_ids), step):
+            part = slice(start, start + step)
+            self.add_block(chunk_ids[part], vectors[part], doc_types[part], cells[part])
+
+    def add_block(self, chunk_ids: np.ndarray, vectors: np.ndarray, doc_types: np.ndarray, cells: np.ndarray) -> None:
         norms = np.linalg.norm(vectors, axis=1)
         usable = norms > 0
         if not usable.any() or not self.ids:
@@ -130,7 +140,7 @@ def vector_topk(
     result = T.StructType(
         [asked.schema["query_id"], offered.schema["chunk_id"], T.StructField("raw_score", T.DoubleType())]
     )
-    bound = broadcast_values // dimensions
+    bound = min(broadcast_values // dimensions, BROADCAST_QUESTIONS)
     block = asked.limit(bound + 1).toArrow()
     if block.num_rows <= bound:
         partial = broadcast_topk(block, offered, result, k)

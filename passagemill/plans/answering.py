@@ -26,10 +26,11 @@ def answer_passages(
     ``model_answers`` is an optional ``(query_id, answer)`` table of external output; without it the
     extractive answers are used. Questions under the score floor never reach either.
     """
-    floored = A.score_floor(questions.select("query_id", "question"), passages, floor)
+    # Both are read several times below and hold a few rows per question.
+    floored = persist_table(A.score_floor(questions.select("query_id", "question"), passages, floor), "floored")
     answerable = floored.where(F.col("abstain_reason").isNull()).select("query_id", "question")
     relevant = passages.join(answerable.select("query_id"), "query_id", "left_semi")
-    sources = A.near_duplicate_suppression(relevant)
+    sources = persist_table(A.near_duplicate_suppression(relevant), "sources")
     if model_answers is None:
         raw, mode = A.extractive_answers(answerable, sources), "extractive"
     else:
