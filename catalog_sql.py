@@ -307,6 +307,56 @@ SELECT doc_type, count(*) AS documents, min(tokens)::INT AS min_tokens, quantile
 FROM (SELECT *, {TOKENS.format("body")} AS tokens, len(regexp_extract_all(body, '(?m)^#{{1,6}}\s+\S')) AS headings,
   len(regexp_extract_all(body, '(?m)^#{{2}}\s+\S')) AS second,
   len(regexp_extract_all(body, '(?m)^\s*(`{{3,}}|~{{3,}})')) AS fences FROM bodies) GROUP BY doc_type"""
+# A group ends after at most as many units as the budget has tokens, so the first unit beyond it is near.
+CHUNKS = rf"""heads AS (
+  SELECT source_path, head, {TOKENS.format("head")} AS head_tokens, greatest({K.CHUNK_BUDGET} - {TOKENS.format("head")}, {K.CHUNK_BUDGET // 4}) AS budget,
+    {EDGES.format("content")} AS content
+  FROM (SELECT *, subject || ' [' || concat_ws(' · ', doc_type, date_text, subject) || ']' AS head FROM named)),
+texts AS (SELECT *, {TOKENS.format("content")} AS tokens FROM heads),
+units AS MATERIALIZED (
+  SELECT source_path, i, unit, size, budget, sum(size) OVER (PARTITION BY source_path ORDER BY i)::BIGINT AS total FROM (
+    SELECT source_path, budget, unnest(list) AS unit, generate_subscripts(list, 1) AS i, {TOKENS.format("unnest(list)")} AS size FROM (
+      SELECT source_path, budget, CASE WHEN tokens <= budget THEN [content] ELSE list_filter(list_transform(string_split(
+        regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda u: {TRIM.format("u")}), lambda u: u <> '') END AS list
+      FROM texts WHERE tokens > 0))),
+unit_next AS MATERIALIZED (
+  SELECT a.source_path, a.i, greatest(a.i + 1, coalesce(min(b.i), a.last + 1)) AS next, a.last
+  FROM (SELECT *, max(i) OVER (PARTITION BY source_path) AS last FROM units) a
+  LEFT JOIN units b ON b.source_path = a.source_path AND b.total > a.total - a.size + a.budget AND b.i > a.i AND b.i <= a.i + {K.CHUNK_BUDGET + 1}
+  GROUP BY a.source_path, a.i, a.last),
+group_starts AS (
+  SELECT source_path, 1::BIGINT AS g, 1::BIGINT AS s FROM unit_next WHERE i = 1
+  UNION ALL SELECT r.source_path, g + 1, n.next FROM group_starts r JOIN unit_next n ON n.source_path = r.source_path AND n.i = r.s WHERE n.next <= n.last),
+group_ranges AS (SELECT r.source_path, g, s, next - 1 AS e FROM group_starts r JOIN unit_next n ON n.source_path = r.source_path AND n.i = r.s),
+group_texts AS (
+  SELECT source_path, g, string_agg(unit, chr(10) || chr(10) ORDER BY i) AS body,
+    string_agg(unit, ' ' ORDER BY i) FILTER (end_total - total + size <= {K.CHUNK_OVERLAP}) AS tail
+  FROM (SELECT r.source_path, r.g, u.*, max(total) OVER (PARTITION BY r.source_path, r.g) AS end_total
+    FROM group_ranges r JOIN units u ON u.source_path = r.source_path AND u.i BETWEEN s AND e) GROUP BY ALL),
+pieces AS MATERIALIZED (
+  SELECT source_path, g AS i, text, size, sum(size) OVER (PARTITION BY source_path ORDER BY g)::BIGINT AS total, max(g) OVER (PARTITION BY source_path) AS last
+  FROM (SELECT t.source_path, t.g, CASE WHEN p.tail IS NULL THEN t.body ELSE p.tail || chr(10) || chr(10) || t.body END AS text,
+      {TOKENS.format("CASE WHEN p.tail IS NULL THEN t.body ELSE p.tail || ' ' || t.body END")} AS size
+    FROM group_texts t LEFT JOIN group_texts p ON p.source_path = t.source_path AND p.g = t.g - 1)),
+piece_next AS MATERIALIZED (
+  SELECT a.source_path, a.i, greatest(a.i + 1, coalesce(min(b.i), a.last + 1)) AS next, a.last
+  FROM pieces a JOIN heads h USING (source_path)
+  LEFT JOIN pieces b ON b.source_path = a.source_path AND b.total > a.total - a.size + h.budget AND b.i > a.i
+  GROUP BY a.source_path, a.i, a.last),
+merge_starts AS (
+  SELECT source_path, 1::BIGINT AS g, 1::BIGINT AS s FROM piece_next WHERE i = 1
+  UNION ALL SELECT r.source_path, g + 1, n.next FROM merge_starts r JOIN piece_next n ON n.source_path = r.source_path AND n.i = r.s WHERE n.next <= n.last),
+merged AS (
+  SELECT r.source_path, r.g, string_agg(text, chr(10) || chr(10) ORDER BY p.i) AS text, sum(size) AS size
+  FROM merge_starts r JOIN piece_next n ON n.source_path = r.source_path AND n.i = r.s
+  JOIN pieces p ON p.source_path = r.source_path AND p.i BETWEEN r.s AND n.next - 1 GROUP BY ALL),
+runs AS (SELECT *, sum(CASE WHEN g = 1 OR size >= {K.CHUNK_MINIMUM} THEN 1 ELSE 0 END) OVER (PARTITION BY source_path ORDER BY g)::BIGINT AS run FROM merged),
+absorbed AS (SELECT source_path, run, string_agg(text, chr(10) || chr(10) ORDER BY g) AS text, sum(size) AS size FROM runs GROUP BY ALL),
+final_runs AS (SELECT *, CASE WHEN run = 2 AND first_value(size) OVER (PARTITION BY source_path ORDER BY run) < {K.CHUNK_MINIMUM} THEN 1 ELSE run END AS chunk FROM absorbed),
+chunks AS (SELECT source_path, (row_number() OVER (PARTITION BY source_path ORDER BY chunk) - 1)::INT AS ordinal,
+    string_agg(text, chr(10) || chr(10) ORDER BY run) AS content, sum(size) AS size FROM final_runs GROUP BY source_path, chunk)"""
+ORACLE["chunk_corpus"] = with_parts(LIBRARY, NAMED, CHUNKS) + """
+SELECT source_path, ordinal, (head_tokens + size)::INT AS token_count, sha256(c.content) AS content_hash FROM chunks c JOIN heads USING (source_path)"""
 ORACLE["chunk_coverage"] = with_parts(LIBRARY, NAMED, MARKDOWN, SECTIONS) + f"""
 SELECT source_path, true AS dense, count(DISTINCT word) AS distinct_words
 FROM (SELECT doc_id, unnest({WORDS.format("title || ' ' || heading_path || ' ' || content")}) AS word FROM sections) JOIN bodies USING (doc_id)
