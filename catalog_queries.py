@@ -27,7 +27,7 @@ from passagemill.operators import (
     vector,
 )
 from passagemill.plans import evaluation, retrieval
-from passagemill.plans.answering import answer_batch
+from passagemill.plans.answering import answer_batch as answer_questions
 from passagemill.plans.ingest import Options, prepared_documents, run_ingest
 from passagemill.session import persist_table, scratch_dir, ship_package
 from passagemill.sources import corpus as S
@@ -704,7 +704,7 @@ def validate_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def answer_batch_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answered = answer_batch(questions(spark, sf_dir), chunk_index(spark, sf_dir))
+    answered = answer_questions(questions(spark, sf_dir), chunk_index(spark, sf_dir))
     return answered.select(
         "query_id", "answered", "text", F.size("citations").alias("citations"), F.size("sources").alias("sources"),
         "abstain_reason", "answer_mode",
@@ -713,11 +713,11 @@ def answer_batch_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared
 def library_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return persist_table(answer_batch(questions(spark, sf_dir), library_index(spark, sf_dir)), "answers")
+    return persist_table(answer_questions(questions(spark, sf_dir), library_index(spark, sf_dir)), "answers")
 
 
 @query
-def answer_batch_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = F.transform("citations", lambda c: F.concat_ws(":", c["marker"].cast("string"), c["chunk_id"]))
     listed = F.transform("sources", lambda source: source["chunk_id"])
     return library_answers(spark, sf_dir).select(
@@ -766,11 +766,14 @@ def status_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = prepare.path_metadata(S.library_corpus(spark, sf_dir))
     marks = docs.join(S.table(spark, sf_dir, "labels"), "doc_id", "left")
     failed = F.col("toxic") == 1
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     return marks.select(
         "doc_id", prepare.document_id(F.col("source_path")).alias("document_id"), "source_path",
         F.col("subject").alias("title"), "doc_type",
         F.when(failed, "FAILED").otherwise("INDEXED").alias("status"),
-        F.when(~F.coalesce(failed, F.lit(False)), F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("n_chars").cast("decimal(18,6)"))).alias("indexed_at"),
+        F.when(~F.coalesce(failed, F.lit(False)), start + F.make_dt_interval(secs=F.col("n_chars").cast("decimal(18,6)"))).alias(
+            "indexed_at"
+        ),
     )
 
 
@@ -995,6 +998,19 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.documents(store.manifest()).select("source_path", "content_hash", "status")
 
 
+@query
+def scheduled_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backlog of changes is taken up by the next pass as one batch."""
+    store = IndexStore(spark, run_folder(spark, "scheduled-index"))
+    landing, checkpoint = run_folder(spark, "backlog"), run_folder(spark, "backlog-checkpoint")
+    for rows in change_feed(spark, sf_dir):
+        rows.write.mode("append").parquet(landing)
+    feed.stream_ingest(store, landing, checkpoint).awaitTermination()
+    manifest = store.manifest()
+    runs = F.lit(len(manifest.run_logs)).alias("runs")
+    return store.documents(manifest).select("source_path", "content_hash", "status", runs)
+
+
 @query
 def stream_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removals found by full passes: the second pass no longer lists unlabelled documents."""

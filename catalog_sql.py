@@ -502,7 +502,7 @@ answers AS (SELECT f.query_id, coalesce(answer <> '{K.NO_ANSWER}', false) AS ans
   CASE WHEN answer IS NULL THEN 'NO_RELEVANT_CONTEXT' WHEN answer = '{K.NO_ANSWER}' THEN 'MODEL_DECLINED' END AS abstain_reason
   FROM floored f LEFT JOIN drafts d ON d.query_id = f.query_id)""",
 )
-ORACLE["answer_batch_texts"] = with_parts(*ANSWERS) + """
+ORACLE["answer_batch"] = with_parts(*ANSWERS) + """
 SELECT query_id, answered, text, coalesce(citations, '') AS citations, sources, abstain_reason
 FROM answers LEFT JOIN cited USING (query_id) LEFT JOIN listed USING (query_id)"""
 
@@ -648,6 +648,7 @@ ORACLE["stream_volume_by_day"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(
 ORACLE["stream_ingest"] = with_parts(CORPUS, LABELLED) + f"""
 SELECT source_path, content_hash, 'INDEXED' AS status FROM labelled WHERE coalesce(toxic, 0) = 0 AND {TOKENS.format("content")} > 0
 UNION ALL SELECT concat('pages/', page_id, '.md'), sha256(url || ' late'), 'INDEXED' FROM pages"""
+ORACLE["scheduled_ingest"] = f"SELECT *, 1 AS runs FROM ({ORACLE['stream_ingest']})"
 ORACLE["stream_removals"] = with_parts(CORPUS, LABELLED) + (
     f"SELECT source_path FROM labelled WHERE quality IS NOT NULL AND {TOKENS.format('content')} > 0"
 )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import constants as K
+from passagemill.session import persist_table
 
 # Scores are compared after rounding, so equal vectors tie whatever the order of summation.
 SCORE_DIGITS = 9
@@ -145,6 +146,7 @@ def vector_topk(
     if block.num_rows <= bound:
         partial = broadcast_topk(block, offered, result, k)
     else:
+        asked = persist_table(asked, "questions")
         partial = grid_topk(asked, offered, result, k, max(1, block_values // dimensions))
     return ranked(partial, k)
 

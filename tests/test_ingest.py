@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import datetime, timezone
 
 import pytest
@@ -109,6 +110,27 @@ def test_change_feed_survives_late_rows_and_replays(spark, tmp_path):
     assert feed.apply_changes(store, again, before.batch_id) == before
 
 
+def test_scheduled_passes_pick_up_edits(spark, tmp_path):
+    root = tmp_path / "docs"
+    root.mkdir()
+    (root / "a.md").write_text("first")
+    store = IndexStore(spark, str(tmp_path / "index"))
+    query = feed.scheduled_ingest(spark, store, str(root), str(tmp_path / "checkpoint"), "1 second")
+    try:
+        for content in ("first", "second"):
+            (root / "a.md").write_text(content)
+            wanted, deadline = with_hash(spark.createDataFrame([(content,)], "content string")).first().content_hash, time.time() + 90
+            while time.time() < deadline:
+                assert query.exception() is None
+                if [r.content_hash for r in store.documents(store.manifest()).collect()] == [wanted]:
+                    break
+                time.sleep(0.5)
+            else:
+                pytest.fail("the pass did not see the file")
+    finally:
+        query.stop()
+
+
 def by_hand(events, limit, window):
     opened, seen, out = {}, {}, {}
     for caller, ts, event_id in sorted(events):
