@@ -21,34 +21,49 @@ Stemmer = Callable[[Column], Column]
 BROADCAST_ROWS = 500_000
 
 
-def build_postings(chunks: DataFrame, stemmer: Stemmer = stem.identity) -> DataFrame:
-    """Inverted index ``(lexeme, chunk_id, document_id, doc_type, tf, weight)`` of breadcrumbs and contents.
+TERMS_TYPE = "array<struct<lexeme: string, tf: int, weight: double>>"
+
+
+def counted_terms(lexemes: Column) -> Column:
+    """Distinct lexemes of each list with their count and rank part.
+
+    One vectorised count per Arrow batch instead of exploding, shuffling and regrouping every token.
+    """
+
+    def count(lists: pa.Array) -> pa.Array:
+        words = lists.flatten().dictionary_encode()
+        size = max(1, len(words.dictionary))
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        keys, tf = np.unique(row * size + words.indices.to_numpy(), return_counts=True)
+        inverse_squares = np.cumsum(1.0 / np.arange(1, tf.max(initial=1) + 1.0) ** 2)
+        weight = K.LEXEME_WEIGHT * inverse_squares[tf - 1] / K.INVERSE_SQUARE_LIMIT
+        entries = pa.StructArray.from_arrays(
+            [words.dictionary.take(pa.array(keys % size)), pa.array(tf, pa.int32()), pa.array(weight)],
+            ["lexeme", "tf", "weight"],
+        )
+        starts = np.searchsorted(keys // size, np.arange(len(lists) + 1))
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), entries)
+
+    return F.arrow_udf(count, TERMS_TYPE).asNondeterministic()(lexemes)
+
+
+def chunk_terms(chunks: DataFrame, stemmer: Stemmer = stem.identity) -> DataFrame:
+    """Postings per chunk: ``terms`` of lexeme, ``tf`` and ``weight`` from breadcrumb and content. No shuffle.
 
     ``weight`` is the lexeme's part of the rank: 0.1 times the sum of 1/j^2 over its occurrences.
-    Chunks are spread by id once and counted in place, so neither postings nor a lexeme found
-    everywhere are shuffled.
     """
     searched = F.concat_ws(" ", "breadcrumb", "content")
-    spread = chunks.select("chunk_id", "document_id", "doc_type", "breadcrumb", "content").repartition("chunk_id")
-    found = spread.select(
-        "chunk_id", "document_id", "doc_type", F.explode(stemmer(text.lexemes(searched))).alias("lexeme")
-    )
-    counted = found.groupBy("chunk_id", "document_id", "doc_type", "lexeme").agg(F.count("*").cast("int").alias("tf"))
-    inverse_squares = F.aggregate(
-        F.sequence(F.lit(1), F.col("tf")), F.lit(0.0), lambda total, place: total + 1.0 / (place * place)
+    return chunks.select(
+        "chunk_id", "document_id", "doc_type", counted_terms(stemmer(text.lexemes(searched))).alias("terms")
     )
-    return counted.withColumn("weight", K.LEXEME_WEIGHT * inverse_squares / K.INVERSE_SQUARE_LIMIT)
 
 
-def chunk_terms(chunks: DataFrame, stemmer: Stemmer = stem.identity) -> DataFrame:
-    """The postings of each chunk in one row, in the layout of the spread chunks: ``terms`` of lexeme, ``tf``, ``weight``."""
-    return build_postings(chunks, stemmer).groupBy("chunk_id", "document_id", "doc_type").agg(
-        F.collect_list(F.struct("lexeme", "tf", "weight")).alias("terms")
-    )
+def build_postings(chunks: DataFrame, stemmer: Stemmer = stem.identity) -> DataFrame:
+    """Inverted index ``(lexeme, chunk_id, document_id, doc_type, tf, weight)``, one row per chunk and lexeme."""
+    return postings_of(chunk_terms(chunks, stemmer))
 
 
 def postings_of(terms: DataFrame) -> DataFrame:
-    """One row per chunk and lexeme."""
     return terms.select(
         *[name for name in terms.columns if name != "terms"], F.explode("terms").alias("term")
     ).select("*", "term.*").drop("term")

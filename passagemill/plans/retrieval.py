@@ -30,7 +30,7 @@ def build_index(
 ) -> Index:
     """Chunks, vectors, terms and term frequencies of a corpus, written once to the scratch folder.
 
-    Chunking and embedding are narrow; the terms spread the chunk texts once.
+    Only the term frequencies are shuffled.
     """
     rows = prepare.whole_text_chunks(corpus) if whole_texts else prepare.chunk_corpus(corpus)
     embedded = embed.embed_with_provider(rows, "embedded_text", embed.hash_provider(dimensions))
