@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def _windows(kind: str, length: int, schema: pa.Schema):
             for part in slices(batch, "_text", 1 << 20):
                 units = Units(part.column("_text"), kind)
                 spans, opened = Spans(units.hashes()), part.column("_spans")
-                text = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(opened).to_numpy())
+                text = np.repeat(np.arange(part.num_rows), pc.list_value_length(opened).to_numpy())
                 low, last = (opened.flatten().field(name).to_numpy() for name in ("low", "last"))
                 count = (last - low + 1).astype(np.int64)
                 row = np.repeat(np.arange(len(low)), count)
@@ -191,7 +192,7 @@ def without_repeats(docs: DataFrame, id_col: str, text_col: str, kind: str, leng
                 kept, removed = [], []
                 texts_, ranges_ = part.column("_text"), part.column("_ranges")
                 low, high = (ranges_.flatten().field(name).to_numpy() for name in ("low", "high"))
-                sizes = pa.compute.fill_null(pa.compute.list_value_length(ranges_), 0).to_numpy(zero_copy_only=False)
+                sizes = pc.fill_null(pc.list_value_length(ranges_), 0).to_numpy(zero_copy_only=False)
                 at = 0
                 for row, size in enumerate(sizes):
                     if not size:
