@@ -11,8 +11,9 @@ over all the text that it alone guards.
    neighbouring text differs, or by chance). Only contested spans are opened into single windows, which are joined on the
    window's hash. The earliest of equal windows lies in a first anchor, so no repeat is lost, and no pairs are formed.
 
-Both joins are against one earliest row per hash, aggregated map-side: a passage in a third of all documents costs one
-row per document. Hashes have 96 bits.
+Anchors whose gram occurs once leave first, by a count that is combined before the shuffle. Both joins are
+against one earliest row per hash: a passage in a third of all documents costs one row per document. Spans (with
+their gram) and windows are known by 96 bits.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from passagemill.llm.arrow import Spans, Units, mix, slices
 from passagemill.llm.tables import fresh, text_mark
+from passagemill.session import persist_table
 
 MARK = "_mark"  # tells apart rows that share an id
 
@@ -72,10 +74,9 @@ def _anchors(kind: str, length: int, gram: int, schema: pa.Schema):
                 hashes = units.hashes()
                 text, low, last, grams = select_anchors(hashes, units.first, length, gram)
                 if len(text):
-                    one, two = Spans(hashes).of(low, last + length)
-                    base = units.first[text]
-                    places = [pa.array((x - base).astype(np.int32)) for x in (low, last)]
-                    keys = [pa.array(x) for x in (grams.view(np.int64), one, two)]
+                    _, span = Spans(hashes).of(low, last + length)
+                    places = [pa.array(x.astype(np.int32)) for x in (low - units.first[text], last - low)]
+                    keys = [pa.array(x) for x in (grams.view(np.int64), span)]
                     yield pa.RecordBatch.from_arrays(
                         [part.column(name).take(pa.array(text)) for name in ("_id", MARK)] + places + keys, schema=schema
                     )
@@ -121,24 +122,25 @@ def repeated_ranges(texts: DataFrame, kind: str, length: int, gram: int) -> Data
     head, arrow_head = f"_id {id_type}, {MARK} int", [("_id", arrow_id), (MARK, pa.int32())]
     anchors = texts.mapInArrow(
         _anchors(kind, length, gram, pa.schema(
-            arrow_head + [("low", pa.int32()), ("last", pa.int32()), ("gram", pa.int64()), ("one", pa.int64()), ("two", pa.int32())]
+            arrow_head + [("low", pa.int32()), ("more", pa.int32()), ("gram", pa.int64()), ("span", pa.int32())]
         )),
-        f"{head}, low int, last int, gram bigint, one bigint, two int",
+        f"{head}, low int, more int, gram bigint, span int",
     )
+    # Most anchors are alone with their gram; all further steps see the others only.
+    shared = anchors.groupBy("gram").count().where("count > 1").select("gram")
+    met = persist_table(anchors.join(apart(shared, "gram"), "gram", "left_semi"), "anchors")
     place = F.struct("_id", MARK, "low")
-    firsts = anchors.groupBy("one", "two").agg(
-        F.min(place).alias("first"), F.count("*").alias("copies"),
-        F.first("gram").alias("gram"), F.first(F.col("last") - F.col("low")).alias("more"),
-    )
+    firsts = persist_table(met.groupBy("gram", "span").agg(
+        F.min(place).alias("first"), F.count("*").alias("copies"), F.max("more").alias("more")
+    ), "firsts")
     settled = (
-        anchors.select("_id", MARK, "low", "last", "one", "two")
-        .join(firsts.where("copies > 1").select("one", "two", "first"), ["one", "two"])
+        met.join(firsts.where("copies > 1").select("gram", "span", "first"), ["gram", "span"])
         .where(place > F.col("first"))
-        .select("_id", MARK, "low", (F.col("last") + length).alias("high"))
+        .select("_id", MARK, "low", (F.col("low") + F.col("more") + length).alias("high"))
     )
-    shared = firsts.groupBy("gram").count().where("count > 1").select("gram")
+    several = firsts.groupBy("gram").count().where("count > 1").select("gram")
     contested = (
-        firsts.select("gram", "first", "more").join(shared, "gram", "left_semi")
+        firsts.join(apart(several, "gram"), "gram", "left_semi")
         .groupBy(F.col("first._id").alias("_id"), F.col(f"first.{MARK}").alias(MARK))
         .agg(F.collect_list(F.struct(F.col("first.low").alias("low"), (F.col("first.low") + F.col("more")).alias("last"))).alias("_spans"))
     )
@@ -146,15 +148,20 @@ def repeated_ranges(texts: DataFrame, kind: str, length: int, gram: int) -> Data
         _windows(kind, length, pa.schema(arrow_head + [("low", pa.int32()), ("one", pa.int64()), ("two", pa.int32())])),
         f"{head}, low int, one bigint, two int",
     )
-    earliest = windows.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("latest"))
+    earliest = windows.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     opened = (
-        windows.join(earliest.where("latest > first").select("one", "two", "first"), ["one", "two"])
+        windows.join(apart(earliest.select("one", "two", "first"), "one", "two"), ["one", "two"])
         .where(place > F.col("first"))
         .select("_id", MARK, "low", (F.col("low") + length).alias("high"))
     )
     return settled.unionByName(opened)
 
 
+def apart(table: DataFrame, *key: str) -> DataFrame:
+    """Deals an aggregate out anew, so that both sides of the join on ``key`` are dealt for it and a hot key can be split."""
+    return table.repartition(F.xxhash64(*key))
+
+
 def with_rows(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """``texts`` joined with one row per document of ``rows``."""
     rows = rows.withColumnsRenamed({"_id": "_id2", MARK: "_mark2"})
