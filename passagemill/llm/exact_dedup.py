@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm import fuse
-from passagemill.session import scratch_dir
+from passagemill.session import persist_table, scratch_dir
 
 KEYS_PER_FILTER = 500_000
 
@@ -27,6 +27,12 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return plain.groupBy("sha256", "plain").agg(F.min("_id").alias("keep_id"), F.count("*").alias("members"))
 
 
+def write_groups(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
+    """``grouped``, written once, so that the texts are shuffled once whatever reads them."""
+    grouped(docs, id_col, text_col).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def _key(digest: str = "sha256") -> Column:
     """64 bits of the digest."""
     return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("bigint")
@@ -46,7 +52,7 @@ class Snapshot:
         """Groups ``docs`` and writes them as a snapshot; the number of buckets follows the number of rows."""
         spark = docs.sparkSession
         path = path or f"{scratch_dir(spark)}/snapshot-{uuid.uuid4().hex}"
-        grouped(docs, id_col, text_col).write.option("compression", "zstd").parquet(f"{path}/texts")
+        write_groups(docs, id_col, text_col, f"{path}/texts")
         texts = spark.read.parquet(f"{path}/texts")
         buckets = max(256, -(-texts.count() // KEYS_PER_FILTER))
         keys = texts.select(_key().alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
@@ -86,8 +92,8 @@ def exact_dedup(batch: DataFrame, snapshot: Snapshot, id_col: str = "doc_id", te
     only if there is no other). Rows that repeat count as members. An empty table on either side leaves the other side's
     groups; other columns are ignored.
     """
-    new = grouped(batch, id_col, text_col)
-    known = snapshot.known(new).select("sha256", "old_id", "old_members")
+    new = write_groups(batch, id_col, text_col, f"{scratch_dir(batch.sparkSession)}/batch-{uuid.uuid4().hex}")
+    known = persist_table(snapshot.known(new).select("sha256", "old_id", "old_members"), "known")
     admitted = new.select("sha256", "keep_id", "members").join(known, "sha256", "left").select(
         "sha256", F.least("keep_id", "old_id").alias("keep_id"), (F.col("members") + F.coalesce("old_members", F.lit(0))).alias("members")
     )
