@@ -13,22 +13,23 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-WORD_CACHE = 200_000  # white-space separated words whose tokens a worker remembers
-_SPACES = re.compile(r"[\x20\x09-\x0D]+")
+WORD_CACHE = 400_000  # a worker remembers the tokens of so many white-space separated words, twice
+ARCS = 1_000_000  # entries of the transition table that a worker holds at once
 
 
 class Automaton:
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
-        self.vocabulary = vocabulary
+        self.number = dict(vocabulary)  # the tokens that have an arc
+        self.never: set[int] = set()  # merged tokens that no text ever has
         self.label = {number: token for token, number in vocabulary.items()}
         self.longest = max(map(len, vocabulary), default=1)
         # Per state: the token that leads to it, and the number of the merge that made it. State 0 has every arc.
@@ -39,13 +40,17 @@ class Automaton:
         self.left: dict[int, int] = {}  # merged token -> its left part
         self.lost: dict[tuple[int, int], int] = {}  # (u, v) -> the merge that took the arc v away behind u
         self.family: dict[int, tuple[list[int], list[int]]] = {}  # u -> merges, and the states they made behind u
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}  # by state and token
         for number, (left, right) in enumerate(merges):
             self._gadget(number, vocabulary[left], vocabulary[right], vocabulary[left + right])
 
     def _gadget(self, number: int, u: int, v: int, merged: int) -> None:
-        if merged in self.born:
+        if merged in self.born or merged in self.never:
             raise ValueError("two merges make the same token")
+        if u in self.never or v in self.never or not self._derive(self.enter.get(u, 0), v):
+            self.never.add(merged)  # earlier merges leave no u before a v
+            self.number.pop(self.label[merged])
+            return
         old = self.enter.get(v, 0)
         state = len(self.owner)
         self.owner.append(u)
@@ -59,9 +64,11 @@ class Automaton:
 
     def has_arc(self, state: int, token: int) -> bool:
         """Whether ``token`` may follow in ``state``: the row of the transition table, filled as it is used."""
-        known = self.arcs.get((state, token))
+        known = self.arcs.get(state << 32 | token)
         if known is None:
-            known = self.arcs[state, token] = self._derive(state, token)
+            if len(self.arcs) >= ARCS:
+                self.arcs.clear()
+            known = self.arcs[state << 32 | token] = self._derive(state, token)
         return known
 
     def _derive(self, state: int, token: int) -> bool:
@@ -83,28 +90,36 @@ class Automaton:
             token = self.left[token]
 
     def encode(self, symbols: list[str]) -> list[int]:
-        """The tokens of one word, given as its base symbols."""
-        n = len(symbols)
-        ends = [0]
+        """The tokens of one word, given as its base symbols.
+
+        Long arcs are tried first. An accepted path to a place is the only one, so a place that led nowhere is not tried again.
+        """
+        n, word, ends = len(symbols), "".join(symbols), [0]
         for symbol in symbols:
             ends.append(ends[-1] + len(symbol))
-        word = "".join(symbols)
-        states, back = [0] + [-1] * n, [(0, -1)] * (n + 1)
-        for end in range(1, n + 1):
-            for begin in range(end - 1, -1, -1):
-                if ends[end] - ends[begin] > self.longest:
-                    break
-                token = self.vocabulary.get(word[ends[begin] : ends[end]])
-                if token is not None and states[begin] >= 0 and self.has_arc(states[begin], token):
-                    states[end], back[end] = self.enter.get(token, 0), (begin, token)
-                    break
-        tokens, at = [], n
-        while at:
-            at, token = back[at]
-            if token < 0:
+        number_of, enter, arcs = self.number.get, self.enter.get, self.arcs
+        path, dead = [(0, 0, 0)], [False] * (n + 1)  # of each step: where it ends, the state, and its token
+        begin, state, end = 0, 0, n
+        while begin < n:
+            start = ends[begin]
+            while end > begin:
+                token = number_of(word[start : ends[end]])
+                if token is not None and not dead[end]:
+                    allowed = arcs.get(state << 32 | token)
+                    if allowed if allowed is not None else self.has_arc(state, token):
+                        break
+                end -= 1
+            if end > begin:
+                begin, state = end, enter(token, 0)
+                path.append((begin, state, token))
+                end = min(n, begin + self.longest)
+                continue
+            dead[begin] = True
+            if len(path) == 1:
                 raise ValueError("a symbol is not in the vocabulary")
-            tokens.append(token)
-        return tokens[::-1]
+            end = path.pop()[0] - 1
+            begin, state, _ = path[-1]
+        return [token for _, _, token in path[1:]]
 
 
 class Codec:
@@ -125,40 +140,57 @@ class Codec:
         self.suffix = model["model"]["end_of_word_suffix"] or ""
         self.automaton = Automaton(model["model"]["vocab"], merges)
         self.label = self.automaton.label | {number: token for token, number in self.special.items()}
-        self.words: dict[str, tuple[int, bytes, bytes]] = {}
-
-    def _encode(self, word: str) -> Iterator[int]:
+        # Ids and labels of words met lately; the older half leaves when the younger one is full.
+        self.words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes]] = {}
+        self.pieces: dict[str, list[int]] = {}
+
+    def _encode(self, word: str) -> list[int]:
+        if word.isascii() and word.isalpha():  # one piece whatever the pattern
+            return self._piece(word.lower())
+        ids: list[int] = []
         for part in self.splitter.split(word) if self.splitter else [word]:
             if part in self.special:
-                yield self.special[part]
+                ids.append(self.special[part])
             elif part:
                 plain = self.tokenizer.normalizer.normalize_str(part)
                 for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain):
                     if piece:
-                        yield from self.automaton.encode([*piece[:-1], piece[-1] + self.suffix])
+                        ids += self._piece(piece)
+        return ids
+
+    def _piece(self, piece: str) -> list[int]:
+        known = self.pieces.get(piece)
+        if known is None:
+            known = self.automaton.encode([*piece[:-1], piece[-1] + self.suffix])
+            if len(piece) <= 64:
+                if len(self.pieces) >= WORD_CACHE:
+                    self.pieces = {}
+                self.pieces[piece] = known
+        return known
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.label[number] for number in ids)
 
+    def _learn(self, word: bytes) -> tuple[bytes, bytes]:
+        known = self.older.pop(word, None)
+        if known is None:
+            numbers = self._encode(word.decode())
+            known = struct.pack(f"<{len(numbers)}I", *numbers), self.decode(numbers).encode()
+        if len(word) <= 64:
+            if len(self.words) >= WORD_CACHE:
+                self.older, self.words = self.words, {}
+            self.words[word] = known
+        return known
+
     def run(self, text: str) -> tuple[int, str, str]:
         """The number of ids, the SHA-256 of the ids as little-endian 32-bit integers, and that of the decoded text."""
-        count, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
-        for word in _SPACES.split(text):
-            if not word:
-                continue
-            known = self.words.get(word)
-            if known is None:
-                numbers = list(self._encode(word))
-                known = (len(numbers), np.array(numbers, dtype="<u4").tobytes(), self.decode(numbers).encode())
-                if len(word) <= 64:
-                    if len(self.words) >= WORD_CACHE:
-                        self.words.clear()
-                    self.words[word] = known
-            if known[0]:
-                decoded.update(b" " + known[2] if count else known[2])
-                ids.update(known[1])
-                count += known[0]
-        return count, ids.hexdigest(), decoded.hexdigest()
+        entries = []
+        for word in text.encode().split():
+            entries.append(self.words.get(word) or self._learn(word))
+        ids = b"".join([entry[0] for entry in entries])
+        decoded = b" ".join([entry[1] for entry in entries if entry[1]])
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 _codecs: dict[str, Codec] = {}
