@@ -137,9 +137,9 @@ def identify(
     """``_id``, ``_mark``, ``language``, ``confidence``, ``text_language`` and ``accepted`` of each row's whole text.
 
     ``accepted``: the likeliest language is a known one and its posterior is at least one half. A row without letters, and
-    a null or empty text, has no text evidence, is ``und`` and is not accepted. Missing declarations, suffixes and hosts
-    are a value of their own, so they say what rows without them are like. Repeated rows get equal results; an empty table
-    gives an empty table; other columns are ignored.
+    a null or empty text, has no text evidence, is ``und`` and is not accepted. A missing declaration says nothing; rows
+    without a host or suffix share those of the empty name. Repeated rows get equal results; an empty table gives an empty
+    table; other columns are ignored.
     """
     languages = model.languages
     rows = docs.select(
@@ -160,8 +160,10 @@ def identify(
         .select("_suffix", "_host", _smoothed("_n", "_of_suffix").alias("_prior"))
     )
     # P(declared | language): the declarations that rows of each language come with.
+    likelihood = F.zip_with("_n", F.array(*map(F.lit, everywhere)), lambda n, all_: (n + 0.5) / (all_ + 25.0))
+    nothing = F.array(*(F.lit(1.0) for _ in languages))
     declarations = _shares(table, ["_declared"], languages).select(
-        "_declared", F.zip_with("_n", F.array(*map(F.lit, everywhere)), lambda n, all_: (n + 0.5) / (all_ + 25.0)).alias("_says_so")
+        "_declared", F.when(F.col("_declared") == "", nothing).otherwise(likelihood).alias("_says_so")
     )
     fused = table.join(hosts, ["_suffix", "_host"]).join(declarations, "_declared")
     score = F.zip_with(F.zip_with("_ll", "_prior", lambda a, b: a + F.log(b)), "_says_so", lambda a, b: a + F.log(b))
