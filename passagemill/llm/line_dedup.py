@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passagemill.llm.winnowing import without_repeats
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, gram: int = 1) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, gram: int = 1, carry: bool = False) -> DataFrame:
     """Removes every line covered by ``run`` consecutive lines that also start earlier.
 
     Lines are split at ``\\n`` and compared byte by byte; lines without a word do not count and go only inside a removed
@@ -16,9 +16,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns ``_id``, ``_mark``, ``_text``, ``kept_text``, ``n_units`` (lines with a word) and ``n_removed`` per row.
     Null and empty texts have no lines and stay empty; rows equal in id and text are one document, so neither loses a
-    line to the other; an empty table gives an empty table; other columns are ignored.
+    line to the other; an empty table gives an empty table; other columns are ignored, or with ``carry`` kept in
+    ``_row``.
     """
-    return without_repeats(docs, id_col, text_col, "lines", run, gram)
+    return without_repeats(docs, id_col, text_col, "lines", run, gram, carry)
 
 
 def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3) -> DataFrame:

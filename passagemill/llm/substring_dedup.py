@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passagemill.llm.winnowing import without_repeats
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 20, gram: int = 4) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 20, gram: int = 4, carry: bool = False) -> DataFrame:
     """Removes every word covered by ``words`` consecutive words that also start earlier.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, compared unchanged; maximal repeats of at least ``words`` words go whole. Earlier:
@@ -16,9 +16,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns ``_id``, ``_mark``, ``_text``, ``kept_text`` (with its own white space), ``n_units`` and ``n_removed`` per row.
     Null and empty texts have no words and stay empty; rows equal in id and text are one document, so neither loses words
-    to the other; an empty table gives an empty table; other columns are ignored.
+    to the other; an empty table gives an empty table; other columns are ignored, or with ``carry`` kept in
+    ``_row``.
     """
-    return without_repeats(docs, id_col, text_col, "words", words, gram)
+    return without_repeats(docs, id_col, text_col, "words", words, gram, carry)
 
 
 def deduplicated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 20) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from passagemill.llm.arrow import Spans, Units, mix, slices
 from passagemill.llm.tables import fresh, text_mark
@@ -33,10 +34,16 @@ from passagemill.session import persist_table
 MARK = "_mark"  # tells apart rows that share an id
 
 
-def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id``, ``_mark`` and ``_text`` of each row: rows equal in id and text are one document, others are different ones."""
+def marked(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """``_id``, ``_mark`` and ``_text`` of each row: rows equal in id and text are one document, others are different ones.
+
+    With ``carry``, ``_row`` holds the row's other columns, and whether its text is null.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("_id"), F.hash(text).alias(MARK), text.alias("_text"))
+    rest = [F.col(text_col).isNull().alias(fresh(docs, "no_text")), *(docs[name] for name in docs.columns if name not in (id_col, text_col))]
+    return docs.select(
+        F.col(id_col).alias("_id"), text_mark(text_col).alias(MARK), text.alias("_text"), *([F.struct(*rest).alias("_row")] if carry else [])
+    )
 
 
 def select_anchors(hashes: np.ndarray, first: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -175,22 +182,18 @@ def pa_type(texts: DataFrame) -> pa.DataType:
     return to_arrow_type(texts.schema["_id"].dataType)
 
 
-def without_repeats(docs: DataFrame, id_col: str, text_col: str, kind: str, length: int, gram: int) -> DataFrame:
-    """Per row of ``docs``: ``_id``, ``_mark``, ``_text``, ``kept_text``, ``n_units`` and ``n_removed``.
+def without_repeats(docs: DataFrame, id_col: str, text_col: str, kind: str, length: int, gram: int, carry: bool = False) -> DataFrame:
+    """Per row of ``docs``: ``_id``, ``_mark``, ``_text``, with ``carry`` ``_row`` (see ``marked``), ``kept_text``, ``n_units``, ``n_removed``.
 
     ``kept_text`` lacks the repeated units and the white space (or line ends and blank lines) that follows them.
     """
-    texts = marked(docs, id_col, text_col)
+    texts = marked(docs, id_col, text_col, carry)
+    names = texts.columns
     ranges = (
         repeated_ranges(texts, kind, length, gram)
         .groupBy("_id", MARK)
         .agg(F.collect_list(F.struct("low", "high")).alias("_ranges"))
     )
-    id_type = texts.schema["_id"].dataType.simpleString()
-    schema = pa.schema([
-        ("_id", pa_type(texts)), (MARK, pa.int32()), ("_text", pa.string()), ("kept_text", pa.string()),
-        ("n_units", pa.int64()), ("n_removed", pa.int64()),
-    ])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,38 +224,31 @@ def without_repeats(docs: DataFrame, id_col: str, text_col: str, kind: str, leng
                     kept.append(b"".join(data[a:b].tobytes() for a, b in zip(cuts[::2], cuts[1::2])).decode())
                     removed.append(int(gone.sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), part.column(MARK), texts_, pa.array(kept, pa.string()),
+                    [*(part.column(name) for name in names), pa.array(kept, pa.string()),
                      pa.array(np.diff(units.first)), pa.array(removed, pa.int64())],
-                    schema=schema,
+                    [*names, "kept_text", "n_units", "n_removed"],
                 )
 
-    return with_rows(texts, ranges, "left").mapInArrow(
-        kernel, f"_id {id_type}, {MARK} int, _text string, kept_text string, n_units bigint, n_removed bigint"
-    )
+    schema = StructType([*texts.schema, *StructType.fromDDL("kept_text string, n_units bigint, n_removed bigint")])
+    return with_rows(texts, ranges, "left").mapInArrow(kernel, schema)
 
 
 def with_kept_text(docs: DataFrame, id_col: str, text_col: str, size_col: str, dedup) -> DataFrame:
     """``docs`` with the texts that ``dedup`` leaves and their size in characters, without those that lost all their units.
 
-    Only changed documents are joined; rows equal in id and text change alike.
+    The other columns travel with the text, so it is shuffled once.
     """
-    found = dedup(docs, id_col, text_col).where("n_removed > 0")
-    changed = found.select(
-        F.col("_id").alias("_changed_id"), F.col(MARK).alias("_changed_mark"), F.col("kept_text").alias("_changed_text"),
-        (F.col("n_removed") == F.col("n_units")).alias("_changed_gone"),
-    ).dropDuplicates(["_changed_id", "_changed_mark"])
-    key = fresh(docs, "_mark_of_text")
-    rows = docs.withColumn(key, text_mark(text_col))
-    same = rows[id_col].eqNullSafe(changed["_changed_id"]) & (rows[key] == changed["_changed_mark"])
-    joined = rows.join(changed, same, "left").where(~F.coalesce(changed["_changed_gone"], F.lit(False)))
-    text = F.coalesce(changed["_changed_text"], rows[text_col])
+    found = dedup(docs, id_col, text_col, carry=True).where("n_removed = 0 OR n_removed < n_units")
+    text = F.when(~F.col("_row").getField(fresh(docs, "no_text")), F.col("kept_text"))
 
     def column(name: str):
         if name == text_col:
             return text.alias(name)
+        if name == id_col:
+            return F.col("_id").alias(name)
+        held = F.col("_row").getField(name)
         if name == size_col:
-            size = F.char_length(text).cast(docs.schema[name].dataType)
-            return F.when(changed["_changed_text"].isNull(), rows[name]).otherwise(size).alias(name)
-        return rows[name]
+            held = F.when(F.col("n_removed") == 0, held).otherwise(F.char_length("kept_text").cast(docs.schema[name].dataType))
+        return held.alias(name)
 
-    return joined.select(*(column(name) for name in docs.columns))
+    return found.select(*(column(name) for name in docs.columns))

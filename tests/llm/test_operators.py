@@ -87,7 +87,7 @@ def test_ids_shared_by_different_texts_stay_apart(documents):
 def test_changed_documents(documents):
     rows = [(1, "a b c d"), (2, "a b c d"), (3, "x a b c d"), (4, None), (5, "z"), (3, "x a b c d")]
     docs = documents(rows, CLASHING)
-    got = winnowing.with_kept_text(docs, "doc_id", "text", "n_chars", lambda d, i, t: substring_dedup.substring_dedup(d, i, t, 4, 2))
+    got = winnowing.with_kept_text(docs, "doc_id", "text", "n_chars", lambda d, i, t, carry: substring_dedup.substring_dedup(d, i, t, 4, 2, carry))
     assert got.columns == docs.columns
     assert Counter((r.doc_id, r.text, r.n_chars) for r in got.collect()) == {
         (1, "a b c d", 7): 1, (3, "x ", 2): 2, (4, None, 0): 1, (5, "z", 1): 1,
