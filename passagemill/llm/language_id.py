@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.tables import drop_documents, hashed_share, text_mark
+from passagemill.llm.tables import apart, drop_documents, hashed_share, text_mark
 from passagemill.session import persist_table
 
 CELLS = 1 << 16
@@ -165,7 +165,7 @@ def identify(
     declarations = _shares(table, ["_declared"], languages).select(
         "_declared", F.when(F.col("_declared") == "", nothing).otherwise(likelihood).alias("_says_so")
     )
-    fused = table.join(hosts, ["_suffix", "_host"]).join(declarations, "_declared")
+    fused = table.join(apart(hosts, "_suffix", "_host"), ["_suffix", "_host"]).join(apart(declarations, "_declared"), "_declared")
     score = F.zip_with(F.zip_with("_ll", "_prior", lambda a, b: a + F.log(b)), "_says_so", lambda a, b: a + F.log(b))
     fused = fused.withColumn("_score", score).withColumn("_top", F.array_max("_score"))
     fused = fused.withColumn("_sum", F.aggregate("_score", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("_top"))))

@@ -23,7 +23,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm.tables import hashed_share
+from passagemill.llm.tables import apart, hashed_share
 
 SHARD_BYTES = 32 << 20  # payload of a shard, about
 ROLL_BYTES = 16 << 20  # compressed size at which a file is closed
@@ -48,7 +48,7 @@ def revisits(records: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     small = records.select("page_id", "digest", "bytes").where((F.col("bytes") >= least))
     keep = small.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min(F.coalesce("page_id", F.lit(-(1 << 63)))).alias("least"))
     keep = keep.where("least < refers_to").select("digest", "refers_to")
-    return small.join(keep, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
+    return small.join(apart(keep, "digest"), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
 def shard_bounds(records: DataFrame, shards: int, rows: int) -> list[int]:

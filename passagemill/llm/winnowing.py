@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from passagemill.llm.arrow import Spans, Units, mix, slices
-from passagemill.llm.tables import fresh, text_mark
+from passagemill.llm.tables import apart, fresh, text_mark
 from passagemill.session import persist_table
 
 MARK = "_mark"  # tells apart rows that share an id
@@ -164,11 +164,6 @@ def repeated_ranges(texts: DataFrame, kind: str, length: int, gram: int) -> Data
     return settled.unionByName(opened)
 
 
-def apart(table: DataFrame, *key: str) -> DataFrame:
-    """Deals an aggregate out anew, so that both sides of the join on ``key`` are dealt for it and a hot key can be split."""
-    return table.repartition(F.xxhash64(*key))
-
-
 def with_rows(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """``texts`` joined with one row per document of ``rows``."""
     rows = rows.withColumnsRenamed({"_id": "_id2", MARK: "_mark2"})
