@@ -144,7 +144,7 @@ def mode_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     suite = library_suite(spark, sf_dir)
     hits = evaluation.mode_hits(suite, library_index(spark, sf_dir))
     answerable = suite.where(F.col("type") == "answerable")
-    return persist_table(evaluate.query_outcomes(answerable, hits), "outcomes")
+    return persist_table(evaluate.query_outcomes(answerable, hits, evaluation.MODES), "outcomes")
 
 
 @shared
@@ -493,10 +493,8 @@ def keyword_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers ask with the vector of the same number."""
-    asked = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"))
-    vectors = S.table(spark, sf_dir, "embeddings")
-    return asked.join(vectors.withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", "embedding")
+    """Every stored vector is a question."""
+    return S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -684,7 +682,7 @@ def detect_abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def validate_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = marked_answers(spark, sf_dir)
-    # Every answer was given the first two library documents of its turn's source.
+    # Every answer was given two sources, named after it and numbered from one.
     numbered = answers.select("query_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("source_no")).withColumn(
         "name", F.concat_ws("-", F.col("query_id").cast("string"), F.col("source_no").cast("string"))
     )

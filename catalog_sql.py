@@ -390,13 +390,9 @@ ORACLE["repeated_lines"] = with_parts(LINES) + (
 ORACLE["hash_embedding"] = with_parts(hashed("dv", "documents", "doc_id", "text")) + """
 SELECT doc_id, place::INT AS place, round(coalesce(w / norm, 0), 6) AS value
 FROM (SELECT doc_id, unnest(range(64)) AS place FROM documents) LEFT JOIN dv USING (doc_id, place) LEFT JOIN dv_norm USING (doc_id)"""
-ORACLE["embed_with_provider"] = with_parts(*LIBRARY_CHUNKS, hashed("dv", "whole", "source_path", "embedded_text", 16)) + f"""
-SELECT source_path, CASE WHEN tokens > {K.MAX_INPUT_TOKENS} THEN NULL ELSE 16 END AS width,
-  CASE WHEN tokens <= {K.MAX_INPUT_TOKENS} THEN place::INT END AS place,
-  CASE WHEN tokens <= {K.MAX_INPUT_TOKENS} THEN round(coalesce(w / norm, 0), 6) END AS value
-FROM (SELECT source_path, {TOKENS.format("embedded_text")} AS tokens FROM whole)
-JOIN (SELECT unnest(range(16)) AS place) ON tokens <= {K.MAX_INPUT_TOKENS} OR place = 0
-LEFT JOIN dv USING (source_path, place) LEFT JOIN dv_norm USING (source_path)"""
+ORACLE["embed_with_provider"] = with_parts(*LIBRARY_CHUNKS, hashed("dv", "whole", "source_path", "embedded_text", 16)) + """
+SELECT source_path, 16 AS width, place::INT AS place, round(coalesce(w / norm, 0), 6) AS value
+FROM whole CROSS JOIN (SELECT unnest(range(16)) AS place) LEFT JOIN dv USING (source_path, place) LEFT JOIN dv_norm USING (source_path)"""
 ORACLE["l2_normalise"] = """
 SELECT vec_id, (place - 1)::INT AS place, round(CASE WHEN norm = 0 THEN value ELSE value / norm END, 6) AS value
 FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) AS place,
@@ -415,7 +411,7 @@ SELECT query_id, chunk_id, round(raw_score, 6) AS raw_score, rank::INT AS rank F
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, chunk_id) AS rank FROM (
     SELECT q.vec_id AS query_id, c.vec_id AS chunk_id,
       round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS raw_score
-    FROM (SELECT e.* FROM embeddings e JOIN customer ON vec_id = c_custkey) q CROSS JOIN embeddings c)) WHERE rank <= 20"""
+    FROM embeddings q CROSS JOIN embeddings c)) WHERE rank <= 20"""
 ORACLE["vector_topk_grid"] = ORACLE["vector_topk"]
 ORACLE["build_postings"] = with_parts(*LIBRARY_CHUNKS, POSTINGS) + (
     "SELECT lexeme, chunk_id, document_id, tf, round(weight, 6) AS weight FROM postings"
@@ -444,7 +440,7 @@ ORACLE["top_k_bounds"] = """
 SELECT conv_id, turn, top_k, length(question)::INT AS chars,
   CASE WHEN length(question) < 1 THEN 'question is empty' WHEN length(question) > 500 THEN 'question is longer than 500 characters'
        WHEN top_k NOT BETWEEN 1 AND 20 THEN 'top_k is not within 1..20' END AS problem
-FROM (SELECT conv_id, turn, trim(text) AS question, (turn * 5 + conv_id % 3)::INT AS top_k FROM conversations)"""
+FROM (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS question, (turn * 5 + conv_id % 3)::INT AS top_k FROM conversations)"""
 
 # Answers.
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import constants as K
 
+# A heading ends at any line end that the dot of the original rule stops at: also the two Unicode line separators.
 HEADING = re.compile(r"(#{1,6})\s+([^\n\r  ]+?)\s*#*\s*")
 FENCE = re.compile(r"\s*(`{3,}|~{3,})")
 SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+")

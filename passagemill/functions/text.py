@@ -45,7 +45,7 @@ def content_words(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Whitespace tokens; the default counter."""
-    return F.size(F.filter(F.split(text, r"\s+"), lambda token: token != ""))
+    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda token: token != ""))
 
 
 def sentences(text: Column) -> Column:
@@ -56,7 +56,8 @@ def sentences(text: Column) -> Column:
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space at the ends, no-break spaces included."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:

@@ -142,8 +142,8 @@ def validate_citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
     joined = answers.join(resolved, "query_id", "left").withColumn(
         "dropped_markers", F.coalesce("dropped", no_numbers)
     )
-    # Leading zeros name the same marker.
-    pattern = F.concat(F.lit(r"\[0{0,2}(?:"), F.array_join(F.col("dropped_markers").cast("array<string>"), "|"), F.lit(r")\]"))
+    # Leading zeros name the same marker; a marker has at most three digits.
+    pattern = F.concat(F.lit(r"\[(?=\d{1,3}\])0*(?:"), F.array_join(F.col("dropped_markers").cast("array<string>"), "|"), F.lit(r")\]"))
     bare = F.regexp_replace(F.col("answer"), pattern, F.lit(""))
     tidy = F.regexp_replace(F.regexp_replace(bare, r"[ \t]+([.,;:!?])", "$1"), r"[ \t]{2,}", " ")
     return joined.select(

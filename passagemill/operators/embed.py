@@ -19,6 +19,9 @@ from passagemill.functions import text
 WORD = re.compile("[a-z0-9]+")
 
 
+NO_LIMIT = (1 << 31) - 1
+
+
 @dataclass(frozen=True)
 class Provider:
     """A vector producer with its request limits. ``embed`` keeps the order of its inputs."""
@@ -59,25 +62,34 @@ def hash_embedding(df: DataFrame, key: str, column: str, dimensions: int) -> Dat
     return dense.withColumn("embedding", text.normalise(F.col("embedding")))
 
 
+def hash_state(token: str) -> int:
+    state = K.FNV_OFFSET
+    for code in token.encode():
+        state = (state ^ code) * K.FNV_PRIME % K.FNV_MODULUS
+    return state
+
+
 def hash_provider(dimensions: int) -> Provider:
-    """The same hashed-word vectors as a provider, for plans that already run in Python."""
+    """The same hashed-word vectors as a provider, for plans that already run in Python.
+
+    Nothing is requested from anywhere, so texts of any length are embedded. Each distinct word of a request is hashed once.
+    """
 
     def embed(texts: list[str]) -> list[list[float]]:
-        known: dict[str, tuple[int, int]] = {}
+        numbers: dict[str, int] = {}
         vectors = np.zeros((len(texts), dimensions))
-        for row, value in zip(vectors, texts):
-            for token in WORD.findall(value.lower()):
-                if token not in known:
-                    state = K.FNV_OFFSET
-                    for code in token.encode():
-                        state = (state ^ code) * K.FNV_PRIME % K.FNV_MODULUS
-                    known[token] = state % dimensions, -1 if state >> 16 & 1 else 1
-                place, sign = known[token]
-                row[place] += sign
+        found = []
+        for value in texts:
+            words = WORD.findall(value.lower())
+            found.append(np.fromiter((numbers.setdefault(word, len(numbers)) for word in words), dtype=np.int64, count=len(words)))
+        states = np.fromiter(map(hash_state, numbers), dtype=np.int64, count=len(numbers))
+        places, signs = states % dimensions, np.where(states >> 16 & 1, -1.0, 1.0)
+        for row, ids in zip(vectors, found):
+            row += np.bincount(places[ids], weights=signs[ids], minlength=dimensions)
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)
         return np.divide(vectors, norms, out=vectors, where=norms > 0).tolist()
 
-    return Provider(embed, dimensions)
+    return Provider(embed, dimensions, max_input_tokens=NO_LIMIT, max_request_tokens=NO_LIMIT)
 
 
 def request_ranges(sizes: list[int], provider: Provider) -> Iterator[tuple[int, int]]:

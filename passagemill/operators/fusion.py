@@ -42,7 +42,7 @@ def doc_type_filter(questions: DataFrame, doc_type: str | Column) -> DataFrame:
 
 def request_problem() -> Column:
     """Why a request is out of bounds, or null."""
-    length = F.length(F.trim("question"))
+    length = F.length(text.trim_space(F.col("question")))
     return (
         F.when(F.coalesce(length, F.lit(0)) < K.MIN_QUERY_CHARS, "question is empty")
         .when(length > K.MAX_QUERY_CHARS, f"question is longer than {K.MAX_QUERY_CHARS} characters")
@@ -53,7 +53,7 @@ def request_problem() -> Column:
 def top_k_bounds(requests: DataFrame) -> DataFrame:
     """Trims questions, fills the default ``top_k`` and adds ``problem``, null for valid requests."""
     filled = requests.withColumn("top_k", F.coalesce("top_k", F.lit(K.DEFAULT_TOP_K)))
-    return filled.withColumn("problem", request_problem()).withColumn("question", F.trim("question"))
+    return filled.withColumn("problem", request_problem()).withColumn("question", text.trim_space(F.col("question")))
 
 
 def accepted(requests: DataFrame) -> DataFrame:

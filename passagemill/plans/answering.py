@@ -24,7 +24,8 @@ def answer_passages(
     """One answer row per question from ranked passages.
 
     ``model_answers`` is an optional ``(query_id, answer)`` table of external output; without it the
-    extractive answers are used. Questions under the score floor never reach either.
+    extractive answers are used. Questions under the score floor never reach either; a question without a row among
+    the model's answers is reported as such and not as answered.
     """
     # Both are read several times below and hold a few rows per question.
     floored = persist_table(A.score_floor(questions.select("query_id", "question"), passages, floor), "floored")
@@ -34,7 +35,7 @@ def answer_passages(
     if model_answers is None:
         raw, mode = A.extractive_answers(answerable, sources), "extractive"
     else:
-        raw, mode = answerable.select("query_id").join(model_answers, "query_id"), "model"
+        raw, mode = answerable.select("query_id").join(model_answers, "query_id", "left"), "model"
     judged = A.detect_abstention(raw.withColumn("answer", A.text.trim_space(F.col("answer"))))
     cited = A.validate_citations(judged, sources)
     # Floored questions report what was retrieved, the others the sources their markers refer to.
@@ -44,7 +45,8 @@ def answer_passages(
     )
     declined = F.coalesce("declined", F.lit(False))
     floor_hit = F.col("abstain_reason").isNotNull()
-    answered = ~(floor_hit | declined)
+    missing = ~floor_hit & F.col("text").isNull()
+    answered = ~(floor_hit | declined | missing)
     return (
         floored.join(cited, "query_id", "left")
         .join(reported, "query_id", "left")
@@ -52,7 +54,7 @@ def answer_passages(
             "query_id", "question", answered.alias("answered"),
             F.when(answered, F.col("text")).otherwise(K.ABSTENTION_TEXT).alias("text"),
             F.when(answered, F.col("citations")).otherwise(F.array().cast(A.CITATIONS)).alias("citations"),
-            F.coalesce("abstain_reason", F.when(declined, "MODEL_DECLINED")).alias("abstain_reason"),
+            F.coalesce("abstain_reason", F.when(declined, "MODEL_DECLINED"), F.when(missing, "NO_MODEL_ANSWER")).alias("abstain_reason"),
             F.when(answered, F.col("dropped_markers")).otherwise(F.array().cast("array<int>")).alias("dropped_markers"),
             "sources", F.lit(mode).alias("answer_mode"), "top_score",
         )

@@ -11,6 +11,9 @@ from passagemill.plans.retrieval import Index, keyword_arm, rewritten_questions,
 from passagemill.session import persist_table
 
 
+MODES = ("hybrid", "keyword", "vector")
+
+
 def mode_hits(suite: DataFrame, index: Index, top_k: int = K.DEFAULT_TOP_K) -> DataFrame:
     """``(mode, query_id, pos, source_path)`` of the answerable queries.
 

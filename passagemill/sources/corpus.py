@@ -23,7 +23,8 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_corpus(spark: SparkSession, root: str, extensions: tuple[str, ...] = K.CORPUS_EXTENSIONS) -> DataFrame:
     """Files under ``root`` as ``(source_path, content, content_hash)``; paths are relative to it.
 
-    Spark's file listing itself leaves out names that start with ``.`` or ``_``.
+    Bytes that are no UTF-8 become replacement characters; the hash is over the raw bytes. Spark's file listing itself
+    leaves out names that start with ``.`` or ``_``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/")
@@ -37,7 +38,7 @@ def scan_corpus(spark: SparkSession, root: str, extensions: tuple[str, ...] = K.
         .where(wanted & ~skipped)
         .select(
             "source_path",
-            F.decode("content", "UTF-8").alias("content"),
+            F.expr("make_valid_utf8(cast(content AS string))").alias("content"),
             F.sha2("content", 256).alias("content_hash"),
         )
     )

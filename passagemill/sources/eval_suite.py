@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions import text
 from passagemill.session import persist_table
 
-MAX_SHORT_ITEMS = 10_000
+SHORT_ANCHOR = 3
 SUITE_SCHEMA = "id string, type string, question string, expect array<string>"
 
 
@@ -21,33 +21,33 @@ def load_eval_suite(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def anchored_candidates(corpus: DataFrame, anchors: DataFrame, pieces: Column) -> DataFrame:
+    """Documents and items that share the item's anchor, one of the ``pieces`` of the text."""
+    by_piece = corpus.select("source_path", F.explode(F.array_distinct(pieces)).alias("anchor"))
+    return by_piece.join(anchors, "anchor").drop("anchor")
+
+
 def containing_documents(items: DataFrame, corpus: DataFrame) -> DataFrame:
     """``(query_id, source_path)`` of the documents that contain an item word for word.
 
     An inner word of an item appears as a whole word in any text containing the item, so both sides
-    meet on the item's longest inner word. Items of fewer than three words are looked up in each
-    text directly.
+    meet on the item's longest inner word. Items of fewer than three words meet the texts on their first
+    three characters (or on all they have); an empty item is in no text.
     """
     words = text.raw_words(F.col("question"))
     inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda word: word != "")
     longest = F.array_max(F.transform(inner, lambda word: F.struct(F.length(word).alias("size"), word.alias("word"))))
-    anchored = items.select("query_id", "question", longest["word"].alias("word"))
-    by_word = corpus.select("source_path", F.explode(F.array_distinct(text.raw_words(F.col("content")))).alias("word"))
-    candidates = persist_table(
-        by_word.join(anchored.where(F.col("word").isNotNull()), "word").drop("word"), "containment-candidates"
-    )
-    found = candidates.join(corpus.select("source_path", "content"), "source_path").where(
+    anchored = items.select("query_id", "question", longest["word"].alias("anchor"))
+    candidates = anchored_candidates(corpus, anchored.where(F.col("anchor").isNotNull()), text.raw_words(F.col("content")))
+    short = anchored.where(F.col("anchor").isNull()).withColumn("anchor", F.substring("question", 1, SHORT_ANCHOR))
+    sizes = [row[0] for row in short.select(F.length("anchor")).distinct().collect()]  # at most four numbers
+    for size in sorted(size for size in sizes if size):
+        every_run = F.regexp_extract_all(F.col("content"), F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
+        candidates = candidates.unionByName(anchored_candidates(corpus, short.where(F.length("anchor") == size), every_run))
+    candidates = persist_table(candidates, "containment-candidates")
+    return candidates.join(corpus.select("source_path", "content"), "source_path").where(
         F.col("content").contains(F.col("question"))
-    )
-    short = anchored.where(F.col("word").isNull()).select("query_id", "question").limit(MAX_SHORT_ITEMS + 1).collect()
-    if len(short) > MAX_SHORT_ITEMS:
-        raise ValueError(f"more than {MAX_SHORT_ITEMS} items have fewer than three words")
-    if not short:
-        return found.select("query_id", "source_path")
-    listed = F.array(*[F.struct(F.lit(row[0]).alias("query_id"), F.lit(row[1]).alias("question")) for row in short])
-    inside = F.filter(listed, lambda item: F.col("content").contains(item["question"]))
-    direct = corpus.select("source_path", F.explode(inside).alias("item")).select("item.query_id", "source_path")
-    return found.select("query_id", "source_path").unionByName(direct)
+    ).select("query_id", "source_path")
 
 
 def benchmark_suite(benchmark: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -111,3 +111,16 @@ def test_abstentions_have_no_citations(spark):
     assert [got[n].abstain_reason for n in (1, 2, 3)] == ["NO_RELEVANT_CONTEXT", "MODEL_DECLINED", "NO_RELEVANT_CONTEXT"]
     assert all(not r.answered and r.citations == [] and r.dropped_markers == [] for r in got.values())
     assert [s.chunk_id for s in got[1].sources] == ["c1"] and got[3].sources is None
+
+
+def test_a_missing_model_answer_is_not_answered(spark):
+    hits = passages(spark, ["x"]).unionByName(passages(spark, ["x"], 2))
+    model = spark.createDataFrame([(1, "yes [1]")], "query_id int, answer string")
+    got = {r.query_id: (r.answered, r.abstain_reason) for r in answer_passages(questions(spark, "a", "b"), hits, model).collect()}
+    assert got == {1: (True, None), 2: (False, "NO_MODEL_ANSWER")}
+
+
+def test_only_markers_of_up_to_three_digits_are_stripped(spark):
+    answers = spark.createDataFrame([(1, "a [12] b [012] c [0012] d [1]")], "query_id int, answer string")
+    row = A.validate_citations(answers, passages(spark, ["x"]).withColumn("source_no", F.col("pos"))).first()
+    assert row.text == "a b c [0012] d [1]" and row.dropped_markers == [12]

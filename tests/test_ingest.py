@@ -1,3 +1,4 @@
+import hashlib
 import random
 import time
 from datetime import datetime, timezone
@@ -107,7 +108,22 @@ def test_change_feed_survives_late_rows_and_replays(spark, tmp_path):
     assert live == {"a.md": "two", "c.md": "sea two"} and paths(store) == ["a.md", "c.md"]
     before = store.manifest()
     again = spark.createDataFrame([("z.md", "z", "upsert", 9)], feed.CHANGE_SCHEMA)
-    assert feed.apply_changes(store, again, before.batch_id) == before
+    stream = feed.checkpoint_id(spark, checkpoint)
+    assert feed.apply_changes(store, again, before.batch_id, stream=stream) == before
+    # A new checkpoint counts from zero again, and its data is new; a row without an operation is reported, not lost.
+    landing, checkpoint = str(tmp_path / "landing2"), str(tmp_path / "checkpoint2")
+    land(("d.md", "dee", "upsert", 7), ("a.md", "odd", None, 8), ("e.md", "e", "move", 9))
+    status = {r.source_path: r.status for r in store.documents(store.manifest()).collect()}
+    assert status == {"a.md": "FAILED", "c.md": "INDEXED", "d.md": "INDEXED", "e.md": "FAILED"}
+    assert {r.source_path: r.content for r in store.chunks(store.manifest()).collect()} == {"a.md": "two", "c.md": "sea two", "d.md": "dee"}
+
+
+def test_a_file_that_is_no_utf8_is_read_with_replacements(spark, tmp_path):
+    (tmp_path / "good.md").write_text("good", encoding="utf-8")
+    (tmp_path / "bad.md").write_bytes("caf\xe9 noir".encode("latin-1"))
+    rows = {r.source_path: r for r in scan_corpus(spark, str(tmp_path)).collect()}
+    assert rows["bad.md"].content == "caf\ufffd noir" and rows["good.md"].content == "good"
+    assert rows["bad.md"].content_hash == hashlib.sha256("caf\xe9 noir".encode("latin-1")).hexdigest()
 
 
 def test_scheduled_passes_pick_up_edits(spark, tmp_path):

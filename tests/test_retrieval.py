@@ -215,3 +215,37 @@ def test_metrics(spark):
     assert got["vector"] == (pytest.approx(1 / 3, abs=1e-6), pytest.approx(1 / 3, abs=1e-6), pytest.approx(2 / 3, abs=1e-6), 3)
     nothing = evaluate.query_outcomes(suite.where("query_id = 3"), hits)
     assert all(r.recall is None for r in evaluate.recall_at_k(nothing).collect())
+
+
+def test_modes_without_a_hit_are_judged(spark):
+    suite = spark.createDataFrame([(1, "answerable", "q", ["a"])], "query_id int, type string, question string, expected array<string>")
+    hits = spark.createDataFrame([("hybrid", 1, 1, "a")], "mode string, query_id int, pos int, source_path string")
+    outcomes = evaluate.query_outcomes(suite, hits, ("hybrid", "vector"))
+    assert {r["mode"]: (r.recall, r.mrr) for r in evaluate.compare_modes(outcomes).collect()} == {"hybrid": (1.0, 1.0), "vector": (0.0, 0.0)}
+
+
+def test_white_space_of_any_kind_is_trimmed(spark):
+    asked = spark.createDataFrame([("\t\n",), ("  a b ",), (" x ",)], "question string").withColumn("top_k", F.lit(3))
+    got = [(r.question, r.problem) for r in fusion.top_k_bounds(asked).collect()]
+    assert got == [("", "question is empty"), ("a b", None), ("x", None)]
+    assert spark.range(1).select(text.token_count(F.lit("a b c"))).first()[0] == 3
+
+
+def test_long_texts_keep_their_vector(spark):
+    corpus = spark.createDataFrame([("long.md", "word " * 20_000, "h"), ("short.md", "word", "g")], "source_path string, content string, content_hash string")
+    index = retrieval.build_index(corpus, 16, whole_texts=True)
+    assert index.chunks.where("embedding is null").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_containing_documents(spark, seed):
+    from passagemill.sources.eval_suite import containing_documents
+
+    pick = random.Random(seed)
+    texts = ["".join(pick.choice(["a", "b", "é", " ", "\n", "word ", "."]) for _ in range(pick.randint(0, 60))) for _ in range(40)]
+    items = [(i, t[a : a + pick.randint(0, 12)]) for i, t in enumerate(texts * 2) for a in [pick.randint(0, max(len(t) - 1, 0))]]
+    items += [(900, "a"), (901, "zz"), (902, "b\n")]
+    corpus = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "source_path string, content string")
+    got = containing_documents(spark.createDataFrame(items, "query_id int, question string"), corpus).collect()
+    want = sorted((i, f"d{n}") for i, q in items if q for n, t in enumerate(texts) if q in t)
+    assert sorted(map(tuple, got)) == want
