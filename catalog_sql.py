@@ -412,6 +412,24 @@ SELECT query_id, chunk_id, round(raw_score, 6) AS raw_score, rank::INT AS rank F
     SELECT q.vec_id AS query_id, c.vec_id AS chunk_id,
       round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS raw_score
     FROM embeddings q CROSS JOIN embeddings c)) WHERE rank <= 20"""
+CELLS = """centres AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY place, vec_id) - 1 AS cell, v, sqrt(list_inner_product(v, v)) AS norm FROM (
+    SELECT vec_id, embedding::DOUBLE[] AS v, (vec_id * 7919) % 104729 AS place FROM embeddings
+    WHERE list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 ORDER BY place, vec_id LIMIT 32)),
+near AS MATERIALIZED (
+  SELECT vec_id, cell, row_number() OVER (
+    PARTITION BY vec_id ORDER BY round(list_inner_product(embedding::DOUBLE[], v) / norm, 9) DESC, cell) AS place
+  FROM embeddings CROSS JOIN centres),
+probed AS MATERIALIZED (
+  SELECT q.vec_id AS query_id, c.vec_id AS chunk_id FROM near q JOIN near c ON q.cell = c.cell AND q.place <= 16 AND c.place = 1),
+approximate AS MATERIALIZED (SELECT query_id, chunk_id, round(raw_score, 6) AS raw_score, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, chunk_id) AS rank FROM (
+    SELECT query_id, chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS raw_score
+    FROM probed JOIN embeddings q ON q.vec_id = query_id JOIN embeddings c ON c.vec_id = chunk_id)) WHERE rank <= 20)"""
+ORACLE["vector_topk_ann"] = with_parts(CELLS) + "SELECT * FROM approximate"
+ORACLE["vector_ann_recall"] = with_parts(CELLS, f"exact AS ({ORACLE['vector_topk']})") + """
+SELECT count(*) AS exact_hits, count(a.chunk_id) AS found_hits, round(count(a.chunk_id) / count(*), 6) AS recall
+FROM exact LEFT JOIN approximate a USING (query_id, chunk_id)"""
 ORACLE["vector_topk_grid"] = ORACLE["vector_topk"]
 ORACLE["build_postings"] = with_parts(*LIBRARY_CHUNKS, POSTINGS) + (
     "SELECT lexeme, chunk_id, document_id, tf, round(weight, 6) AS weight FROM postings"
@@ -436,6 +454,16 @@ SELECT query_id, pos::INT AS pos, source_path, doc_type, breadcrumb, vector_rank
   round(score, 6) AS score FROM passages WHERE pos <= 6"""
 ORACLE["passage_join"] = with_parts(*RETRIEVAL, PASSAGES) + """
 SELECT query_id, pos::INT AS pos, chunk_id, document_id, subject AS title, source_path, doc_type, 0 AS ordinal, content_hash FROM passages"""
+# Separators are doubled, so that neighbouring matches do not share one; each match then takes one on either side.
+ORACLE["explain_matches"] = with_parts(*RETRIEVAL, PASSAGES, rf"""
+ordered AS (SELECT query_id, string_agg(regexp_replace(term, '([.*+?^${{}}()|\[\]\\])', '\\\1', 'g') || '{K.INFLECTIONS}', '|'
+  ORDER BY -length(term), term) AS body FROM (SELECT DISTINCT query_id, unnest(list_filter({TERMS.format("question")},
+  lambda t: length(t) >= {K.MIN_HIGHLIGHT_CHARS})) AS term FROM questions) GROUP BY query_id),
+marked AS (SELECT query_id, chunk_id, content, CASE WHEN body IS NULL THEN 0 ELSE len(regexp_extract_all(
+  regexp_replace(content, '([^\p{{L}}\p{{N}}])', '\1\1', 'g'),
+  '(?i)(?:^|[^\p{{L}}\p{{N}}])(' || body || ')(?:[^\p{{L}}\p{{N}}]|$)', 1)) END AS marks
+  FROM passages LEFT JOIN ordered USING (query_id))""") + """
+SELECT query_id, chunk_id, marks::INT AS marks, marks = 0 AS semantic_only, (length(content) + 13 * marks)::INT AS marked_chars FROM marked"""
 ORACLE["top_k_bounds"] = """
 SELECT conv_id, turn, top_k, length(question)::INT AS chars,
   CASE WHEN length(question) < 1 THEN 'question is empty' WHEN length(question) > 500 THEN 'question is longer than 500 characters'

@@ -245,13 +245,13 @@ def grid_topk(asked: DataFrame, offered: DataFrame, result: T.StructType, k: int
     return tagged.mapInArrow(scan, result)
 
 
-def cell_centres(chunks: DataFrame, cells: int, chunk_key: str) -> np.ndarray:
-    """Unit vectors of ``cells`` chunks chosen by the hash of their id."""
+def cell_centres(chunks: DataFrame, cells: int, chunk_key: str, order: Column | None = None) -> np.ndarray:
+    """Unit vectors of the ``cells`` chunks that come first in ``order``, by default the hash of their id."""
     norm = F.aggregate("embedding", F.lit(0.0), lambda total, value: total + value * value)
     filled = chunks.where(F.col("embedding").isNotNull()).select(
-        F.xxhash64(chunk_key).alias("place"), F.col("embedding").cast("array<double>").alias("embedding")
+        (F.xxhash64(chunk_key) if order is None else order).alias("place"), F.col(chunk_key).alias("key"), F.col("embedding").cast("array<double>").alias("embedding")
     )
-    chosen = filled.where(norm > 0).orderBy("place").limit(cells).toArrow()
+    chosen = filled.where(norm > 0).orderBy("place", "key").limit(cells).toArrow()
     centres = as_matrix(chosen.combine_chunks()["embedding"].combine_chunks())
     return centres / np.linalg.norm(centres, axis=1, keepdims=True)
 
@@ -285,14 +285,14 @@ def probe_cells(questions: DataFrame, centres: np.ndarray, probes: int) -> DataF
 
 def vector_topk_ann(
     questions: DataFrame, chunks: DataFrame, dimensions: int, cells: int = 32, probes: int = 8, k: int = K.CANDIDATES,
-    chunk_key: str = "chunk_id",
+    chunk_key: str = "chunk_id", order: Column | None = None,
 ) -> DataFrame:
     """Approximate ``vector_topk``: each question looks into its nearest cells only.
 
     A chunk lies in one cell, so no candidate appears twice and a crowded cell is read by many
     tasks. Scores of the found chunks are exact. Vectors without any grouping need more probes.
     """
-    centres = cell_centres(chunks, cells, chunk_key)
+    centres = cell_centres(chunks, cells, chunk_key, order)
     return vector_topk(
         probe_cells(questions, centres, probes), assign_cells(chunks, centres), dimensions, k, chunk_key
     )
