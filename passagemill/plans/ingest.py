@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.functions import constants as K
@@ -14,8 +15,9 @@ from passagemill.operators import changes as C
 from passagemill.operators import embed, keyword, prepare
 from passagemill.plans.retrieval import Index
 from passagemill.session import persist_table
-from passagemill.sources.index_store import CHUNK_SCHEMA, IndexStore, Manifest
+from passagemill.sources.index_store import CHUNK_SCHEMA, TERM_SCHEMA, IndexStore, Manifest
 
+PHASES = ("DISCOVER", "PARSE", "CHUNK", "EMBED", "PERSIST", "RUN")
 QUIET_WORK = "source_path string, outcome string, chunk_count int, unsupported int, phase string, error string"
 
 
@@ -96,12 +98,42 @@ def run_ingest(
     """Brings the index up to date with ``(source_path, content, content_hash)`` rows.
 
     ``corpus`` is the full listing unless ``changes`` gives the classified paths itself. Only added
-    and updated documents are prepared, and only their chunks and terms are written.
+    and updated documents are prepared, and only their chunks and terms are written. A run that breaks off
+    leaves the tables as they were and a row with the status FAILED; it can be repeated under the same id.
     """
     started = now or datetime.now(timezone.utc)
     current = store.manifest()
     if run_id in current.run_logs:
         return current  # already published; a repeated trigger changes nothing
+    try:
+        return apply_run(store, current, corpus, run_id, trigger, corpus_dir, force, options, changes, batch_id, feed, started)
+    except Exception as error:
+        log_failed_run(store, run_id, trigger, corpus_dir, started, error)
+        raise
+
+
+def log_failed_run(store: IndexStore, run_id: str, trigger: str, corpus_dir: str, started: datetime, error: Exception) -> None:
+    current, name = store.manifest(), f"{run_id}-failed-{uuid.uuid4().hex}"
+    reason = text.redact(F.lit((str(error).strip().splitlines() or [type(error).__name__])[0][:500]))
+    once, stamp = store.spark.range(1), F.lit(started).cast("timestamp")
+    nothing = C.ingestion_summary(store.spark.createDataFrame([], "outcome string, chunks int"))
+    store.write(
+        nothing.select(
+            F.lit(run_id).alias("run_id"), F.lit(corpus_dir).alias("corpus_dir"), F.lit(trigger).alias("trigger"),
+            F.lit("FAILED").alias("status"), stamp.alias("started_at"), F.current_timestamp().alias("finished_at"), "*",
+            reason.alias("error_message"),
+        ),
+        "runs", name,
+    )
+    failure = once.select(F.lit(None).cast("string").alias("source_path"), C.event(F.lit("RUN"), "ERROR", reason).alias("event"))
+    store.write(logged_events(failure.select("source_path", "event.*"), run_id, stamp), "events", name)
+    store.publish(replace(current, version=current.version + 1, run_logs=[*current.run_logs, name]))
+
+
+def apply_run(
+    store: IndexStore, current: Manifest, corpus: DataFrame, run_id: str, trigger: str, corpus_dir: str, force: bool,
+    options: Options, changes: DataFrame | None, batch_id: int | None, feed: DataFrame | None, started: datetime,
+) -> Manifest:
     stored = store.documents(current)
     # Paths and hashes only; the texts of unchanged documents are not moved.
     changes = persist_table(changes if changes is not None else C.classify_changes(corpus, stored, force), "changes")
@@ -126,6 +158,7 @@ def run_ingest(
         written = store.read(CHUNK_SCHEMA, store.write(embedded, "chunks", run_id))
         store.write(keyword.chunk_terms(written, options.stemmer).withColumn("layer", F.lit(run_id)), "terms", run_id)
         layers = [*layers, run_id]
+    frequencies = write_frequencies(store, current, run_id, run_id in layers, indexed.select("source_path").unionByName(gone))
 
     documents = store.write(snapshot(stored, indexed, failed, gone), "documents", run_id)
     superseded = current.superseded
@@ -138,11 +171,30 @@ def run_ingest(
         replace(
             current, version=current.version + 1, run_id=run_id, batch_id=batch_id, documents=documents,
             superseded=superseded, feed=feed_path(store, current, run_id, feed), layers=layers,
-            run_logs=[*current.run_logs, run_id],
+            run_logs=[*current.run_logs, run_id], frequencies=frequencies,
         )
     )
 
 
+def write_frequencies(store: IndexStore, current: Manifest, run_id: str, has_layer: bool, left: DataFrame) -> list[str]:
+    """Documents per lexeme that a run adds, less those of the documents that leave; a search sums these small tables."""
+    if current.layers and not current.frequencies:
+        return []
+    parts = []
+    if has_layer:
+        parts.append(keyword.lexeme_frequencies(store.read(TERM_SCHEMA, store.path("terms", run_id))))
+    if current.layers:
+        dead = store.documents(current).join(left, "source_path", "left_semi").select("document_id")
+        lost = keyword.lexeme_frequencies(store.terms(current).join(dead, "document_id", "left_semi"))
+        parts.append(lost.withColumn("documents", -F.col("documents")))
+    if not parts:
+        return current.frequencies
+    changes = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+    counted = changes.groupBy("lexeme").agg(F.sum("documents").alias("documents")).where(F.col("documents") != 0)
+    store.write(counted.sortWithinPartitions("lexeme"), "frequencies", run_id)
+    return [*current.frequencies, run_id]
+
+
 def feed_path(store: IndexStore, current: Manifest, run_id: str, feed: DataFrame | None) -> str | None:
     return current.feed if feed is None else store.write(feed, "feed", run_id)
 
@@ -199,18 +251,26 @@ def write_run_log(
     ).where((F.col("event.phase") == "DISCOVER") | (F.col("documents_removed") > 0))
     general = whole_run.select(F.lit(None).cast("string").alias("source_path"), "event.*")
     single = C.document_events(work.withColumn("chunks", F.col("chunk_count")))
-    events = general.unionByName(single).select(
-        F.lit(run_id).alias("run_id"), F.xxhash64("source_path", "phase", "message").alias("event_id"), "source_path",
+    store.write(logged_events(general.unionByName(single), run_id, stamp), "events", run_id)
+
+
+def logged_events(events: DataFrame, run_id: str, stamp: Column) -> DataFrame:
+    """Events of one run share their time; their ids rise with the phase."""
+    phase = F.coalesce(F.array_position(F.array(*map(F.lit, PHASES)), F.col("phase")), F.lit(0)).cast("bigint")
+    number = F.shiftrightunsigned(F.xxhash64("source_path", "phase", "message"), 8)
+    return events.select(
+        F.lit(run_id).alias("run_id"), F.shiftleft(phase, 56).bitwiseOR(number).alias("event_id"), "source_path",
         "phase", "level", text.redact(F.col("message")).alias("message"), stamp.alias("created_at"),
     )
-    store.write(events, "events", run_id)
 
 
 def open_index(store: IndexStore, options: Options = Options()) -> Index:
     """The published index for retrieval plans."""
     manifest = store.manifest()
     terms = store.terms(manifest)
-    frequencies = keyword.lexeme_frequencies(terms)
+    frequencies = store.frequencies(manifest)
+    if frequencies is None:
+        frequencies = keyword.lexeme_frequencies(terms)
     return Index(
         store.documents(manifest), store.chunks(manifest), terms, frequencies, options.dimensions, options.stemmer
     )

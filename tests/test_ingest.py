@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagemill.functions.markdown import ChunkLimits
-from passagemill.operators import limiter
+from passagemill.operators import embed, limiter
 from passagemill.plans import retrieval
 from passagemill.plans.ingest import Options, open_index, run_ingest
 from passagemill.sources.corpus import scan_corpus, with_hash
@@ -202,3 +202,52 @@ def test_streams_match_batches(spark, tmp_path):
     volume = {r.day: r["count"] for r in activity.read_volume(spark, str(tmp_path / "volume")).collect()}
     want = events.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).count().collect()
     assert volume == {r.day: r["count"] for r in want}
+
+
+def test_a_run_that_breaks_off_is_logged_and_can_be_repeated(spark, tmp_path):
+    from passagemill.operators import listings
+
+    store = IndexStore(spark, str(tmp_path / "index"))
+    good = corpus(spark, {"a.md": "alpha beta", "b.md": "beta gamma"})
+    run_ingest(store, good, "r1")
+
+    def fails(texts):
+        raise RuntimeError("no vectors today")
+
+    edited = corpus(spark, {"a.md": "alpha beta delta"})
+    with pytest.raises(Exception, match="no vectors today"):
+        run_ingest(store, edited, "r2", options=Options(provider=embed.Provider(fails, 16)))
+    runs = listings.list_runs(store.runs(store.manifest()), "FAILED").collect()
+    assert [(r.run_id, r.total) for r in runs] == [("r2", 1)] and runs[0].error_message
+    assert paths(store) == ["a.md", "b.md"]
+    run_ingest(store, edited, "r2")
+    assert paths(store) == ["a.md"]
+
+
+def test_events_are_listed_by_phase(spark, tmp_path):
+    from passagemill.operators import listings
+
+    store = IndexStore(spark, str(tmp_path / "index"))
+    run_ingest(store, corpus(spark, {f"{n}.md": "text" if n % 2 else None for n in range(8)}), "r1")
+    shown = listings.run_events(store.events(store.manifest())).orderBy("position").collect()
+    assert [r.phase for r in shown] == ["DISCOVER"] + ["PARSE"] * 4 + ["PERSIST"] * 4
+
+
+def test_stored_frequencies_follow_the_documents(spark, tmp_path):
+    from passagemill.operators import keyword
+
+    store = IndexStore(spark, str(tmp_path / "index"))
+    for run, files in enumerate([
+        {"a.md": "alpha beta", "b.md": "beta gamma"}, {"a.md": "alpha alpha delta", "b.md": "beta gamma", "c.md": "beta"}, {"c.md": "beta"}, {"c.md": "beta"},
+    ]):
+        run_ingest(store, corpus(spark, files), f"r{run}")
+        index = open_index(store)
+        stored = {r.lexeme: r.documents for r in index.frequencies.collect()}
+        assert stored == {r.lexeme: r.documents for r in keyword.lexeme_frequencies(index.terms).collect()}
+
+
+def test_a_version_is_published_once(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    manifest = run_ingest(store, corpus(spark, {"a.md": "alpha"}), "r1")
+    with pytest.raises(Exception):
+        store.publish(manifest)
