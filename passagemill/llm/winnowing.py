@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -73,6 +73,19 @@ def select_anchors(hashes: np.ndarray, first: np.ndarray, length: int, gram: int
     return text[starts[opens]], starts[opens], starts[closes], grams[chosen[opens]]
 
 
+def packed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Two small numbers in one, ordered by the first and then the second: fewer fields make smaller shuffles."""
+    return (high.astype(np.int64) << 32) | low.astype(np.int64)
+
+
+def high_of(column: str) -> Column:
+    return F.shiftright(column, 32).cast("int")
+
+
+def low_of(column: str) -> Column:
+    return F.col(column).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
 def _anchors(kind: str, length: int, gram: int, schema: pa.Schema):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,11 +95,9 @@ def _anchors(kind: str, length: int, gram: int, schema: pa.Schema):
                 text, low, last, grams = select_anchors(hashes, units.first, length, gram)
                 if len(text):
                     _, span = Spans(hashes).of(low, last + length)
-                    places = [pa.array(x.astype(np.int32)) for x in (low - units.first[text], last - low)]
-                    keys = [pa.array(x) for x in (grams.view(np.int64), span)]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(name).take(pa.array(text)) for name in ("_id", MARK)] + places + keys, schema=schema
-                    )
+                    marks = part.column(MARK).to_numpy()[text]
+                    columns = (packed(marks, low - units.first[text]), grams.view(np.int64), packed(span, last - low))
+                    yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(text)), *map(pa.array, columns)], schema=schema)
 
     return kernel
 
@@ -96,7 +107,7 @@ def _windows(kind: str, length: int, schema: pa.Schema):
         for batch in batches:
             for part in slices(batch, "_text", 1 << 20):
                 units = Units(part.column("_text"), kind)
-                spans, opened = Spans(units.hashes()), part.column("_spans")
+                spans, opened, marks = Spans(units.hashes()), part.column("_spans"), part.column(MARK).to_numpy()
                 text = np.repeat(np.arange(part.num_rows), pc.list_value_length(opened).to_numpy())
                 low, last = (opened.flatten().field(name).to_numpy() for name in ("low", "last"))
                 count = (last - low + 1).astype(np.int64)
@@ -106,12 +117,9 @@ def _windows(kind: str, length: int, schema: pa.Schema):
                 for begin in range(0, len(at), 200_000):
                     some = slice(begin, begin + 200_000)
                     one, two = spans.of(at[some], at[some] + length)
-                    owner = pa.array(text[row[some]])
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(name).take(owner) for name in ("_id", MARK)]
-                        + [pa.array(x) for x in (place[some].astype(np.int32), one, two)],
-                        schema=schema,
-                    )
+                    owner = text[row[some]]
+                    columns = (packed(marks[owner], place[some]), one, two)
+                    yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(owner)), *map(pa.array, columns)], schema=schema)
 
     return kernel
 
@@ -124,42 +132,38 @@ def repeated_ranges(texts: DataFrame, kind: str, length: int, gram: int) -> Data
     """
     if not 0 < gram <= length:
         raise ValueError("the gram must fit into the window")
-    id_type = texts.schema["_id"].dataType.simpleString()
-    arrow_id = pa_type(texts)
-    head, arrow_head = f"_id {id_type}, {MARK} int", [("_id", arrow_id), (MARK, pa.int32())]
+    id_type, arrow_id = texts.schema["_id"].dataType.simpleString(), ("_id", pa_type(texts))
+    # ``pos`` is the mark and the first unit of an anchor's span or of a window, ``tail`` the span's hash and its further windows.
     anchors = texts.mapInArrow(
-        _anchors(kind, length, gram, pa.schema(
-            arrow_head + [("low", pa.int32()), ("more", pa.int32()), ("gram", pa.int64()), ("span", pa.int32())]
-        )),
-        f"{head}, low int, more int, gram bigint, span int",
+        _anchors(kind, length, gram, pa.schema([arrow_id, ("pos", pa.int64()), ("gram", pa.int64()), ("tail", pa.int64())])),
+        f"_id {id_type}, pos bigint, gram bigint, tail bigint",
     )
     # Most anchors are alone with their gram; all further steps see the others only.
     shared = anchors.groupBy("gram").count().where("count > 1").select("gram")
     met = persist_table(anchors.join(apart(shared, "gram"), "gram", "left_semi"), "anchors")
-    place = F.struct("_id", MARK, "low")
-    firsts = persist_table(met.groupBy("gram", "span").agg(
-        F.min(place).alias("first"), F.count("*").alias("copies"), F.max("more").alias("more")
-    ), "firsts")
+    place = F.struct("_id", "pos")
+    firsts = persist_table(met.groupBy("gram", "tail").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "firsts")
     settled = (
-        met.join(firsts.where("copies > 1").select("gram", "span", "first"), ["gram", "span"])
+        met.join(firsts.where("copies > 1").select("gram", "tail", "first"), ["gram", "tail"])
         .where(place > F.col("first"))
-        .select("_id", MARK, "low", (F.col("low") + F.col("more") + length).alias("high"))
+        .select("_id", high_of("pos").alias(MARK), low_of("pos").alias("low"), (low_of("pos") + low_of("tail") + length).alias("high"))
     )
     several = firsts.groupBy("gram").count().where("count > 1").select("gram")
+    low = low_of("first.pos")
     contested = (
         firsts.join(apart(several, "gram"), "gram", "left_semi")
-        .groupBy(F.col("first._id").alias("_id"), F.col(f"first.{MARK}").alias(MARK))
-        .agg(F.collect_list(F.struct(F.col("first.low").alias("low"), (F.col("first.low") + F.col("more")).alias("last"))).alias("_spans"))
+        .groupBy(F.col("first._id").alias("_id"), high_of("first.pos").alias(MARK))
+        .agg(F.collect_list(F.struct(low.alias("low"), (low + low_of("tail")).alias("last"))).alias("_spans"))
     )
     windows = with_rows(texts, contested, "inner").mapInArrow(
-        _windows(kind, length, pa.schema(arrow_head + [("low", pa.int32()), ("one", pa.int64()), ("two", pa.int32())])),
-        f"{head}, low int, one bigint, two int",
+        _windows(kind, length, pa.schema([arrow_id, ("pos", pa.int64()), ("one", pa.int64()), ("two", pa.int32())])),
+        f"_id {id_type}, pos bigint, one bigint, two int",
     )
     earliest = windows.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     opened = (
         windows.join(apart(earliest.select("one", "two", "first"), "one", "two"), ["one", "two"])
         .where(place > F.col("first"))
-        .select("_id", MARK, "low", (F.col("low") + length).alias("high"))
+        .select("_id", high_of("pos").alias(MARK), low_of("pos").alias("low"), (low_of("pos") + length).alias("high"))
     )
     return settled.unionByName(opened)
 
