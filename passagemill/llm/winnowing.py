@@ -152,7 +152,7 @@ def repeated_ranges(texts: DataFrame, kind: str, length: int, gram: int) -> Data
     low = low_of("first.pos")
     contested = (
         firsts.join(apart(several, "gram"), "gram", "left_semi")
-        .groupBy(F.col("first._id").alias("_id"), high_of("first.pos").alias(MARK))
+        .groupBy(*document_key("first._id"), high_of("first.pos").alias(MARK))
         .agg(F.collect_list(F.struct(low.alias("low"), (low + low_of("tail")).alias("last"))).alias("_spans"))
     )
     windows = with_rows(texts, contested, "inner").mapInArrow(
@@ -168,11 +168,17 @@ def repeated_ranges(texts: DataFrame, kind: str, length: int, gram: int) -> Data
     return settled.unionByName(opened)
 
 
+def document_key(id_col: str) -> list[Column]:
+    """An id, null or not, as two columns that plain equality compares, so that a table grouped by them is joined in place."""
+    return [F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_key"), F.col(id_col).isNull().alias("_none")]
+
+
 def with_rows(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """``texts`` joined with one row per document of ``rows``."""
-    rows = rows.withColumnsRenamed({"_id": "_id2", MARK: "_mark2"})
-    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col(MARK) == F.col("_mark2"))
-    return texts.join(rows, same, how).drop("_id2", "_mark2")
+    """``texts`` joined with ``rows``, one per document, grouped by ``document_key`` and mark."""
+    rows = rows.withColumnRenamed(MARK, "_mark2")
+    key, none = document_key("_id")
+    same = (key == F.col("_key")) & (none == F.col("_none")) & (F.col(MARK) == F.col("_mark2"))
+    return texts.join(rows, same, how).drop("_key", "_none", "_mark2")
 
 
 def pa_type(texts: DataFrame) -> pa.DataType:
@@ -190,7 +196,7 @@ def without_repeats(docs: DataFrame, id_col: str, text_col: str, kind: str, leng
     names = texts.columns
     ranges = (
         repeated_ranges(texts, kind, length, gram)
-        .groupBy("_id", MARK)
+        .groupBy(*document_key("_id"), MARK)
         .agg(F.collect_list(F.struct("low", "high")).alias("_ranges"))
     )
 
