@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions import constants as K
-from passagemill.functions import text
+from passagemill.functions import stem, text
 from passagemill.operators import answers as A
 from passagemill.operators import changes as C
 from passagemill.operators import (
@@ -109,12 +109,12 @@ def typed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared
 def library_index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
-    return retrieval.build_index(S.library_corpus(spark, sf_dir), DIMENSIONS, whole_texts=True)
+    return retrieval.build_index(S.library_corpus(spark, sf_dir), DIMENSIONS, stem.identity, whole_texts=True)
 
 
 @shared
 def chunk_index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
-    return retrieval.build_index(S.markdown_corpus(spark, sf_dir), DIMENSIONS)
+    return retrieval.build_index(S.markdown_corpus(spark, sf_dir), DIMENSIONS, stem.identity)
 
 
 @shared
@@ -238,6 +238,36 @@ def append_query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
+def written_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question as a search and as an answer, logged and read back. The ids stand for measured times."""
+    root, asked = run_folder(spark, "written-log"), questions(spark, sf_dir)
+    times = {"embed_ms": F.col("query_id") % 40, "retrieve_ms": F.col("query_id") % 90}
+    top = retrieval.top_hits(fused(spark, sf_dir), asked, K.DEFAULT_TOP_K)
+    query_log.append_query_log(query_log.search_log(asked, top, as_of(), K.DEFAULT_TOP_K, times), root, "searches")
+    generated = times | {"generate_ms": F.when(F.col("answered"), F.col("query_id") % 700)}
+    answers = query_log.answer_log(library_answers(spark, sf_dir), as_of(), K.DEFAULT_TOP_K, generated)
+    query_log.append_query_log(answers, root, "answers")
+    return spark.read.schema(answers.schema).parquet(root)
+
+
+@query
+def append_answer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_log(spark, sf_dir).where("endpoint = 'answer'").select(
+        "query_id", "query_text", "answered", joined("chunk_ids").alias("chunk_ids"), "embed_ms", "retrieve_ms", "generate_ms", "total_ms",
+    )
+
+
+@query
+def written_log_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.query_stats(written_log(spark, sf_dir), as_of())
+
+
+@query
+def written_log_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.latency_split(written_log(spark, sf_dir))
+
+
 # Change detection.
 
 
@@ -545,8 +575,6 @@ def build_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stemmed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from passagemill.functions import stem
-
     postings = keyword.build_postings(prepare.whole_text_chunks(S.library_corpus(spark, sf_dir)), stem.english)
     return postings.groupBy("lexeme").agg(F.count("*").alias("chunks"), F.sum("tf").cast("bigint").alias("occurrences"))
 

@@ -530,6 +530,31 @@ ORACLE["answer_batch"] = with_parts(*ANSWERS) + """
 SELECT query_id, answered, text, coalesce(citations, '') AS citations, sources, abstain_reason
 FROM answers LEFT JOIN cited USING (query_id) LEFT JOIN listed USING (query_id)"""
 
+WRITTEN = """written AS (
+  SELECT 'search' AS endpoint, query_id, true AS answered, count(chunk_id) AS result_count, query_id % 40 AS embed_ms,
+    query_id % 90 AS retrieve_ms, NULL::BIGINT AS generate_ms
+  FROM questions LEFT JOIN (SELECT * FROM fused WHERE pos <= 6) USING (query_id) GROUP BY ALL
+  UNION ALL
+  SELECT 'answer', query_id, answered, CASE WHEN coalesce(sources, '') = '' THEN 0 ELSE 1 END, query_id % 40, query_id % 90,
+    CASE WHEN answered THEN query_id % 700 END
+  FROM answers LEFT JOIN listed USING (query_id)),
+timed AS (SELECT *, embed_ms + retrieve_ms + coalesce(generate_ms, 0) AS total_ms FROM written)"""
+ORACLE["append_answer_log"] = with_parts(*ANSWERS) + """
+SELECT query_id, question AS query_text, answered, coalesce(sources, '') AS chunk_ids, (query_id % 40)::INT AS embed_ms, (query_id % 90)::INT AS retrieve_ms,
+  CASE WHEN answered THEN query_id % 700 END::INT AS generate_ms,
+  (query_id % 40 + query_id % 90 + CASE WHEN answered THEN query_id % 700 ELSE 0 END)::INT AS total_ms
+FROM answers JOIN questions USING (query_id) LEFT JOIN listed USING (query_id)"""
+ORACLE["written_log_stats"] = with_parts(*ANSWERS, WRITTEN) + """
+SELECT count(*) AS total, count(*) FILTER (endpoint = 'search') AS searches, count(*) FILTER (endpoint = 'answer') AS answers,
+  round_even(quantile_cont(total_ms, 0.5), 0)::INT AS p50_total_ms, round_even(quantile_cont(total_ms, 0.95), 0)::INT AS p95_total_ms,
+  count(*) FILTER (result_count = 0) AS zero_result_count,
+  round(count(*) FILTER (endpoint = 'answer' AND NOT answered) / nullif(count(*) FILTER (endpoint = 'answer'), 0)::DOUBLE, 6) AS abstain_rate
+FROM timed"""
+ORACLE["written_log_latency"] = with_parts(*ANSWERS, WRITTEN) + "SELECT endpoint, " + ", ".join(
+    f"round(quantile_cont({stage}_ms, {share}), 6) AS {stage}_p{int(share * 100)}"
+    for stage in ("embed", "retrieve", "generate", "total") for share in (0.5, 0.95)
+) + " FROM timed GROUP BY endpoint"
+
 # Evaluation.
 
 OUTCOMES = """hits AS (

@@ -18,9 +18,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from passagemill.functions import constants as K
+from passagemill.functions import text
 
 # A heading ends at any line end that the dot of the original rule stops at: also the two Unicode line separators.
-HEADING = re.compile(r"(#{1,6})\s+([^\n\r  ]+?)\s*#*\s*")
+HEADING = re.compile(r"(#{1,6})\s+([^\n\r\u2028\u2029]+?)\s*#*\s*")
 FENCE = re.compile(r"\s*(`{3,}|~{3,})")
 SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+")
 PARAGRAPH_GAP = re.compile(r"\n\s*\n")
@@ -166,6 +167,17 @@ def sections_column(body: Column) -> Column:
     return evaluated_once(kernel, SECTION_TYPE)(body)
 
 
+def counted(texts: Column, counter: Counter = whitespace_tokens) -> Column:
+    """Tokens of each text of an array by ``counter``; the default one needs no Python."""
+    if counter is whitespace_tokens:
+        return F.transform(texts, text.token_count)
+
+    def kernel(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda values: None if values is None else [counter(value) for value in values])
+
+    return evaluated_once(kernel, "array<int>")(texts)
+
+
 def evaluated_once(kernel: Callable, result: str) -> Callable[..., Column]:
     """A vectorised function that Catalyst must not copy, as it would into a filter before an explode."""
     return F.pandas_udf(kernel, result).asNondeterministic()

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,12 +114,15 @@ def english_stem(word: str) -> str:
 
 
 def english(terms: Column) -> Column:
-    """Stems of an array of terms, one Arrow batch at a time."""
+    """Stems of an array of terms: each distinct term of an Arrow batch is stemmed once."""
 
-    def kernel(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda words: [english_stem(word) for word in words])
+    def kernel(lists: pa.Array) -> pa.Array:
+        words = lists.flatten().dictionary_encode()
+        stems = pa.array([english_stem(word) for word in words.dictionary.to_pylist()], pa.string())
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), stems.take(words.indices))
 
-    return F.pandas_udf(kernel, "array<string>").asNondeterministic()(terms)
+    return F.arrow_udf(kernel, "array<string>").asNondeterministic()(terms)
 
 
 def identity(terms: Column) -> Column:

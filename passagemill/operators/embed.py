@@ -20,6 +20,7 @@ WORD = re.compile("[a-z0-9]+")
 
 
 NO_LIMIT = (1 << 31) - 1
+HASHED_WORDS = "hashed-words"
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,7 @@ class Provider:
     max_input_tokens: int = K.MAX_INPUT_TOKENS
     max_request_tokens: int = K.MAX_REQUEST_TOKENS
     max_batch_size: int = K.MAX_BATCH_SIZE
+    name: str = "custom"
 
 
 def token_weights(df: DataFrame, key: str, column: str, dimensions: int) -> DataFrame:
@@ -89,7 +91,7 @@ def hash_provider(dimensions: int) -> Provider:
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)
         return np.divide(vectors, norms, out=vectors, where=norms > 0).tolist()
 
-    return Provider(embed, dimensions, max_input_tokens=NO_LIMIT, max_request_tokens=NO_LIMIT)
+    return Provider(embed, dimensions, max_input_tokens=NO_LIMIT, max_request_tokens=NO_LIMIT, name=HASHED_WORDS)
 
 
 def request_ranges(sizes: list[int], provider: Provider) -> Iterator[tuple[int, int]]:
@@ -118,6 +120,8 @@ def embed_with_provider(df: DataFrame, column: str, provider: Provider, token_co
                 made = provider.embed([texts.iat[place] for place in fits[start:end]])
                 if len(made) != end - start:
                     raise ValueError(f"provider returned {len(made)} vectors for {end - start} inputs")
+                if any(len(vector) != provider.dimensions for vector in made):
+                    raise ValueError(f"provider returned vectors that have not {provider.dimensions} dimensions")
                 for place, vector in zip(fits[start:end], made):
                     vectors[place] = vector
             yield pd.Series(vectors)

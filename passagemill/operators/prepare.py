@@ -142,8 +142,8 @@ def chunked_documents(
     )
 
 
-def chunk_rows(df: DataFrame) -> DataFrame:
-    """One row per chunk of ``chunked_documents`` with ids, breadcrumb, embedded text and token count."""
+def chunk_rows(df: DataFrame, counter: markdown.Counter = markdown.whitespace_tokens) -> DataFrame:
+    """One row per chunk of ``chunked_documents`` with ids, breadcrumb, embedded text and token count by ``counter``."""
     return (
         df.select("source_path", "doc_type", "date_text", "subject", "title", F.explode("chunks").alias("chunk"))
         .select("*", "chunk.ordinal", "chunk.heading_path", "chunk.content")
@@ -160,7 +160,7 @@ def chunk_rows(df: DataFrame) -> DataFrame:
             "breadcrumb",
             "content",
             "embedded_text",
-            text.token_count(F.col("embedded_text")).alias("token_count"),
+            markdown.counted(F.array("embedded_text"), counter)[0].alias("token_count"),
         )
     )
 

@@ -24,7 +24,7 @@ QUIET_WORK = "source_path string, outcome string, chunk_count int, unsupported i
 @dataclass(frozen=True)
 class Options:
     dimensions: int = 64
-    stemmer: keyword.Stemmer = stem.identity
+    stemmer: keyword.Stemmer = stem.english
     limits: markdown.ChunkLimits = markdown.ChunkLimits()
     counter: markdown.Counter = markdown.whitespace_tokens
     provider: embed.Provider | None = None
@@ -33,6 +33,26 @@ class Options:
     def vectors(self) -> embed.Provider:
         return self.provider or embed.hash_provider(self.dimensions)
 
+    def settings(self) -> dict[str, str]:
+        """What vectors, terms and token counts of one index must agree in."""
+        vectors = self.vectors()
+
+        def name(function) -> str:
+            return f"{function.__module__}.{function.__qualname__}"
+
+        return {
+            "provider": vectors.name, "dimensions": str(vectors.dimensions), "stemmer": name(self.stemmer),
+            "counter": name(self.counter),
+        }
+
+
+def check_settings(manifest: Manifest, options: Options) -> None:
+    """Vectors of two providers, or terms of two stemmers, are not comparable."""
+    given = options.settings()
+    other = [f"{key} {value}, not {given[key]}" for key, value in manifest.settings.items() if given[key] != value]
+    if other:
+        raise ValueError("the index was made with " + "; ".join(other))
+
 
 def prepared_documents(corpus: DataFrame, options: Options = Options()) -> DataFrame:
     """Attributes, chunks and failures of raw documents. Narrow: no shuffle, no Python but the kernel."""
@@ -40,11 +60,11 @@ def prepared_documents(corpus: DataFrame, options: Options = Options()) -> DataF
         prepare.doc_date(prepare.front_matter(prepare.path_metadata(corpus))), body="body"
     )
     chunked = prepare.chunked_documents(described, options.limits, options.counter)
-    sizes = F.transform(
+    texts = F.transform(
         "chunks",
-        lambda chunk: text.token_count(prepare.breadcrumb(F.col("title"), chunk["heading_path"]))
-        + text.token_count(chunk["content"]),
+        lambda chunk: prepare.embedded_text(prepare.breadcrumb(F.col("title"), chunk["heading_path"]), chunk["content"]),
     )
+    sizes = markdown.counted(texts, options.counter)
     measured = chunked.withColumn("largest_chunk", F.coalesce(F.array_max(sizes), F.lit(0))).withColumn(
         "token_count", F.aggregate(sizes, F.lit(0), lambda total, size: total + size).cast("bigint")
     )
@@ -153,11 +173,12 @@ def apply_run(
 
     layers = current.layers
     if kinds & {"added", "updated"}:
-        rows = prepare.chunk_rows(good)
+        rows = prepare.chunk_rows(good, options.counter)
         embedded = embed.embed_with_provider(rows, "embedded_text", options.vectors()).withColumn("layer", F.lit(run_id))
         written = store.read(CHUNK_SCHEMA, store.write(embedded, "chunks", run_id))
         store.write(keyword.chunk_terms(written, options.stemmer).withColumn("layer", F.lit(run_id)), "terms", run_id)
         layers = [*layers, run_id]
+    check_settings(current, options)
     frequencies = write_frequencies(store, current, run_id, run_id in layers, indexed.select("source_path").unionByName(gone))
 
     documents = store.write(snapshot(stored, indexed, failed, gone), "documents", run_id)
@@ -171,7 +192,7 @@ def apply_run(
         replace(
             current, version=current.version + 1, run_id=run_id, batch_id=batch_id, documents=documents,
             superseded=superseded, feed=feed_path(store, current, run_id, feed), layers=layers,
-            run_logs=[*current.run_logs, run_id], frequencies=frequencies,
+            run_logs=[*current.run_logs, run_id], frequencies=frequencies, settings=options.settings(),
         )
     )
 
@@ -265,14 +286,16 @@ def logged_events(events: DataFrame, run_id: str, stamp: Column) -> DataFrame:
 
 
 def open_index(store: IndexStore, options: Options = Options()) -> Index:
-    """The published index for retrieval plans."""
+    """The published index for retrieval plans, with the provider and the stemmer that it was made with."""
     manifest = store.manifest()
+    check_settings(manifest, options)
     terms = store.terms(manifest)
     frequencies = store.frequencies(manifest)
     if frequencies is None:
         frequencies = keyword.lexeme_frequencies(terms)
     return Index(
-        store.documents(manifest), store.chunks(manifest), terms, frequencies, options.dimensions, options.stemmer
+        store.documents(manifest), store.chunks(manifest), terms, frequencies, options.vectors().dimensions, options.stemmer,
+        options.provider,
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.functions import constants as K
-from passagemill.functions import stem
+from passagemill.functions import stem, text
 from passagemill.operators import embed, fusion, keyword, prepare, vector
 from passagemill.session import persist_table
 
@@ -23,22 +23,24 @@ class Index:
     frequencies: DataFrame
     dimensions: int
     stemmer: keyword.Stemmer = stem.identity
+    provider: embed.Provider | None = None
 
 
 def build_index(
-    corpus: DataFrame, dimensions: int = 64, stemmer: keyword.Stemmer = stem.identity, whole_texts: bool = False
+    corpus: DataFrame, dimensions: int = 64, stemmer: keyword.Stemmer = stem.identity, whole_texts: bool = False,
+    provider: embed.Provider | None = None,
 ) -> Index:
     """Chunks, vectors, terms and term frequencies of a corpus, written once to the scratch folder.
 
-    Only the term frequencies are shuffled.
+    Only the term frequencies are shuffled. Without a ``provider`` the vectors are hashed words.
     """
     rows = prepare.whole_text_chunks(corpus) if whole_texts else prepare.chunk_corpus(corpus)
-    embedded = embed.embed_with_provider(rows, "embedded_text", embed.hash_provider(dimensions))
+    embedded = embed.embed_with_provider(rows, "embedded_text", provider or embed.hash_provider(dimensions))
     chunks = persist_table(embedded, "chunks")
     terms = persist_table(keyword.chunk_terms(chunks, stemmer), "terms")
     frequencies = persist_table(keyword.lexeme_frequencies(terms), "frequencies")
     documents = persist_table(corpus.select("source_path"), "documents")
-    return Index(documents, chunks, terms, frequencies, dimensions, stemmer)
+    return Index(documents, chunks, terms, frequencies, provider.dimensions if provider else dimensions, stemmer, provider)
 
 
 def rewritten_questions(questions: DataFrame, index: Index) -> DataFrame:
@@ -46,8 +48,17 @@ def rewritten_questions(questions: DataFrame, index: Index) -> DataFrame:
     return keyword.rewrite_query(questions, counts)
 
 
+def question_vectors(rewritten: DataFrame, index: Index) -> DataFrame:
+    """Question vectors from what the index's own vectors come from. They are asked for once and written."""
+    if index.provider is None or index.provider.name == embed.HASHED_WORDS:
+        return embed.hash_embedding(rewritten, "query_id", "vector_text", index.dimensions)
+    asked = rewritten.select("query_id", "vector_text", text.token_count(F.col("vector_text")).alias("token_count"))
+    made = embed.embed_with_provider(asked, "vector_text", index.provider).select("query_id", "embedding")
+    return persist_table(made, "question-vectors").where(F.col("embedding").isNotNull())
+
+
 def vector_arm(rewritten: DataFrame, index: Index, k: int = K.CANDIDATES) -> DataFrame:
-    vectors = embed.hash_embedding(rewritten, "query_id", "vector_text", index.dimensions)
+    vectors = question_vectors(rewritten, index)
     kind = [name for name in ("doc_type",) if name in rewritten.columns]
     asked = vectors.join(rewritten.select("query_id", *kind), "query_id") if kind else vectors
     return vector.vector_topk(asked, index.chunks, index.dimensions, k)

@@ -1,11 +1,13 @@
 import hashlib
 import random
 import time
+from dataclasses import replace
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from passagemill.functions import stem
 from passagemill.functions.markdown import ChunkLimits
 from passagemill.operators import embed, limiter
 from passagemill.plans import retrieval
@@ -251,3 +253,25 @@ def test_a_version_is_published_once(spark, tmp_path):
     manifest = run_ingest(store, corpus(spark, {"a.md": "alpha"}), "r1")
     with pytest.raises(Exception):
         store.publish(manifest)
+
+
+def characters(value):
+    return len(value)
+
+
+def test_an_index_is_opened_with_what_it_was_made_with(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    options = Options(dimensions=16, counter=characters, limits=ChunkLimits(budget=400, minimum=0))
+    run_ingest(store, corpus(spark, {"a.md": "alpha reports", "b.md": "x" * 9000}), "r1", options=options)
+    rows = store.chunks(store.manifest()).collect()
+    assert rows and all(r.token_count == len(r.embedded_text) for r in rows)
+    total = {r.source_path: r.token_count for r in store.documents(store.manifest()).collect()}
+    assert total["a.md"] == len(next(r.embedded_text for r in rows if r.source_path == "a.md"))
+    index = open_index(store, options)
+    asked = spark.createDataFrame([(1, "report")], "query_id int, question string")
+    assert retrieval.keyword_arm(asked, index).count() == 1  # English stems are the default
+    for other in (Options(dimensions=16), replace(options, dimensions=32), replace(options, stemmer=stem.identity)):
+        with pytest.raises(ValueError, match="was made with"):
+            open_index(store, other)
+    with pytest.raises(ValueError, match="was made with"):
+        run_ingest(store, corpus(spark, {"a.md": "beta"}), "r2", options=Options(dimensions=16))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagemill.functions import text
-from passagemill.operators import duplicates, evaluate, fusion, keyword, vector
+from passagemill.operators import duplicates, embed, evaluate, fusion, keyword, vector
 from passagemill.plans import retrieval
 
 
@@ -249,3 +249,41 @@ def test_containing_documents(spark, seed):
     got = containing_documents(spark.createDataFrame(items, "query_id int, question string"), corpus).collect()
     want = sorted((i, f"d{n}") for i, q in items if q for n, t in enumerate(texts) if q in t)
     assert sorted(map(tuple, got)) == want
+
+
+def letters(texts):
+    """A provider of its own: how often a text has each of eight letters."""
+    return [[float(value.lower().count(letter)) for letter in "abcdefgh"] for value in texts]
+
+
+def test_questions_are_embedded_by_the_provider_of_the_index(spark):
+    files = {"a.md": "zzz a a a", "b.md": "zzz b b b", "c.md": "zzz c c c"}
+    corpus = spark.createDataFrame(list(files.items()), "source_path string, content string")
+    provider = embed.Provider(letters, 8, name="letters")
+    index = retrieval.build_index(corpus, whole_texts=True, provider=provider)
+    asked = spark.createDataFrame([(1, "bbb bbb"), (2, "ccc")], "query_id int, question string")
+    hits = retrieval.vector_arm(retrieval.rewritten_questions(asked, index), index)
+    best = hits.where("rank = 1").join(index.chunks, "chunk_id").collect()
+    assert index.dimensions == 8 and {r.query_id: r.source_path for r in best} == {1: "b.md", 2: "c.md"}
+    narrow = embed.Provider(lambda texts: [[1.0] for _ in texts], 8)
+    with pytest.raises(Exception, match="8 dimensions"):
+        retrieval.build_index(corpus, whole_texts=True, provider=narrow)
+
+
+def test_a_log_with_times_can_be_read_by_the_statistics(spark, tmp_path):
+    from passagemill.operators import stats
+    from passagemill.sources import query_log
+
+    asked = spark.createDataFrame([(1, "one", "u1"), (2, "two", None)], "query_id int, question string, user_id string")
+    passages = spark.createDataFrame([(1, 1, "x", 0.5)], "query_id int, pos int, chunk_id string, score double")
+    now = F.lit("2024-01-01").cast("timestamp")
+    rows = query_log.search_log(asked, passages, now, 6, {"embed_ms": F.lit(3), "retrieve_ms": F.lit(4)})
+    query_log.append_query_log(rows, str(tmp_path), "1")
+    log = spark.read.schema(rows.schema).parquet(str(tmp_path))
+    assert {(r.user_id, r.embed_ms, r.generate_ms, r.total_ms) for r in log.collect()} == {("u1", 3, None, 7), (None, 3, None, 7)}
+    found = stats.query_stats(log, now).first()
+    assert (found.total, found.p50_total_ms, found.zero_result_count) == (2, 7, 1)
+    split = stats.latency_split(log).first()
+    assert split.retrieve_p50 == 4 and split.generate_p50 is None
+    unmeasured = query_log.search_log(asked.drop("user_id"), passages, now, 6).first()
+    assert unmeasured.total_ms is None and unmeasured.user_id is None
