@@ -9,8 +9,6 @@ from passagemill.llm.tables import apart
 from passagemill.session import persist_table
 
 
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) of every node in ``edges`` (``a``, ``b``: any orderable type).
 

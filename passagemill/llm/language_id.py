@@ -21,7 +21,7 @@ from passagemill.llm.tables import apart, drop_documents, hashed_share, text_mar
 from passagemill.session import persist_table
 
 CELLS = 1 << 16
-TRAINING_ROWS = 8_000  # labelled rows that the text model is fitted on, at most about
+TRAINING_ROWS = 8_000  # the least bound of the labelled rows that the text model is fitted on
 UNKNOWN = "und"
 OVERLAP = 1 / 3  # neighbouring trigrams share letters, so each counts a third
 STRENGTH = 20.0  # rows that a parent's shares are worth against a host's own
@@ -56,7 +56,10 @@ class TextModel:
 
     @staticmethod
     def fit(rows: DataFrame, text_col: str, lang_col: str, key: Column, most: int = TRAINING_ROWS) -> TextModel:
-        """Counts trigrams of a bounded sample of the labelled rows, chosen by the hash of ``key``; rows without a label are left out."""
+        """Counts trigrams of a bounded sample of the labelled rows; rows without a label are left out.
+
+        Up to ``2 * most`` rows are all taken, of more a share of at least ``most``, chosen by the hash of ``key``.
+        """
         labelled = rows.where(F.col(lang_col).isNotNull()).select(
             F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"), key.alias("_key")
         )

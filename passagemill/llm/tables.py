@@ -29,7 +29,10 @@ def drop_documents(docs: DataFrame, id_col: str, text_col: str, dropped: DataFra
 
 
 def hashed_share(key: Column, rows: int, wanted: int) -> Column:
-    """True for about ``wanted`` of ``rows`` rows, chosen by the hash of their key alone, so alike on every run."""
+    """True for a share of ``rows`` rows, chosen by the hash of their key alone, so alike on every run.
+
+    Fewer than ``2 * wanted`` rows are all taken; of more, between ``wanted`` and twice as many are expected.
+    """
     return F.pmod(F.xxhash64(key), F.lit(max(1, rows // wanted))) == 0
 
 
