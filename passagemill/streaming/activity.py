@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,7 @@ def read_volume(spark: SparkSession, target: str) -> DataFrame:
 
 OUTCOME_SCHEMA = "caller bigint, ts_ms bigint, event_id bigint, outcome string, retry_after_s int"
 WINDOW_STATE = "opened bigint, count bigint, last_ts bigint"
+OUTPUT_ROWS = 50_000
 
 
 def stream_rate_limit(
@@ -54,7 +56,8 @@ def stream_rate_limit(
 ) -> DataFrame:
     """Outcome of each ``(caller, ts_ms, event_id, created_at)`` event: ``allowed``, ``rejected`` or ``late``.
 
-    A caller's events of one micro-batch are decided in time order. An event older than the last
+    A caller's events of one micro-batch are decided in time order; two numbers an event are held for that, so bound
+    the micro-batches at the source (``maxFilesPerTrigger``). An event older than the last
     decided one is late. State lapses when the watermark has passed the end of the window.
     """
 
@@ -63,18 +66,21 @@ def stream_rate_limit(
             state.remove()
             return
         opened, count, last = state.get if state.exists else (NO_WINDOW, 0, NO_WINDOW)
-        batch = pd.concat(list(pieces)).sort_values(["ts_ms", "event_id"])
-        rows = []
-        for ts, event_id in zip(batch["ts_ms"].tolist(), batch["event_id"].tolist()):
-            if ts < last:
-                rows.append((key[0], ts, event_id, "late", 0))
-                continue
-            opened, count, ok, wait = decide(ts, opened, count, limit, window_ms)
-            last = ts
-            rows.append((key[0], ts, event_id, "allowed" if ok else "rejected", wait))
+        held = [(piece["ts_ms"].to_numpy(), piece["event_id"].to_numpy()) for piece in pieces]
+        times, ids = (np.concatenate(parts) for parts in zip(*held))
+        order = np.lexsort((ids, times))
+        for begin in range(0, len(order), OUTPUT_ROWS):
+            part, rows = order[begin : begin + OUTPUT_ROWS], []
+            for ts, event_id in zip(times[part].tolist(), ids[part].tolist()):
+                if ts < last:
+                    rows.append((key[0], ts, event_id, "late", 0))
+                    continue
+                opened, count, ok, wait = decide(ts, opened, count, limit, window_ms)
+                last = ts
+                rows.append((key[0], ts, event_id, "allowed" if ok else "rejected", wait))
+            yield pd.DataFrame(rows, columns=["caller", "ts_ms", "event_id", "outcome", "retry_after_s"])
         state.update((opened, count, last))
         state.setTimeoutTimestamp(max(opened + window_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["caller", "ts_ms", "event_id", "outcome", "retry_after_s"])
 
     watched = events.withWatermark("created_at", delay)
     return watched.groupBy("caller").applyInPandasWithState(
