@@ -12,8 +12,8 @@ over all the text that it alone guards.
    window's hash. The earliest of equal windows lies in a first anchor, so no repeat is lost, and no pairs are formed.
 
 Anchors whose gram occurs once leave first, by a count that is combined before the shuffle. Both joins are
-against one earliest row per hash: a passage in a third of all documents costs one row per document. Spans (with
-their gram) and windows are known by 96 bits.
+against one earliest row per hash: a passage in a third of all documents costs one row per document. Spans and windows
+are known by 96 bits of all their units; the gram only says which spans may meet.
 """
 
 from __future__ import annotations
@@ -94,9 +94,9 @@ def _anchors(kind: str, length: int, gram: int, schema: pa.Schema):
                 hashes = units.hashes()
                 text, low, last, grams = select_anchors(hashes, units.first, length, gram)
                 if len(text):
-                    _, span = Spans(hashes).of(low, last + length)
+                    span, tail = Spans(hashes).of(low, last + length)
                     marks = part.column(MARK).to_numpy()[text]
-                    columns = (packed(marks, low - units.first[text]), grams.view(np.int64), packed(span, last - low))
+                    columns = (packed(marks, low - units.first[text]), grams.view(np.int64), span, packed(tail, last - low))
                     yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(text)), *map(pa.array, columns)], schema=schema)
 
     return kernel
@@ -133,18 +133,19 @@ def repeated_ranges(texts: DataFrame, kind: str, length: int, gram: int) -> Data
     if not 0 < gram <= length:
         raise ValueError("the gram must fit into the window")
     id_type, arrow_id = texts.schema["_id"].dataType.simpleString(), ("_id", pa_type(texts))
-    # ``pos`` is the mark and the first unit of an anchor's span or of a window, ``tail`` the span's hash and its further windows.
+    # ``pos`` is the mark and the first unit of an anchor's span or of a window, ``span`` and the upper half of
+    # ``tail`` the span's hash, the lower half its further windows.
     anchors = texts.mapInArrow(
-        _anchors(kind, length, gram, pa.schema([arrow_id, ("pos", pa.int64()), ("gram", pa.int64()), ("tail", pa.int64())])),
-        f"_id {id_type}, pos bigint, gram bigint, tail bigint",
+        _anchors(kind, length, gram, pa.schema([arrow_id, ("pos", pa.int64()), ("gram", pa.int64()), ("span", pa.int64()), ("tail", pa.int64())])),
+        f"_id {id_type}, pos bigint, gram bigint, span bigint, tail bigint",
     )
     # Most anchors are alone with their gram; all further steps see the others only.
     shared = anchors.groupBy("gram").count().where("count > 1").select("gram")
     met = persist_table(anchors.join(apart(shared, "gram"), "gram", "left_semi"), "anchors")
     place = F.struct("_id", "pos")
-    firsts = persist_table(met.groupBy("gram", "tail").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "firsts")
+    firsts = persist_table(met.groupBy("gram", "span", "tail").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "firsts")
     settled = (
-        met.join(firsts.where("copies > 1").select("gram", "tail", "first"), ["gram", "tail"])
+        met.join(firsts.where("copies > 1").select("gram", "span", "tail", "first"), ["gram", "span", "tail"])
         .where(place > F.col("first"))
         .select("_id", high_of("pos").alias(MARK), low_of("pos").alias("low"), (low_of("pos") + low_of("tail") + length).alias("high"))
     )
