@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.tables import apart, drop_documents, hashed_share, text_mark
+from passagemill.llm.tables import apart, drop_documents, text_mark
 from passagemill.session import persist_table
 
 CELLS = 1 << 16
 TRAINING_ROWS = 8_000  # the least bound of the labelled rows that the text model is fitted on
+LABEL_ROWS = 500  # and of those of one label
 UNKNOWN = "und"
 OVERLAP = 1 / 3  # neighbouring trigrams share letters, so each counts a third
 STRENGTH = 20.0  # rows that a parent's shares are worth against a host's own
@@ -56,14 +57,26 @@ class TextModel:
 
     @staticmethod
     def fit(rows: DataFrame, text_col: str, lang_col: str, key: Column, most: int = TRAINING_ROWS) -> TextModel:
-        """Counts trigrams of a bounded sample of the labelled rows; rows without a label are left out.
+        """Counts trigrams of a sample of the labelled rows, bounded per label; rows without a label are left out.
 
-        Up to ``2 * most`` rows are all taken, of more a share of at least ``most``, chosen by the hash of ``key``.
+        Fewer than ``2 * most`` rows are all taken. Of more, ``most`` is divided among the labels, but none gets less than
+        ``LABEL_ROWS`` (or ``most``): a label with fewer than twice its part is taken whole, of another a share that is
+        chosen by the hash of ``key``, with the row of the least hash, so every label is in the model.
         """
         labelled = rows.where(F.col(lang_col).isNotNull()).select(
             F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"), key.alias("_key")
         )
-        sample = labelled.where(hashed_share(F.col("_key"), labelled.count(), most)).select("_lang", "_text")
+        place = F.xxhash64("_key")
+        found = labelled.groupBy("_lang").agg(F.count("*").alias("n"), F.min(place).alias("least")).collect()
+        wanted = max(most // max(len(found), 1), min(most, LABEL_ROWS))
+        if sum(row.n for row in found) >= 2 * most:
+            large = [row for row in found if row.n >= 2 * wanted]
+            shares = rows.sparkSession.createDataFrame(
+                [(row["_lang"], row.n // wanted, row.least) for row in large], "_large string, _share bigint, _least bigint"
+            )
+            taken = F.col("_share").isNull() | (F.pmod(place, "_share") == 0) | (place == F.col("_least"))
+            labelled = labelled.join(F.broadcast(shares), F.col("_lang") == F.col("_large"), "left").where(taken)
+        sample = labelled.select("_lang", "_text")
 
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts: dict[str, np.ndarray] = {}
