@@ -44,3 +44,77 @@ ORACLE["op2_line_dedup"] = _repeats(
     r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda line: regexp_matches(line, '[^\x20\x09-\x0D]'))", 3, "chr(10)", "n_lines"
 )
 ORACLE["op7_substring_dedup"] = _repeats(r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')", 20, "' '", "n_words")
+
+ORACLE["op12_conversation_repair"] = r"""
+WITH RECURSIVE raw AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+),
+kinds AS (  -- CRC-32, bit by bit
+    SELECT *, xor(list_reduce(
+        list_concat([4294967295::UBIGINT], list_transform(string_split(key, ''), lambda c: ascii(c)::UBIGINT)),
+        lambda crc, byte: list_reduce(
+            list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+            lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))
+    ), 4294967295::UBIGINT) % 20 AS kind FROM raw
+),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM kinds WHERE kind <> 0)
+),
+rows_ AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i
+    FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+            regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS ink
+        FROM damaged
+    )
+),
+judged AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+            WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+        left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair, i > 1 AS later
+    FROM rows_
+),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+        count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+        count(*) FILTER (WHERE later AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+    FROM judged GROUP BY conv_id
+),
+next_role AS (FROM (VALUES ('', 'user', 'u'), ('s', 'user', 'u'), ('u', 'assistant', 'p'), ('p', 'user', 'u')) t(q, role, q2)),
+steps AS (  -- before a row at most one insert; two of them never pay
+    SELECT q, '' AS letter, 0 AS price, CAST([] AS VARCHAR[]) AS put, q AS q2 FROM next_role
+    UNION ALL SELECT q, 'I', 5, [role || ':'], q2 FROM next_role
+),
+paths AS (
+    SELECT conv_id, 0 AS i, '' AS q, {'cost': 0, 'audit': '', 'put': CAST([] AS VARCHAR[])} AS best FROM counts
+    UNION ALL
+    SELECT conv_id, i, q, min(way) AS best FROM (
+        SELECT p.conv_id, r.i, CASE e.letter WHEN 'D' THEN s.q2 ELSE e.q2 END AS q,
+            {'cost': p.best.cost + s.price + e.price + CASE WHEN r.fault = 'truncated' AND e.letter <> 'D' THEN 5 ELSE 0 END,
+             'audit': p.best.audit || s.letter || e.letter,
+             'put': list_concat(list_concat(p.best.put, s.put),
+                CASE e.letter WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'K' THEN [r.role || ':' || r.text] ELSE [e.role || ':' || r.text] END)} AS way
+        FROM paths p JOIN judged r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1
+        JOIN steps s ON s.q = p.q
+        JOIN (
+            SELECT q, 'D' AS letter, 2 AS price, '' AS role, q AS q2, '' AS initial FROM next_role
+            UNION ALL SELECT q, 'R', 1, role, q2, '' FROM next_role
+            UNION ALL SELECT q, 'K', 0, '', q2, left(role, 1) FROM next_role
+            UNION ALL SELECT '', 'K', 0, '', 's', 's'
+        ) e ON e.q = s.q2 AND (e.letter = 'D' OR r.fault NOT IN ('blank', 'duplicate')) AND (e.letter <> 'K' OR e.initial = left(r.role, 1))
+    ) GROUP BY conv_id, i, q
+),
+ends AS (
+    SELECT conv_id, min(CASE q WHEN 'u' THEN {'cost': best.cost + 5, 'audit': best.audit || 'I', 'put': list_append(best.put, 'assistant:')}
+        ELSE best END) AS best
+    FROM paths JOIN counts USING (conv_id) WHERE i = n AND q <> 's' GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit,
+    sha256(coalesce(array_to_string(best.put, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
