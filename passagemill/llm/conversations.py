@@ -189,6 +189,7 @@ def repaired(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
     One shuffle, by conversation; rows are sorted by turn (nulls first), then role and text, in bytes. Rows marked ``_gone``
     do not count, and a conversation of such rows only has zeros, no letters and the hash of nothing. Null ids are one conversation.
+    A row with an empty role has no initial, so it is never kept as it is.
     """
     conv_type = rows.schema["_conv"].dataType
     result = T.StructType(
