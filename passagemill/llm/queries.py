@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm import (
-    bpe_automaton, conversations, exact_dedup, language_id, line_dedup, packing, quality, simhash, substring_dedup, token_counts, warc,
+    bpe_automaton, conversations, exact_dedup, hard_negatives, language_id, line_dedup, packing, quality, simhash, substring_dedup, token_counts, warc,
 )
 from passagemill.session import scratch_dir, ship_package
 
@@ -100,6 +100,11 @@ def op10_language_id(spark, sf_dir):
     return language_id.identify_pages(pages, text_model(spark, sf_dir)).drop("_mark").withColumnRenamed("_id", "page_id")
 
 
+@query
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives.mined_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_conversation_repair(spark, sf_dir):
     return conversations.repaired_conversations(table(spark, sf_dir, "conversations"))

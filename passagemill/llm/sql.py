@@ -45,6 +45,29 @@ ORACLE["op2_line_dedup"] = _repeats(
 )
 ORACLE["op7_substring_dedup"] = _repeats(r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')", 20, "' '", "n_words")
 
+ORACLE["op11_hard_negatives"] = """
+WITH v AS (
+    SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.id AS anchor_id, o.id, o.label = a.label AS same, CAST(list_dot_product(a.v, o.v) AS BIGINT) AS score
+    FROM v a JOIN v o ON o.id <> a.id WHERE a.id % 100 = 0
+),
+positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank,
+    id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
 ORACLE["op12_conversation_repair"] = r"""
 WITH RECURSIVE raw AS (
     SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
