@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm import (
-    bpe_automaton, conversations, exact_dedup, hard_negatives, language_id, line_dedup, packing, quality, simhash, substring_dedup, token_counts, warc,
+    bpe_automaton, circulant, conversations, exact_dedup, hard_negatives, language_id, line_dedup, packing, quality, simhash, substring_dedup, token_counts, warc,
 )
 from passagemill.session import scratch_dir, ship_package
 
@@ -110,6 +110,11 @@ def op12_conversation_repair(spark, sf_dir):
     return conversations.repaired_conversations(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op13_minhash(spark, sf_dir):
+    return circulant.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline

@@ -3,10 +3,10 @@
 import random
 
 import corpus_pipeline
-import pyarrow as pa
+import numpy as np
 import pytest
 
-from passagemill.llm import near_copies
+from passagemill.llm import circulant, near_copies, set_links
 
 
 def shingles(text):
@@ -63,15 +63,88 @@ def test_large_group(spark, documents):
     assert {r.doc_id for r in kept.collect()} == firsts(rows)
 
 
-@pytest.mark.parametrize("rows", [1, 7, 50, 1000])
-def test_meetings_do_not_depend_on_batches(rows):
-    keys = [1] + [2] * 3 + [3] * 100 + [4] * 2
-    table = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([b"%03d" % i for i in range(len(keys))], pa.binary())], ["key", "set"])
-    found = near_copies._meetings(table.slice(at, rows) for at in range(0, len(keys), rows))
-    pairs = sorted((int(r["a"]), int(r["b"])) for batch in found for r in batch.to_pylist())
-    want = []
-    for i, key in enumerate(keys):
-        first = keys.index(key)
-        low = first if i - first < near_copies.FULL else i - near_copies.NEXT
-        want += [(j, i) for j in {first, *range(low, i)} if j < i]
-    assert pairs == sorted(want)
+def pages(pairs, near, shared, size=400, seed=5):
+    """Pages of one template (``shared`` words of ``size`` alike, kept below the bound), each with one partner: the same page
+    with ``near`` of its last words changed."""
+    pick, rows = random.Random(seed), []
+    frame = [f"t{i}" for i in range(shared)]
+    for i in range(pairs):
+        own = [f"p{i}-{j}" for j in range(size - shared)]
+        rows.append((2 * i, " ".join(frame + own)))
+        rows.append((2 * i + 1, " ".join(frame + own[: len(own) - near] + [f"q{i}-{j}" for j in range(near)])))
+    pick.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("pairs", [200, 1200])
+def test_pairs_among_pages_of_one_template(spark, documents, pairs):
+    """Every pair is found, whatever the number of pages that share a template just below the bound."""
+    shared, near = 354, 42
+    rows = pages(pairs, near, shared)
+    one, two, other = (shingles(dict(rows)[i]) for i in (0, 1, 2))
+    assert 0.8 <= len(one & two) / len(one | two) < 0.825 and 0.79 < len(one & other) / len(one | other) < 0.8
+    found = near_copies.near_copy_components(documents(rows)).collect()
+    assert {r["_id"]: r["component_id"] for r in found} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_pages_of_two_templates_and_a_crowd_of_copies(spark, documents):
+    """Crowds that share the keys of another crowd, chains of copies, and the 0.85 of ``circulant``, against brute force."""
+    pick, rows = random.Random(9), []
+    frame = [f"t{i}" for i in range(150)]
+    for i in range(260):
+        kind = i % 4
+        words = frame + [f"k{kind}-{j}" for j in range(22)]
+        if kind == 3:
+            words = frame[: 150 - i // 8] + [f"k3-{j}" for j in range(22 + i // 8)]
+        words[pick.randrange(len(words))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(900, "one two three four"), (901, "One two  three four"), (902, "one two"), (903, None), (904, " "), rows[3], (None, rows[7][1])]
+    sets = {i: shingles(text) for i, text in rows if i is not None}
+    for found, bound in ((near_copies.near_copy_components(documents(rows)).collect(), 0.8), (circulant.near_duplicates(documents(rows)).collect(), 0.85)):
+        root = {i: i for i in sets}
+        changed = True
+        while changed:
+            changed = False
+            for i, one in sets.items():
+                for j, two in sets.items():
+                    if root[j] < root[i] and (one or two) and len(one & two) >= bound * len(one | two):
+                        root[i], changed = root[j], True
+        name = "doc_id" if bound == 0.85 else "_id"
+        held = {r[name]: r["component_id"] for r in found}
+        assert held.pop(None) == root[7]
+        if bound == 0.8:
+            root[904] = 903
+        else:
+            assert {r[name]: (r["n_shingles"], r["kept"]) for r in found if r[name] in (902, 903)} == {902: (1, True), 903: (0, True)}
+        assert held == root
+
+
+def test_circulant_tables(spark, documents):
+    found = circulant.near_duplicates(documents([], ("_id", "set", "keys", "n", "root", "hash")))
+    assert found.columns == ["doc_id", "n_shingles", "component_id", "kept"] and found.collect() == []
+    rows = [(1, "w " * 40_000), (2, "w"), (5, None), (5, None), (None, "a b"), (None, "a b")]
+    found = circulant.near_duplicates(documents(rows, ("_id", "set", "keys", "n", "root", "hash"))).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(
+        [(1, 1, 1, True), (2, 1, 2, True), (5, 0, 5, True), (5, 0, 5, True), (None, 1, None, True), (None, 1, None, True)], key=str
+    )
+
+
+def test_circulant_coordinates_estimate_similarity():
+    rng = np.random.default_rng(1)
+    agree = []
+    for _ in range(200):
+        words = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+        one, two = np.unique(words[:250]), np.unique(words[25:275])
+        agree.append(np.mean(circulant.coordinates(one) == circulant.coordinates(two)))
+        assert (circulant.coordinates(one) == circulant.coordinates(one[::-1].copy())).all()
+    assert abs(np.mean(agree) - 225 / 275) < 0.01
+    assert len(np.unique(circulant.shifted(np.arange(1 << 16, dtype=np.uint64)))) == 1 << 16
+
+
+def test_bounds_of_sizes(spark):
+    bound = set_links.Bound(100, 85)
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1, 400).select("id", bound.least_size(F.col("id")).alias("least"), bound.least_shared(F.col("id")).alias("shared")).collect()
+    for r in rows:
+        assert r.least == -(-85 * r.id // 100) and r.shared == -(-85 * r.id // 185)
