@@ -15,6 +15,8 @@ pages that share a template just below the bound meet by their own words only. S
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -53,6 +55,15 @@ class Bound:
         return ((value + F.pmod(-value, F.lit(by))) / by).cast("int")
 
 
+#: Longs of a set's sketch: the parity of its hashes in each of 64 cells a long. Where two sketches differ, so do the sets.
+SKETCH = [f"sketch{i}" for i in range(16)]
+
+
+def sketch(held: np.ndarray) -> np.ndarray:
+    cells = np.bincount((held & np.uint64(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(cells.astype(bool)).view(np.int64)
+
+
 def set_name(held: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(held.tobytes())
 
@@ -81,14 +92,16 @@ def signatures(
 
 
 def hashed_sets(texts: DataFrame, hashes: Callable[[str | None], np.ndarray]) -> DataFrame:
-    """``set`` and ``hashes`` of ``texts`` (``set``, ``_text``)."""
+    """``set``, ``hashes`` and the sketch of ``texts`` (``set``, ``_text``)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [hashes(text.as_py()).view(np.int64) for text in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(held, pa.list_(pa.int64()))], ["set", "hashes"])
+            held = [hashes(text.as_py()) for text in batch.column("_text")]
+            drawn = np.array([sketch(one) for one in held], dtype=np.int64).reshape(len(held), len(SKETCH))
+            lists = pa.array([one.view(np.int64) for one in held], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("set"), lists, *map(pa.array, drawn.T.copy())], ["set", "hashes", *SKETCH])
 
-    return texts.mapInArrow(kernel, "set binary, hashes array<bigint>")
+    return texts.mapInArrow(kernel, "set binary, hashes array<bigint>, " + ", ".join(f"{name} bigint" for name in SKETCH))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
@@ -119,7 +132,7 @@ def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def postings(sets: DataFrame, bound: Bound) -> DataFrame:
-    """``hash``, ``set``, ``root``, ``n`` and ``place``: the first hashes of ``sets`` (``set``, ``root``, ``hashes``), rarest first.
+    """``hash``, ``set``, ``root``, ``n``, ``place`` and sketch: the first hashes of ``sets`` (``set``, ``root``, ``hashes``, sketch), rarest first.
 
     A set gives as many as hold one of those that it shares with a similar set that is not longer. Hashes of one root only
     take a place but are left out.
@@ -132,21 +145,26 @@ def postings(sets: DataFrame, bound: Bound) -> DataFrame:
     ranked = words.join(apart(common, "hash"), "hash", "left").groupBy("set", "root", "n").agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
     first = F.slice("ranked", F.lit(1), (n - bound.least_size(n) + 1).cast("int"))
     placed = ranked.select("set", "root", "n", F.posexplode(first).alias("place", "at")).where("at.mixed")
-    return persist_table(placed.select(F.col("at.hash").alias("hash"), "set", "root", "n", "place"), "postings")
+    entries = placed.select(F.col("at.hash").alias("hash"), "set", "root", "n", "place")
+    return persist_table(entries.join(apart(sets.select("set", *SKETCH), "set"), "set"), "postings")
 
 
 def candidates(posted: DataFrame, short: DataFrame, bound: Bound) -> DataFrame:
     """Pairs ``a``, ``b`` of different roots that share a hash where it leaves enough to share.
 
     Of two similar sets the shorter one has the first hash that they share among its first ``n - s + 1``, where ``s`` is what
-    it shares with a set of its size; at that hash, no more than what follows in either can be shared.
+    it shares with a set of its size; at that hash, no more than what follows in either can be shared. Sketches that differ
+    in more bits than similar sets have different hashes rule a pair out; they are exact for that.
     """
     n, place = F.col("n"), F.col("place")
-    meets = short.select("hash", *(F.col(name).alias(f"short_{name}") for name in ("set", "root", "n", "place")))
+    meets = short.select("hash", *(F.col(name).alias(f"short_{name}") for name in ("set", "root", "n", "place", *SKETCH)))
     fits = F.col("short_root") != F.col("root")
     fits &= (F.col("short_n") < n) | ((F.col("short_n") == n) & (F.col("short_set") != F.col("set")))
     fits &= F.col("short_n") >= bound.least_size(n)
-    fits &= F.least(n - place, F.col("short_n") - F.col("short_place")) >= bound.least_shared(n + F.col("short_n"))
+    needed = bound.least_shared(n + F.col("short_n"))
+    fits &= F.least(n - place, F.col("short_n") - F.col("short_place")) >= needed
+    differ = (F.bit_count(F.col(name).bitwiseXOR(F.col(f"short_{name}"))) for name in SKETCH)
+    fits &= functools.reduce(operator.add, differ) <= n + F.col("short_n") - needed * 2
     pairs = posted.join(meets, "hash").where(fits)
     return pairs.select(F.least("set", "short_set").alias("a"), F.greatest("set", "short_set").alias("b")).distinct()
 
@@ -156,7 +174,7 @@ def exact_links(sets: DataFrame, roots: DataFrame, bound: Bound) -> DataFrame:
     shorter = F.col("place") <= F.col("n") - bound.least_shared(F.col("n") * 2)
     posted = postings(rooted(sets, roots), bound)
     # The first set of each hash links a crowd that has it in common, so that only few meet below.
-    least = posted.where(shorter).groupBy("hash").agg(F.min_by(F.struct("set", "root", "n", "place"), "set").alias("one")).select("hash", "one.*")
+    least = posted.where(shorter).groupBy("hash").agg(F.min_by(F.struct("set", "root", "n", "place", *SKETCH), "set").alias("one")).select("hash", "one.*")
     links = verified(candidates(posted, apart(least, "hash"), bound), sets, bound)
     joined = rooted(links.withColumnRenamed("a", "set"), roots).select(F.col("root").alias("a"), "b")
     joined = rooted(joined.withColumnRenamed("b", "set"), roots).select("a", F.col("root").alias("b"))
