@@ -99,7 +99,7 @@ class Automaton:
             ends.append(ends[-1] + len(symbol))
         number_of, enter, arcs = self.number.get, self.enter.get, self.arcs
         path, dead = [(0, 0, 0)], [False] * (n + 1)  # of each step: where it ends, the state, and its token
-        begin, state, end = 0, 0, n
+        begin, state, end = 0, 0, min(n, self.longest)
         while begin < n:
             start = ends[begin]
             while end > begin:
@@ -134,6 +134,12 @@ class Codec:
         if model["decoder"] is not None or model["post_processor"] is not None or model["model"]["type"] != "BPE":
             raise ValueError("this kind of tokenizer is not supported")
         self.tokenizer = Tokenizer.from_str(definition)
+        if any(entry["lstrip"] or entry["rstrip"] or entry["single_word"] or entry["content"].split() != [entry["content"]] for entry in model["added_tokens"]):
+            raise ValueError("special tokens that reach over white space or need word bounds are not supported")
+        # Only a normaliser that does nothing else to plain letters lets them pass by it.
+        letters = "abcXYZ"
+        shown = self.tokenizer.normalizer.normalize_str(letters) if self.tokenizer.normalizer else letters
+        self.plain = {letters: str, letters.lower(): str.lower}.get(shown)
         self.special = {entry["content"]: entry["id"] for entry in model["added_tokens"]}
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         merges = [tuple(merge.split(" ")) if isinstance(merge, str) else tuple(merge) for merge in model["model"]["merges"]]
@@ -146,14 +152,14 @@ class Codec:
         self.pieces: dict[str, list[int]] = {}
 
     def _encode(self, word: str) -> list[int]:
-        if word.isascii() and word.isalpha():  # one piece whatever the pattern
-            return self._piece(word.lower())
+        if self.plain and word.isascii() and word.isalpha():  # one piece whatever the pattern
+            return self._piece(self.plain(word))
         ids: list[int] = []
         for part in self.splitter.split(word) if self.splitter else [word]:
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
-                plain = self.tokenizer.normalizer.normalize_str(part)
+                plain = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
                 for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain):
                     if piece:
                         ids += self._piece(piece)

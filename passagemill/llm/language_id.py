@@ -32,12 +32,31 @@ _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_OPENS = re.compile(r"<(?:(script|style)\b|!--)", re.I)
+_CLOSES = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")} | {None: re.compile("-->")}
 _TAG = re.compile(r"<[^>]*>|&[#\w]+;")
+_ENTITY = re.compile(r"&[#\w]+;")
 
 
 def visible_text(markup: str) -> str:
-    return _TAG.sub(" ", _HIDDEN.sub(" ", markup))
+    """``markup`` without scripts, styles, comments, tags and entities, each a blank. What is never closed stays.
+
+    One pass: for each kind it is remembered that no closing mark follows, so unclosed marks cost nothing more.
+    """
+    parts, at, looked, closed = [], 0, 0, dict.fromkeys(_CLOSES, True)
+    while mark := _OPENS.search(markup, looked):
+        kind = mark[1].lower() if mark[1] else None
+        end = _CLOSES[kind].search(markup, mark.end()) if closed[kind] else None
+        if end is None:
+            closed[kind], looked = False, mark.start() + 1
+            if not any(closed.values()):
+                break
+            continue
+        parts += [markup[at : mark.start()], " "]
+        at = looked = end.end()
+    shown = "".join([*parts, markup[at:]])
+    last = shown.rfind(">") + 1  # no tag ends after it
+    return _TAG.sub(" ", shown[:last]) + _ENTITY.sub(" ", shown[last:])
 
 
 def trigram_cells(text: str) -> Iterator[np.ndarray]:
@@ -202,8 +221,9 @@ def suffix_of(host: Column) -> Column:
 
 
 def declared_in(markup: Column) -> Column:
-    """The primary subtag of the ``lang`` attribute of the ``html`` element."""
-    return F.lower(F.regexp_extract(markup, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
+    """The primary subtag of the ``lang`` attribute of the ``html`` element, the first of that name."""
+    attributes = F.regexp_extract(markup, r"(?i)<html\b([^>]*)", 1)
+    return F.lower(F.regexp_extract(attributes, r"(?i)\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
 
 
 def identify_pages(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
