@@ -183,7 +183,11 @@ def exact_links(sets: DataFrame, roots: DataFrame, bound: Bound) -> DataFrame:
     again = persist_table(again, "postings")
     mixed = again.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
     rest = persist_table(again.join(apart(mixed.select("hash"), "hash"), "hash"), "postings")
-    return links.unionByName(verified(candidates(rest, rest.where(shorter), bound), sets, bound))
+    found = verified(candidates(rest, rest.where(shorter), bound), sets, bound)
+    # Many links between two components say the same: one edge between their roots is kept.
+    of_a, of_b = (apart(rest.select(F.col("set").alias(name), F.col("root").alias(f"root_{name}")).distinct(), name) for name in "ab")
+    edges = found.join(of_a, "a").join(of_b, "b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
+    return links.unionByName(edges.distinct())
 
 
 def linked_sets(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], bound: Bound) -> DataFrame:
