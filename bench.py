@@ -71,6 +71,10 @@ def main() -> None:
     timed("ingest_unchanged", lambda: run_ingest(store, present, "r2", now=now))
     timed("ingest_tenth_changed", lambda: run_ingest(store, S.with_hash(changed.drop("content_hash")), "r3", now=now))
 
+    stored = timed("stored_index", lambda: catalog.stored_library(spark, sf_dir))
+    timed("keyword_topk_stored", lambda: run(retrieval.keyword_arm(asked, stored)))
+    timed("hybrid_search_stored", lambda: run(retrieval.hybrid_search(asked, stored)))
+
     ids = library.select(prepare.document_id(F.col("source_path")).alias("document_id"), "content")
     timed("corpus_near_duplicates", lambda: run(duplicates.corpus_near_duplicates(ids)))
     timed("line_duplication", lambda: run(prepare.line_duplication(catalog.raw_texts(spark, sf_dir))))

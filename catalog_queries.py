@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions import constants as K
-from passagemill.functions import stem, text
+from passagemill.functions import markdown, stem, text
 from passagemill.operators import answers as A
 from passagemill.operators import changes as C
 from passagemill.operators import (
@@ -23,12 +23,13 @@ from passagemill.operators import (
     limiter,
     listings,
     prepare,
+    requests,
     stats,
     vector,
 )
 from passagemill.plans import evaluation, retrieval
 from passagemill.plans.answering import answer_batch as answer_questions
-from passagemill.plans.ingest import Options, prepared_documents, run_ingest
+from passagemill.plans.ingest import Options, open_index, prepared_documents, run_ingest
 from passagemill.session import persist_table, scratch_dir, ship_package
 from passagemill.sources import corpus as S
 from passagemill.sources import eval_suite, query_log
@@ -36,6 +37,8 @@ from passagemill.sources.index_store import IndexStore
 from passagemill.streaming import activity, feed
 
 DIMENSIONS = 64
+#: Limits under which a text is one chunk.
+WHOLE_TEXTS = markdown.ChunkLimits(budget=1 << 40, overlap=0, minimum=0)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -409,7 +412,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.table(spark, sf_dir, "documents").select("doc_id", text.token_count(F.col("text")).alias("tokens"))
     provider = embed.Provider(lambda texts: [], DIMENSIONS, max_input_tokens=4000, max_request_tokens=6000, max_batch_size=32)
-    return embed.request_totals(embed.token_budget_batches(docs, "doc_id", "tokens", provider))
+    return requests.request_totals(requests.token_budget_batches(docs, "doc_id", "tokens", provider))
 
 
 def with_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -592,6 +595,22 @@ def keyword_topk_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", F.round("raw_score", 6).alias("raw_score"), "rank")
 
 
+@shared
+def stored_library(spark: SparkSession, sf_dir: str) -> retrieval.Index:
+    """The library as a published index of whole texts, written by a run and opened again."""
+    store = IndexStore(spark, run_folder(spark, "stored-library"))
+    options = Options(DIMENSIONS, stem.identity, WHOLE_TEXTS, max_input_tokens=embed.NO_LIMIT)
+    run_ingest(store, S.library_corpus(spark, sf_dir), "library", options=options, now=datetime(2024, 1, 1, tzinfo=timezone.utc))
+    return open_index(store, options)
+
+
+@query
+def keyword_topk_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through a published index: stored postings by lexeme."""
+    hits = retrieval.keyword_arm(questions(spark, sf_dir), stored_library(spark, sf_dir))
+    return hits.select("query_id", "chunk_id", F.round("raw_score", 6).alias("raw_score"), "rank")
+
+
 @query
 def doc_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = library_index(spark, sf_dir)
@@ -630,6 +649,16 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def hybrid_search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through a published index: stored postings, vectors and passages."""
+    hits = retrieval.hybrid_search(questions(spark, sf_dir), stored_library(spark, sf_dir))
+    return hits.select(
+        "query_id", "pos", "source_path", "doc_type", "breadcrumb", "vector_rank", "keyword_rank",
+        F.round("score", 6).alias("score"),
+    )
+
+
 @query
 def hybrid_search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search over Markdown chunks."""

@@ -259,6 +259,18 @@ FROM labelled WHERE toxic = 1 OR {TOKENS.format("content")} = 0"""
 
 # Corpus preparation.
 
+ORACLE["token_budget_batches"] = f"""
+WITH RECURSIVE sized AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS i, tokens FROM (SELECT doc_id, {TOKENS.format("text")} AS tokens FROM documents) WHERE tokens <= 4000),
+cut AS (
+  SELECT i, 0 AS request_id, 1 AS filled, tokens AS used, tokens FROM sized WHERE i = 1
+  UNION ALL
+  SELECT s.i, CASE WHEN closes THEN request_id + 1 ELSE request_id END, CASE WHEN closes THEN 1 ELSE filled + 1 END,
+    CASE WHEN closes THEN s.tokens ELSE used + s.tokens END, s.tokens
+  FROM (SELECT cut.*, n.tokens AS coming, filled >= 32 OR used + n.tokens > 6000 AS closes FROM cut JOIN sized n ON n.i = cut.i + 1) c
+  JOIN sized s ON s.i = c.i + 1)
+SELECT CAST(request_id AS BIGINT) AS request_id, count(*) AS texts, CAST(sum(tokens) AS BIGINT) AS tokens FROM cut GROUP BY request_id"""
+
 ORACLE["path_metadata"] = with_parts(LIBRARY, NAMED) + "SELECT source_path, doc_type, date_text, subject FROM named"
 MARKDOWN = r"""md AS (SELECT *, chr(10) AS nl,
     CASE WHEN lang = 'fr' THEN concat('---\nowner: "', source, '"\nlang: ', lang, '\nlang: ''', lang, '''\n# note\n\n  nested: x\nno pair\n---\n') ELSE '' END AS header,
@@ -438,6 +450,7 @@ ORACLE["keyword_topk"] = with_parts(*LIBRARY_CHUNKS, QUESTIONS, POSTINGS, ASKED,
     "SELECT query_id, chunk_id, round(raw_score, 6) AS raw_score, rank::INT AS rank FROM keyword_hits"
 )
 ORACLE["keyword_topk_joined"] = ORACLE["keyword_topk"]
+ORACLE["keyword_topk_stored"] = ORACLE["keyword_topk"]
 TYPED = "typed AS (SELECT *, concat('src', query_id % 20, '-report') AS doc_type FROM questions), asked AS (SELECT * FROM typed)"
 ORACLE["doc_type_filter"] = with_parts(
     *LIBRARY_CHUNKS, QUESTIONS, POSTINGS, TYPED, vector_arm("typed", "question", True), keyword_arm(True)
@@ -452,6 +465,7 @@ SELECT query_id, chunk_id, pos::INT AS pos, vector_rank::INT AS vector_rank, key
 ORACLE["hybrid_search"] = with_parts(*RETRIEVAL, PASSAGES) + """
 SELECT query_id, pos::INT AS pos, source_path, doc_type, breadcrumb, vector_rank::INT AS vector_rank, keyword_rank::INT AS keyword_rank,
   round(score, 6) AS score FROM passages WHERE pos <= 6"""
+ORACLE["hybrid_search_stored"] = ORACLE["hybrid_search"]
 ORACLE["passage_join"] = with_parts(*RETRIEVAL, PASSAGES) + """
 SELECT query_id, pos::INT AS pos, chunk_id, document_id, subject AS title, source_path, doc_type, 0 AS ordinal, content_hash FROM passages"""
 # Separators are doubled, so that neighbouring matches do not share one; each match then takes one on either side.

@@ -8,10 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from passagemill.functions import constants as K
 from passagemill.functions import text
@@ -130,42 +128,12 @@ def embed_with_provider(df: DataFrame, column: str, provider: Provider, token_co
     return df.withColumn("embedding", kernel(F.col(column), F.col(token_count)))
 
 
-def token_budget_batches(df: DataFrame, key: str, token_count: str, provider: Provider) -> DataFrame:
-    """Assigns texts to requests per partition: ``(key, token_count, request_id, oversize)``.
-
-    Oversize texts belong to no request.
-    """
-    schema = T.StructType(
-        [df.schema[key], T.StructField("token_count", T.IntegerType()), T.StructField("request_id", T.StringType()),
-         T.StructField("oversize", T.BooleanType())]
-    )
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        partition = TaskContext.get().partitionId()
-        request, used, filled = 0, 0, 0
-        for batch in batches:
-            ids: list[str | None] = []
-            for size in batch[token_count]:
-                if size > provider.max_input_tokens:
-                    ids.append(None)
-                    continue
-                if filled and (filled >= provider.max_batch_size or used + size > provider.max_request_tokens):
-                    request, used, filled = request + 1, 0, 0
-                used, filled = used + size, filled + 1
-                ids.append(f"{partition}-{request}")
-            yield pd.DataFrame(
-                {key: batch[key], "token_count": batch[token_count], "request_id": ids,
-                 "oversize": [name is None for name in ids]}
-            )
-
-    return df.select(key, token_count).mapInPandas(assign, schema)
-
-
-def request_totals(batches: DataFrame) -> DataFrame:
-    """Texts and tokens per request."""
-    return batches.where(~F.col("oversize")).groupBy("request_id").agg(
-        F.count("*").alias("texts"), F.sum("token_count").cast("bigint").alias("tokens")
-    )
+def embed_all(df: DataFrame, column: str, key: str, provider: Provider, token_count: str = "token_count") -> DataFrame:
+    """``embed_with_provider`` that fails at a text over the input limit, naming its ``key`` and size."""
+    size, most = F.col(token_count), provider.max_input_tokens
+    reason = F.concat(F.lit("text of "), F.col(key).cast("string"), F.lit(" has "), size.cast("string"), F.lit(f" tokens, the provider takes {most}"))
+    checked = F.when(size > most, F.raise_error(reason).cast(df.schema[column].dataType)).otherwise(F.col(column))
+    return embed_with_provider(df.withColumn(column, checked), column, provider, token_count)
 
 
 def l2_normalise(df: DataFrame, column: str = "embedding") -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from passagemill.functions import constants as K
 from passagemill.functions import markdown, stem, text
 from passagemill.operators import changes as C
-from passagemill.operators import embed, keyword, prepare
+from passagemill.operators import embed, keyword, postings, prepare
 from passagemill.plans.retrieval import Index
 from passagemill.session import persist_table
-from passagemill.sources.index_store import CHUNK_SCHEMA, TERM_SCHEMA, IndexStore, Manifest
+from passagemill.sources.index_store import CHUNK_SCHEMA, POSTING_SCHEMA, TERM_SCHEMA, IndexStore, Manifest
 
 PHASES = ("DISCOVER", "PARSE", "CHUNK", "EMBED", "PERSIST", "RUN")
 QUIET_WORK = "source_path string, outcome string, chunk_count int, unsupported int, phase string, error string"
@@ -154,6 +154,7 @@ def apply_run(
     store: IndexStore, current: Manifest, corpus: DataFrame, run_id: str, trigger: str, corpus_dir: str, force: bool,
     options: Options, changes: DataFrame | None, batch_id: int | None, feed: DataFrame | None, started: datetime,
 ) -> Manifest:
+    check_settings(current, options)
     stored = store.documents(current)
     # Paths and hashes only; the texts of unchanged documents are not moved.
     changes = persist_table(changes if changes is not None else C.classify_changes(corpus, stored, force), "changes")
@@ -175,10 +176,13 @@ def apply_run(
     if kinds & {"added", "updated"}:
         rows = prepare.chunk_rows(good, options.counter)
         embedded = embed.embed_with_provider(rows, "embedded_text", options.vectors()).withColumn("layer", F.lit(run_id))
-        written = store.read(CHUNK_SCHEMA, store.write(embedded, "chunks", run_id))
-        store.write(keyword.chunk_terms(written, options.stemmer).withColumn("layer", F.lit(run_id)), "terms", run_id)
+        # Sorted, so that a lookup of a few chunks reads the pages that hold them.
+        written = store.read(CHUNK_SCHEMA, store.write(embedded.sortWithinPartitions("chunk_id"), "chunks", run_id))
+        terms = store.read(
+            TERM_SCHEMA, store.write(keyword.chunk_terms(written, options.stemmer).withColumn("layer", F.lit(run_id)), "terms", run_id)
+        )
+        store.write(postings.posting_blocks(terms).withColumn("layer", F.lit(run_id)), "postings", run_id, **postings.STORED)
         layers = [*layers, run_id]
-    check_settings(current, options)
     frequencies = write_frequencies(store, current, run_id, run_id in layers, indexed.select("source_path").unionByName(gone))
 
     documents = store.write(snapshot(stored, indexed, failed, gone), "documents", run_id)
@@ -203,7 +207,7 @@ def write_frequencies(store: IndexStore, current: Manifest, run_id: str, has_lay
         return []
     parts = []
     if has_layer:
-        parts.append(keyword.lexeme_frequencies(store.read(TERM_SCHEMA, store.path("terms", run_id))))
+        parts.append(postings.lexeme_documents(store.read(POSTING_SCHEMA, store.path("postings", run_id))))
     if current.layers:
         dead = store.documents(current).join(left, "source_path", "left_semi").select("document_id")
         lost = keyword.lexeme_frequencies(store.terms(current).join(dead, "document_id", "left_semi"))
@@ -295,7 +299,7 @@ def open_index(store: IndexStore, options: Options = Options()) -> Index:
         frequencies = keyword.lexeme_frequencies(terms)
     return Index(
         store.documents(manifest), store.chunks(manifest), terms, frequencies, options.vectors().dimensions, options.stemmer,
-        options.provider,
+        options.provider, store.postings(manifest), store.superseded(manifest) if len(manifest.layers) > 1 else None,
     )
 
 

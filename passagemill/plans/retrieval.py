@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import constants as K
 from passagemill.functions import stem, text
-from passagemill.operators import embed, fusion, keyword, prepare, vector
+from passagemill.operators import embed, fusion, keyword, postings, prepare, vector
 from passagemill.session import persist_table
 
 
 @dataclass(frozen=True)
 class Index:
-    """What a search reads. ``documents`` counts every known document, failed ones included."""
+    """What a search reads. ``documents`` counts every known document, failed ones included.
+
+    A stored index has ``postings`` by lexeme, and ``gone``: the ``(document_id, layer)`` that later layers replaced.
+    """
 
     documents: DataFrame
     chunks: DataFrame
@@ -24,6 +27,8 @@ class Index:
     dimensions: int
     stemmer: keyword.Stemmer = stem.identity
     provider: embed.Provider | None = None
+    postings: DataFrame | None = None
+    gone: DataFrame | None = None
 
 
 def build_index(
@@ -32,11 +37,11 @@ def build_index(
 ) -> Index:
     """Chunks, vectors, terms and term frequencies of a corpus, written once to the scratch folder.
 
-    Only the term frequencies are shuffled. Without a ``provider`` the vectors are hashed words.
+    Only the term frequencies are shuffled. Without a ``provider`` the vectors are hashed words. A text over the provider's
+    input limit fails the job and is named; ``run_ingest`` quarantines such documents instead.
     """
     rows = prepare.whole_text_chunks(corpus) if whole_texts else prepare.chunk_corpus(corpus)
-    embedded = embed.embed_with_provider(rows, "embedded_text", provider or embed.hash_provider(dimensions))
-    chunks = persist_table(embedded, "chunks")
+    chunks = persist_table(embed.embed_all(rows, "embedded_text", "source_path", provider or embed.hash_provider(dimensions)), "chunks")
     terms = persist_table(keyword.chunk_terms(chunks, stemmer), "terms")
     frequencies = persist_table(keyword.lexeme_frequencies(terms), "frequencies")
     documents = persist_table(corpus.select("source_path"), "documents")
@@ -53,8 +58,8 @@ def question_vectors(rewritten: DataFrame, index: Index) -> DataFrame:
     if index.provider is None or index.provider.name == embed.HASHED_WORDS:
         return embed.hash_embedding(rewritten, "query_id", "vector_text", index.dimensions)
     asked = rewritten.select("query_id", "vector_text", text.token_count(F.col("vector_text")).alias("token_count"))
-    made = embed.embed_with_provider(asked, "vector_text", index.provider).select("query_id", "embedding")
-    return persist_table(made, "question-vectors").where(F.col("embedding").isNotNull())
+    made = embed.embed_all(asked, "vector_text", "query_id", index.provider).select("query_id", "embedding")
+    return persist_table(made, "question-vectors")
 
 
 def vector_arm(rewritten: DataFrame, index: Index, k: int = K.CANDIDATES) -> DataFrame:
@@ -65,6 +70,9 @@ def vector_arm(rewritten: DataFrame, index: Index, k: int = K.CANDIDATES) -> Dat
 
 
 def keyword_arm(questions: DataFrame, index: Index, k: int = K.CANDIDATES) -> DataFrame:
+    """From the stored postings of the questions' lexemes, or a scan of the terms of an index that has none."""
+    if index.postings is not None:
+        return postings.stored_topk(questions, index.postings, k, index.stemmer, index.gone)
     return keyword.keyword_topk(questions, index.terms, k, index.stemmer)
 
 
@@ -88,4 +96,8 @@ def hybrid_search(questions: DataFrame, index: Index, top_k: int = K.DEFAULT_TOP
     small, looks them up in the chunk table without shuffling that table.
     """
     hits = persist_table(top_hits(fused_hits(questions, index), questions, top_k), "hits")
-    return fusion.passage_join(hits, index.chunks)
+    chunks = index.chunks
+    if index.postings is not None:  # stored chunks are sorted by id
+        wanted = [row.chunk_id for row in hits.select("chunk_id").distinct().limit(postings.PUSHED_VALUES + 1).collect()]
+        chunks = postings.having(chunks, "chunk_id", wanted) if len(wanted) <= postings.PUSHED_VALUES else chunks
+    return fusion.passage_join(hits, chunks)
