@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm.components import components
-from passagemill.llm.tables import apart, text_mark
+from passagemill.llm.tables import apart, forget, text_mark
 from passagemill.session import persist_table
 
 
@@ -187,7 +187,9 @@ def exact_links(sets: DataFrame, roots: DataFrame, bound: Bound) -> DataFrame:
     # Many links between two components say the same: one edge between their roots is kept.
     of_a, of_b = (apart(rest.select(F.col("set").alias(name), F.col("root").alias(f"root_{name}")).distinct(), name) for name in "ab")
     edges = found.join(of_a, "a").join(of_b, "b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
-    return links.unionByName(edges.distinct())
+    edges = persist_table(edges.distinct(), "set-edges")
+    forget(posted, again, rest)
+    return links.unionByName(edges)
 
 
 def linked_sets(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], bound: Bound) -> DataFrame:
@@ -208,7 +210,9 @@ def linked_sets(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], bound
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
     open_sets = placed.join(apart(mixed.select("key"), "key"), "key").select("set").distinct()
     rest = persist_table(sets.join(apart(open_sets, "set"), "set"), "open-sets")
-    return components(links.unionByName(exact_links(rest, roots, bound)))
+    linked = components(links.unionByName(exact_links(rest, roots, bound)))
+    forget(keyed, members, sets, rest)
+    return linked
 
 
 def set_components(
