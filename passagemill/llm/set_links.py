@@ -183,13 +183,22 @@ def exact_links(sets: DataFrame, roots: DataFrame, bound: Bound) -> DataFrame:
     again = persist_table(again, "postings")
     mixed = again.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
     rest = persist_table(again.join(apart(mixed.select("hash"), "hash"), "hash"), "postings")
-    found = verified(candidates(rest, rest.where(shorter), bound), sets, bound)
-    # Many links between two components say the same: one edge between their roots is kept.
+    # Many pairs of two components would say the same. One of each is compared first, then all between those still apart.
     of_a, of_b = (apart(rest.select(F.col("set").alias(name), F.col("root").alias(f"root_{name}")).distinct(), name) for name in "ab")
-    edges = found.join(of_a, "a").join(of_b, "b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
-    edges = persist_table(edges.distinct(), "set-edges")
-    forget(posted, again, rest)
-    return links.unionByName(edges)
+    pairs = persist_table(candidates(rest, rest.where(shorter), bound).join(of_a, "a").join(of_b, "b"), "set-pairs")
+    low, high = F.least("root_a", "root_b"), F.greatest("root_a", "root_b")
+    first = pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.min(F.struct("a", "b")).alias("one")).select("one.*")
+
+    def edges(found: DataFrame) -> DataFrame:
+        return pairs.join(apart(found, "a", "b"), ["a", "b"]).select(low.alias("a"), high.alias("b")).distinct()
+
+    near = persist_table(edges(verified(first, sets, bound)), "set-edges")
+    now = persist_table(components(near).withColumnRenamed("node", "set"), "set-roots")
+    now_a, now_b = (apart(now.select(F.col("set").alias(f"root_{name}"), F.col("root").alias(f"now_{name}")), f"root_{name}") for name in "ab")
+    still = pairs.join(now_a, "root_a", "left").join(now_b, "root_b", "left").where(F.coalesce("now_a", "root_a") != F.coalesce("now_b", "root_b"))
+    far = persist_table(edges(verified(still.select("a", "b"), sets, bound)), "set-edges")
+    forget(posted, again, rest, pairs)
+    return links.unionByName(near).unionByName(far)
 
 
 def linked_sets(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], bound: Bound) -> DataFrame:
