@@ -58,7 +58,7 @@ def main() -> None:
 
     vectors, points = catalog.vector_questions(spark, sf_dir), catalog.vector_chunks(spark, sf_dir)
     timed("vector_topk", lambda: run(vector.vector_topk(vectors, points, catalog.DIMENSIONS)))
-    timed("vector_topk_ann", lambda: run(vector.vector_topk_ann(vectors, points, catalog.DIMENSIONS, probes=16)))
+    timed("vector_topk_ann", lambda: run(vector.vector_topk_ann(vectors, points, catalog.DIMENSIONS, cells=32, probes=24)))
 
     store = IndexStore(spark, catalog.run_folder(spark, "bench-index"))
     present = S.table_corpus(spark, sf_dir)

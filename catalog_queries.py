@@ -558,7 +558,7 @@ def vector_topk_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def vector_topk_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = vector.vector_topk_ann(
-        vector_questions(spark, sf_dir), vector_chunks(spark, sf_dir), DIMENSIONS, probes=16, order=scattered("chunk_id")
+        vector_questions(spark, sf_dir), vector_chunks(spark, sf_dir), DIMENSIONS, probes=24, order=scattered("chunk_id")
     )
     return hits.select("query_id", "chunk_id", F.round("raw_score", 6).alias("raw_score"), "rank")
 
@@ -567,7 +567,7 @@ def vector_topk_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, offered = vector_questions(spark, sf_dir), vector_chunks(spark, sf_dir)
     exact = vector.vector_topk(asked, offered, DIMENSIONS)
-    return vector.recall_against(exact, vector.vector_topk_ann(asked, offered, DIMENSIONS, probes=16, order=scattered("chunk_id")))
+    return vector.recall_against(exact, vector.vector_topk_ann(asked, offered, DIMENSIONS, probes=24, order=scattered("chunk_id")))
 
 
 @query

@@ -12,11 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import constants as K
+from passagemill.functions import text
 from passagemill.session import persist_table
 
 # Scores are compared after rounding, so equal vectors tie whatever the order of summation.
@@ -27,6 +28,9 @@ BROADCAST_QUESTIONS = 20_000
 # Vector values of one question block in the grid, and scores computed at once.
 BLOCK_VALUES = 4_000_000
 BLOCK_SCORES = 2_000_000
+# Approximate search: rounds of training and rows of a cell in it, questions that the number of probes is fitted on, its
+# recall, files that a crowded cell is dealt to, and centres taken from an order.
+ROUNDS, TRAINED_ROWS, PROBED_QUESTIONS, RECALL, CELL_FILES, FIRST_CELLS = 6, 256, 500, 0.92, 8, 32
 
 
 class RunningTopK:
@@ -38,15 +42,17 @@ class RunningTopK:
         self.scores: list[np.ndarray] = [np.empty(0)] * len(ids)
         self.chunks: list[np.ndarray] = [np.empty(0, dtype=object)] * len(ids)
 
-    def offer(self, chunk_ids: np.ndarray, scores: np.ndarray, doc_types: np.ndarray) -> None:
-        """Takes a chunk-by-question block of scores; minus infinity is no match."""
+    def offer(self, chunk_ids: np.ndarray, scores: np.ndarray, doc_types: np.ndarray, places: np.ndarray | None = None) -> None:
+        """Takes a chunk-by-question block of scores; minus infinity is no match. ``places``: the questions, if not all."""
+        places = np.arange(len(self.ids)) if places is None else places
         for kind in set(self.doc_types) - {None}:
-            asking = [place for place, wanted in enumerate(self.doc_types) if wanted == kind]
+            asking = [at for at, place in enumerate(places) if self.doc_types[place] == kind]
             scores[np.ix_(doc_types != kind, asking)] = -np.inf
         best = scores.max(axis=0)
         # A tie with the last kept score may still win by its id.
-        for question in np.flatnonzero((best >= self.floors) & (best > -np.inf)):
-            floor, column = self.floors[question], scores[:, question]
+        for at in np.flatnonzero((best >= self.floors[places]) & (best > -np.inf)):
+            question = places[at]
+            floor, column = self.floors[question], scores[:, at]
             if len(column) > self.k:
                 floor = max(floor, np.partition(column, -self.k)[-self.k])
             found = np.flatnonzero((column >= floor) & (column > -np.inf))
@@ -80,25 +86,39 @@ class NearestChunks(RunningTopK):
             [name for name, ok in zip(ids, usable) if ok], [kind for kind, ok in zip(doc_types, usable) if ok], k
         )
         self.vectors = vectors[usable] / norms[usable, None]
-        self.probes = None if probes is None else [frozenset(cells) for cells, ok in zip(probes, usable) if ok]
+        self.by_cell: dict[int, np.ndarray] | None = None
+        if probes is not None:
+            asked: dict[int, list[int]] = {}
+            for place, cells in enumerate(cells for cells, ok in zip(probes, usable) if ok):
+                for cell in cells:
+                    asked.setdefault(cell, []).append(place)
+            self.by_cell = {cell: np.array(places) for cell, places in asked.items()}
 
     def add(self, chunk_ids: np.ndarray, vectors: np.ndarray, doc_types: np.ndarray, cells: np.ndarray) -> None:
         step = self.rows_per_block()
-        for start in range(0, len(chunk_ids), step):
-            part = slice(start, start + step)
-            self.add_block(chunk_ids[part], vectors[part], doc_types[part], cells[part])
-
-    def add_block(self, chunk_ids: np.ndarray, vectors: np.ndarray, doc_types: np.ndarray, cells: np.ndarray) -> None:
+        if self.by_cell is None:
+            for start in range(0, len(chunk_ids), step):
+                part = slice(start, start + step)
+                self.add_block(chunk_ids[part], vectors[part], doc_types[part])
+            return
+        # The chunks of a cell meet only the questions that look into it.
+        order = np.argsort(cells, kind="stable")
+        edges = np.flatnonzero(np.diff(cells[order], prepend=-1))
+        for low, high in zip(edges, np.append(edges[1:], len(order))):
+            places = self.by_cell.get(int(cells[order[low]]))
+            if places is not None:
+                for start in range(low, high, step):
+                    part = order[start : min(start + step, high)]
+                    self.add_block(chunk_ids[part], vectors[part], doc_types[part], places)
+
+    def add_block(self, chunk_ids: np.ndarray, vectors: np.ndarray, doc_types: np.ndarray, places: np.ndarray | None = None) -> None:
         norms = np.linalg.norm(vectors, axis=1)
         usable = norms > 0
         if not usable.any() or not self.ids:
             return
-        scores = np.round((vectors[usable] / norms[usable, None]) @ self.vectors.T, SCORE_DIGITS)
-        if self.probes is not None:
-            cells = cells[usable]
-            for question, wanted in enumerate(self.probes):
-                scores[~np.isin(cells, list(wanted)), question] = -np.inf
-        self.offer(chunk_ids[usable], scores, doc_types[usable])
+        asked = self.vectors if places is None else self.vectors[places]
+        scores = np.round((vectors[usable] / norms[usable, None]) @ asked.T, SCORE_DIGITS)
+        self.offer(chunk_ids[usable], scores, doc_types[usable], places)
 
 
 def as_matrix(column: pa.Array) -> np.ndarray:
@@ -283,19 +303,83 @@ def probe_cells(questions: DataFrame, centres: np.ndarray, probes: int) -> DataF
     )
 
 
+def trained_centres(
+    chunks: DataFrame, chunk_key: str = "chunk_id", cells: int | None = None, rounds: int = ROUNDS, per_cell: int = TRAINED_ROWS
+) -> np.ndarray:
+    """Centres by Lloyd rounds in Spark; their number grows with the root of the chunks.
+
+    They are trained on a share of the chunks, chosen by the hash of their key: of the order of ``per_cell`` a cell. A round
+    brings one sum per cell and dimension to the driver. A centre that attracts nothing stays where it is.
+    """
+    filled = chunks.where(F.col("embedding").isNotNull()).select(chunk_key, F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = filled.count()
+    cells = cells or max(1, round(rows**0.5))
+    share = F.pmod(F.xxhash64(chunk_key), F.lit(max(1, rows // (cells * per_cell)))) == 0
+    sample = persist_table(filled.where(share).withColumn("embedding", text.normalise(F.col("embedding"))), "training")
+    centres = cell_centres(filled, cells, chunk_key)
+    for _ in range(rounds):
+        values = assign_cells(sample, centres).select("cell", F.posexplode("embedding").alias("place", "value"))
+        sums = values.groupBy("cell", "place").agg(F.sum("value").alias("total")).toPandas()
+        moved = np.zeros_like(centres)
+        moved[sums["cell"], sums["place"]] = sums["total"]
+        norms = np.linalg.norm(moved, axis=1, keepdims=True)
+        centres = np.where(norms > 0, np.divide(moved, norms, out=np.zeros_like(moved), where=norms > 0), centres)
+    return centres
+
+
+def probes_for_recall(
+    questions: DataFrame, celled: DataFrame, centres: np.ndarray, recall: float, k: int = K.CANDIDATES,
+    chunk_key: str = "chunk_id", sample: int = PROBED_QUESTIONS,
+) -> int:
+    """The fewest nearest cells that hold the wanted share of the exact hits of a bounded sample of ``questions``."""
+    asked = persist_table(
+        questions.where(F.col("embedding").isNotNull()).orderBy(F.xxhash64("query_id"), "query_id").limit(sample), "probing"
+    )
+    exact = vector_topk(asked, celled.drop("cell"), centres.shape[1], k, chunk_key).select("query_id", "chunk_id")
+    order = probe_cells(asked, centres, len(centres)).select("query_id", "probes")
+    hits = exact.join(celled.select(F.col(chunk_key).alias("chunk_id"), "cell"), "chunk_id").join(order, "query_id")
+    counts = hits.groupBy(F.array_position("probes", F.col("cell")).alias("place")).count().orderBy("place").collect()
+    total, seen = sum(row["count"] for row in counts), 0
+    for row in counts:
+        seen += row["count"]
+        if seen >= recall * total:
+            return int(row["place"])
+    return len(centres)
+
+
+def write_cells(chunks: DataFrame, centres: np.ndarray, path: str) -> DataFrame:
+    """``chunks`` with their cell, written partitioned by it, so that a search opens the files of its cells only."""
+    celled = assign_cells(chunks, centres)
+    salt = F.pmod(F.xxhash64(*[name for name in chunks.columns if name != "embedding"]), F.lit(CELL_FILES))
+    celled.repartition("cell", salt).write.partitionBy("cell").parquet(path)
+    return chunks.sparkSession.read.parquet(path)
+
+
+def probed_topk(
+    questions: DataFrame, celled: DataFrame, centres: np.ndarray, probes: int, k: int = K.CANDIDATES, chunk_key: str = "chunk_id"
+) -> DataFrame:
+    """``vector_topk`` over the ``probes`` nearest cells of each question; cells that no question looks into are not read."""
+    asked = persist_table(probe_cells(questions, centres, probes), "probing")
+    wanted = [row.cell for row in asked.select(F.explode("probes").alias("cell")).distinct().collect()]
+    return vector_topk(asked, celled.where(F.col("cell").isin(wanted)), centres.shape[1], k, chunk_key)
+
+
 def vector_topk_ann(
-    questions: DataFrame, chunks: DataFrame, dimensions: int, cells: int = 32, probes: int = 8, k: int = K.CANDIDATES,
-    chunk_key: str = "chunk_id", order: Column | None = None,
+    questions: DataFrame, chunks: DataFrame, dimensions: int, cells: int | None = None, probes: int | None = None,
+    k: int = K.CANDIDATES, chunk_key: str = "chunk_id", order: Column | None = None, recall: float = RECALL,
 ) -> DataFrame:
     """Approximate ``vector_topk``: each question looks into its nearest cells only.
 
-    A chunk lies in one cell, so no candidate appears twice and a crowded cell is read by many
-    tasks. Scores of the found chunks are exact. Vectors without any grouping need more probes.
+    A chunk lies in one cell, so no candidate appears twice and a crowded cell is read by many tasks. Scores of the found
+    chunks are exact. Centres are trained, or with ``order`` the first chunks in it. Without ``probes``, as many cells are
+    probed as a sample of the questions needs for ``recall``: few if the vectors lie in groups, most cells if they do not.
     """
-    centres = cell_centres(chunks, cells, chunk_key, order)
-    return vector_topk(
-        probe_cells(questions, centres, probes), assign_cells(chunks, centres), dimensions, k, chunk_key
-    )
+    centres = trained_centres(chunks, chunk_key, cells) if order is None else cell_centres(chunks, cells or FIRST_CELLS, chunk_key, order)
+    celled = assign_cells(chunks, centres)
+    if probes is None:
+        celled = persist_table(celled, "celled")
+        probes = probes_for_recall(questions, celled, centres, recall, k, chunk_key)
+    return probed_topk(questions, celled, centres, probes, k, chunk_key)
 
 
 def recall_against(exact: DataFrame, found: DataFrame) -> DataFrame:

@@ -14,4 +14,4 @@ def test_flagship_query(spark):
 
 def test_recall_of_the_cell_search(spark):
     row = catalog_queries.QUERIES["vector_ann_recall"](spark, registered.SMOKE_DIR).first()
-    assert row.recall >= 0.7  # these vectors are plain noise, so half of the cells are probed
+    assert row.recall >= 0.9  # these vectors are plain noise, so three quarters of the cells are probed
