@@ -218,7 +218,7 @@ def test_a_run_that_breaks_off_is_logged_and_can_be_repeated(spark, tmp_path):
 
     edited = corpus(spark, {"a.md": "alpha beta delta"})
     with pytest.raises(Exception, match="no vectors today"):
-        run_ingest(store, edited, "r2", options=Options(provider=embed.Provider(fails, 16)))
+        run_ingest(store, edited, "r2", options=Options(provider=embed.Provider(fails, 64, name=embed.HASHED_WORDS)))
     runs = listings.list_runs(store.runs(store.manifest()), "FAILED").collect()
     assert [(r.run_id, r.total) for r in runs] == [("r2", 1)] and runs[0].error_message
     assert paths(store) == ["a.md", "b.md"]
