@@ -7,6 +7,7 @@ words overlap by the bound. The result grows with the documents, not with the pa
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,10 @@ from passagemill.functions import constants as K
 from passagemill.functions import text
 from passagemill.session import persist_table
 
-PREFIX_HITS = 4
+SKETCH_LONGS = 16
+#: Postings of leaders that are sent to every task: at most 60 MB.
+BROADCAST_POSTINGS = 200_000
+SKETCHES = [f"sketch_{number}" for number in range(SKETCH_LONGS)]
 
 
 def order_share(document_id: Column) -> Column:
@@ -24,63 +28,91 @@ def order_share(document_id: Column) -> Column:
 
 
 def word_sets(documents: DataFrame) -> DataFrame:
+    """Words as 64-bit hashes; two sets of 10,000 words confuse one with a probability of five in 10^12."""
     words = F.array_sort(text.distinct_words(F.col("content")))
-    return documents.select("document_id", words.alias("words")).withColumn(
-        "signature", F.sha2(F.array_join("words", " "), 256)
+    return documents.select("document_id", words.alias("words")).select(
+        "document_id", F.transform("words", lambda word: F.xxhash64(word)).alias("words"),
+        F.sha2(F.array_join("words", " "), 256).alias("signature"),
     )
 
 
-def with_prefix(sets: DataFrame, overlap: float) -> DataFrame:
-    """Adds ``prefix``, the rarest words, and ``hits``, how many of them any larger match must contain."""
-    words = sets.select("document_id", F.explode("words").alias("word"))
-    frequency = words.groupBy("word").agg(F.count("*").alias("frequency"))
-    rarest = F.transform(
-        F.array_sort(F.collect_list(F.struct("frequency", "word"))), lambda entry: entry["word"]
-    )
-    size = F.size("words")
-    # A match shares ``needed`` words. With all but ``needed - hits`` of them in the prefix, at least
-    # ``hits`` of the shared ones are there.
-    needed = F.ceil(size * overlap - 1e-9).cast("int")
-    listed = words.join(frequency, "word").groupBy("document_id").agg(rarest.alias("words"))
+def shared_words(sets: DataFrame, overlap: float) -> DataFrame:
+    """What the search needs of each set: the words that it shares with any other, the rarest first.
+
+    ``need`` words must be common with a larger set; ``spare`` of the shared words may be missing there, so the first
+    common one is among the first ``spare + 1``. The sketches hold one bit for each shared word.
+    """
+    words = sets.select("document_id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    frequency = words.groupBy("word").agg(F.count("*").alias("frequency")).where(F.col("frequency") > 1)
+    # The place of a word's bit: four bits choose the long, six the bit in it.
+    lane, bit = F.col("word").bitwiseAND(SKETCH_LONGS - 1), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned("word", 8).bitwiseAND(63).cast("int"))
+    sketches = [F.bit_or(F.when(lane == number, bit).otherwise(F.lit(0).cast("bigint"))).alias(name) for number, name in enumerate(SKETCHES)]
+    rarest = F.transform(F.array_sort(F.collect_list(F.struct("frequency", "word"))), lambda entry: entry["word"])
+    need = F.ceil(F.col("n") * overlap - 1e-9).cast("int")
     return (
-        listed.withColumn("n", size)
-        .withColumn("hits", F.least(F.lit(PREFIX_HITS), needed))
-        .withColumn("prefix", F.slice("words", F.lit(1), size - needed + F.col("hits")))
+        words.join(frequency, "word")
+        .groupBy("document_id", "n")
+        .agg(rarest.alias("words"), *sketches)
+        .withColumn("need", need)
+        .withColumn("spare", F.size("words") - F.col("need"))
     )
 
 
-def first_partners(leaders: DataFrame, open_sets: DataFrame, sets: DataFrame, overlap: float) -> DataFrame:
-    """The lowest overlapping leader of each open document, if it has one."""
-
-    def words_of(entries: DataFrame, words: str, key: str, size: str) -> DataFrame:
-        return entries.select(F.col("document_id").alias(key), F.col("n").alias(size), "hits", F.explode(words).alias("word"))
-
-    below = F.col("leader") < F.col("document_id")
-    small_leader = words_of(leaders, "prefix", "leader", "leader_n").join(
-        words_of(open_sets, "words", "document_id", "n").drop("hits"), "word"
-    ).where(below & (F.col("leader_n") <= F.col("n")))
-    large_leader = words_of(open_sets, "prefix", "document_id", "n").join(
-        words_of(leaders, "words", "leader", "leader_n").drop("hits"), "word"
-    ).where(below & (F.col("leader_n") > F.col("n")))
-    columns = ["document_id", "leader", "hits"]
-    pairs = (
-        small_leader.select(*columns)
-        .unionByName(large_leader.select(*columns))
-        .groupBy(*columns)
-        .agg(F.count("*").alias("shared"))
-        .where(F.col("shared") >= F.col("hits"))
-        .select("document_id", "leader")
+def candidates(small: DataFrame, large: DataFrame, sent: str = "") -> DataFrame:
+    """``(document_id, leader)`` of sets that meet in a word that may be their first common one, and pass the bounds.
+
+    Both tables have the columns of ``shared_words`` and two flags: ``leads`` (may be a leader) and ``open`` (seeks one); the
+    one named by ``sent`` goes to every task. The larger set of a pair must hold ``need`` words from the common one on. Each bit that only the smaller one has is a word that the larger
+    one lacks; more than ``spare`` of them rule the pair out. All are conditions of the join, so only what they leave becomes a row.
+    """
+    opening = F.slice("words", F.lit(1), F.greatest(F.col("spare") + 1, F.lit(0)))
+    left = small.where(F.col("spare") >= 0).select(
+        F.col("document_id").alias("smaller"), "n", "need", "spare", "leads", "open", *SKETCHES, F.explode(opening).alias("word")
+    )
+    right = large.select(
+        F.col("document_id").alias("larger"), F.col("n").alias("larger_n"), F.size("words").alias("held"),
+        F.col("leads").alias("larger_leads"), F.col("open").alias("larger_open"),
+        *[F.col(name).alias(f"larger_{name}") for name in SKETCHES], F.posexplode("words").alias("place", "word"),
     )
-    left = sets.select("document_id", "words")
-    right = sets.select(F.col("document_id").alias("leader"), F.col("words").alias("leader_words"))
-    similar = text.overlap_ratio(F.col("words"), F.col("leader_words")) >= overlap
-    return pairs.join(left, "document_id").join(right, "leader").where(similar).groupBy("document_id").agg(
+    left, right = (F.broadcast(side) if sent == name else side for name, side in (("small", left), ("large", right)))
+    lacking = reduce(
+        lambda total, count: total + count,
+        [F.bit_count(F.col(name).bitwiseAND(F.bitwise_not(F.col(f"larger_{name}")))) for name in SKETCHES],
+    )
+    larger_first = F.col("larger") < F.col("smaller")
+    sought = F.when(larger_first, F.col("larger_leads") & F.col("open")).otherwise(F.col("leads") & F.col("larger_open"))
+    larger_set = (F.col("larger_n") > F.col("n")) | ((F.col("larger_n") == F.col("n")) & (F.col("larger") != F.col("smaller")))
+    return (
+        left.join(right, "word")
+        .where(larger_set & sought & (F.col("held") - F.col("place") >= F.col("need")) & (lacking <= F.col("spare")))
+        .select(F.greatest("smaller", "larger").alias("document_id"), F.least("smaller", "larger").alias("leader"))
+    )
+
+
+def round_candidates(flagged: DataFrame, last: bool) -> DataFrame:
+    """The pairs of a round. While the leaders are few, they go to the tasks and the postings of all others stay in place."""
+    leaders, open_sets = flagged.where("leads"), flagged.where("open")
+    if not last:
+        postings = leaders.agg(F.sum(F.size("words"))).first()[0] or 0
+        if postings <= BROADCAST_POSTINGS:
+            return candidates(leaders, open_sets, "small").unionByName(candidates(open_sets, leaders, "large"))
+    either = flagged.where(F.col("leads") | F.col("open"))
+    return candidates(either, either)
+
+
+def partners_below(pairs: DataFrame, sets: DataFrame, overlap: float) -> DataFrame:
+    """The lowest overlapping leader of each document that has one."""
+    left = sets.select("document_id", "n", "words")
+    right = sets.select(F.col("document_id").alias("leader"), F.col("n").alias("leader_n"), F.col("words").alias("leader_words"))
+    common = F.size(F.array_intersect("words", "leader_words"))
+    similar = common / F.least("n", "leader_n") >= overlap
+    return pairs.distinct().join(left, "document_id").join(right, "leader").where(similar).groupBy("document_id").agg(
         F.min("leader").alias("repeat_of")
     )
 
 
 def corpus_near_duplicates(
-    documents: DataFrame, overlap: float = K.DUPLICATE_OVERLAP, growth: int = 16
+    documents: DataFrame, overlap: float = K.DUPLICATE_OVERLAP, growth: int = 256
 ) -> DataFrame:
     """``(document_id, repeat_of)`` for every ``(document_id, content)`` row.
 
@@ -92,16 +124,21 @@ def corpus_near_duplicates(
     distinct = sets.groupBy("signature").agg(F.min(F.struct("document_id", "words")).alias("first")).select(
         "first.document_id", "first.words"
     )
-    entries = persist_table(with_prefix(distinct, overlap), "distinct-sets")
+    entries = persist_table(shared_words(distinct, overlap), "distinct-sets")
     rounds = max(1, math.ceil(math.log(max(entries.count(), 2), growth)))
     found: DataFrame | None = None
     lower = 0.0
     for step in range(rounds, 0, -1):
         upper = growth ** (1.0 - step)
         place = order_share(F.col("document_id"))
-        leaders = entries.where((place >= lower) & (place < upper))
-        still_open = entries if found is None else entries.join(found, "document_id", "left_anti")
-        partners = first_partners(leaders, still_open, entries, overlap)
+        flagged = entries.withColumn("leads", (place >= lower) & (place < upper))
+        if found is None:
+            flagged = flagged.withColumn("open", F.lit(True))
+        else:
+            done = found.select("document_id", F.lit(True).alias("done"))
+            flagged = flagged.join(done, "document_id", "left").withColumn("open", F.col("done").isNull()).drop("done")
+        pairs = round_candidates(flagged, last=step == 1)
+        partners = partners_below(pairs, entries, overlap)
         found = persist_table(partners if found is None else found.unionByName(partners), "partners")
         lower = upper
     firsts = sets.groupBy("signature").agg(F.min("document_id").alias("first"))

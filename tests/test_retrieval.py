@@ -171,7 +171,9 @@ def test_marks(spark):
     assert got[2].marks == 1 and "<mark>wides</mark>" in got[2].marked
 
 
-def test_corpus_near_duplicates_match_brute_force(spark):
+@pytest.mark.parametrize("sent", [0, duplicates.BROADCAST_POSTINGS])
+def test_corpus_near_duplicates_match_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(duplicates, "BROADCAST_POSTINGS", sent)
     picker = random.Random(4)
     vocabulary = [f"word{n:03d}" for n in range(60)]
     docs = []
@@ -200,6 +202,18 @@ def test_corpus_near_duplicates_match_brute_force(spark):
     assert got == want
 
 
+def test_bounds_leave_few_candidates(spark):
+    """Sets that share many words but no near copy: the bounds of the join leave next to none of the pairs that meet."""
+    picker = random.Random(7)
+    vocabulary = [f"word{n:04d}" for n in range(1500)]
+    docs = spark.createDataFrame(
+        [(f"{n:04x}", " ".join(picker.sample(vocabulary, picker.randint(60, 400)))) for n in range(300)], "document_id string, content string"
+    )
+    sets = duplicates.shared_words(duplicates.word_sets(docs).drop("signature"), 0.8)
+    flagged = sets.withColumn("leads", F.lit(True)).withColumn("open", F.lit(True))
+    assert duplicates.candidates(flagged, flagged).count() < 20
+
+
 def test_metrics(spark):
     suite = spark.createDataFrame(
         [(1, "answerable", "q", ["a", "b"]), (2, "answerable", "q", ["c"]), (3, "answerable", "q", [])],
