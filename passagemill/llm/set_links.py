@@ -132,21 +132,30 @@ def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def postings(sets: DataFrame, bound: Bound) -> DataFrame:
-    """``hash``, ``set``, ``root``, ``n``, ``place`` and sketch: the first hashes of ``sets`` (``set``, ``root``, ``hashes``, sketch), rarest first.
+    """``hash``, ``set``, ``root``, ``n`` and ``place``: the first hashes of ``sets`` (``set``, ``root``, ``hashes``), rarest first.
 
-    A set gives as many as hold one of those that it shares with a similar set that is not longer. Hashes of one root only
-    take a place but are left out.
+    A set gives as many as hold one of those that it shares with a similar set that is not longer. Hashes of one set or of one
+    root only take a place but are left out; those of one set come first and are not moved.
     """
     n = F.col("n")
-    words = sets.select("set", "root", F.size("hashes").cast("bigint").alias("n"), F.explode("hashes").alias("hash"))
-    common = words.groupBy("hash").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("df > 1")
+    # Of the roots under a hash it matters only whether they differ, so 64 bits of each are enough.
+    rooted_words = sets.select(F.xxhash64("root").alias("root"), F.explode("hashes").alias("hash"))
+    common = rooted_words.groupBy("hash").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("df > 1")
     common = common.select("hash", "df", (F.col("low") != F.col("high")).alias("mixed"))
-    entry = F.struct(F.coalesce("df", F.lit(1)).alias("df"), "hash", F.coalesce("mixed", F.lit(False)).alias("mixed"))
-    ranked = words.join(apart(common, "hash"), "hash", "left").groupBy("set", "root", "n").agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
-    first = F.slice("ranked", F.lit(1), (n - bound.least_size(n) + 1).cast("int"))
-    placed = ranked.select("set", "root", "n", F.posexplode(first).alias("place", "at")).where("at.mixed")
-    entries = placed.select(F.col("at.hash").alias("hash"), "set", "root", "n", "place")
-    return persist_table(entries.join(apart(sets.select("set", *SKETCH), "set"), "set"), "postings")
+    entry = F.struct("df", "hash", "mixed")
+    words = sets.select("set", F.explode("hashes").alias("hash")).join(apart(common, "hash"), "hash")
+    ranked = words.groupBy("set").agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
+    sizes = sets.select("set", "root", F.size("hashes").cast("bigint").alias("n"))
+    single = n - F.size("ranked")
+    first = F.slice("ranked", F.lit(1), F.greatest(n - bound.least_size(n) + 1 - single, F.lit(0)).cast("int"))
+    placed = ranked.join(apart(sizes, "set"), "set").select("set", "root", "n", single.alias("single"), F.posexplode(first).alias("later", "at"))
+    entries = placed.where("at.mixed").select(F.col("at.hash").alias("hash"), "set", "root", "n", (F.col("later") + F.col("single")).alias("place"))
+    return persist_table(entries, "postings")
+
+
+def sketched(posted: DataFrame, sets: DataFrame) -> DataFrame:
+    """``posted`` with the sketches, which are wide and so join it only where pairs are formed."""
+    return posted.join(apart(sets.select("set", *SKETCH), "set"), "set")
 
 
 def candidates(posted: DataFrame, short: DataFrame, bound: Bound) -> DataFrame:
@@ -170,12 +179,12 @@ def candidates(posted: DataFrame, short: DataFrame, bound: Bound) -> DataFrame:
 
 
 def exact_links(sets: DataFrame, roots: DataFrame, bound: Bound) -> DataFrame:
-    """Links that join what is similar among ``sets`` (``set``, ``hashes``) but of different ``roots``."""
+    """Links that join what is similar among ``sets`` (``set``, ``hashes``, sketch) but of different ``roots``."""
     shorter = F.col("place") <= F.col("n") - bound.least_shared(F.col("n") * 2)
     posted = postings(rooted(sets, roots), bound)
     # The first set of each hash links a crowd that has it in common, so that only few meet below.
-    least = posted.where(shorter).groupBy("hash").agg(F.min_by(F.struct("set", "root", "n", "place", *SKETCH), "set").alias("one")).select("hash", "one.*")
-    links = verified(candidates(posted, apart(least, "hash"), bound), sets, bound)
+    least = posted.where(shorter).groupBy("hash").agg(F.min_by(F.struct("set", "root", "n", "place"), "set").alias("one")).select("hash", "one.*")
+    links = verified(candidates(sketched(posted, sets), sketched(least, sets), bound), sets, bound)
     joined = rooted(links.withColumnRenamed("a", "set"), roots).select(F.col("root").alias("a"), "b")
     joined = rooted(joined.withColumnRenamed("b", "set"), roots).select("a", F.col("root").alias("b"))
     merged = components(joined).select("node", F.col("root").alias("merged"))
@@ -185,7 +194,8 @@ def exact_links(sets: DataFrame, roots: DataFrame, bound: Bound) -> DataFrame:
     rest = persist_table(again.join(apart(mixed.select("hash"), "hash"), "hash"), "postings")
     # Many pairs of two components would say the same. One of each is compared first, then all between those still apart.
     of_a, of_b = (apart(rest.select(F.col("set").alias(name), F.col("root").alias(f"root_{name}")).distinct(), name) for name in "ab")
-    pairs = persist_table(candidates(rest, rest.where(shorter), bound).join(of_a, "a").join(of_b, "b"), "set-pairs")
+    drawn = persist_table(sketched(rest, sets), "postings")
+    pairs = persist_table(candidates(drawn, drawn.where(shorter), bound).join(of_a, "a").join(of_b, "b"), "set-pairs")
     low, high = F.least("root_a", "root_b"), F.greatest("root_a", "root_b")
     first = pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.min(F.struct("a", "b")).alias("one")).select("one.*")
 
@@ -197,7 +207,7 @@ def exact_links(sets: DataFrame, roots: DataFrame, bound: Bound) -> DataFrame:
     now_a, now_b = (apart(now.select(F.col("set").alias(f"root_{name}"), F.col("root").alias(f"now_{name}")), f"root_{name}") for name in "ab")
     still = pairs.join(now_a, "root_a", "left").join(now_b, "root_b", "left").where(F.coalesce("now_a", "root_a") != F.coalesce("now_b", "root_b"))
     far = persist_table(edges(verified(still.select("a", "b"), sets, bound)), "set-edges")
-    forget(posted, again, rest, pairs)
+    forget(posted, again, rest, drawn, pairs)
     return links.unionByName(near).unionByName(far)
 
 
