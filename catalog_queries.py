@@ -311,12 +311,12 @@ def ingestion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def quarantine_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unreadable and oversize documents; the others pass."""
+    """Unreadable documents, those whose chunking broke (here: every fifth), and oversize ones; the others pass."""
     docs = labelled(spark, sf_dir).withColumn(
         "content", F.when(F.coalesce("toxic", F.lit(0)) == 0, F.col("content"))
     )
     measured = docs.withColumn("largest_chunk", F.coalesce(text.token_count(F.col("content")), F.lit(0))).withColumn(
-        "chunk_error", F.lit(None).cast("string")
+        "chunk_error", F.when(F.col("doc_id") % 5 == 0, "section without end")
     )
     return C.quarantine(measured, limit=400).select("source_path", "phase", "error")
 
@@ -915,6 +915,21 @@ def latency_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.latency_split(log(spark, sf_dir))
 
 
+@query
+def sketched_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles from merged sketches of days, and whether their ranks in the log are within two per cent."""
+    requests_made = log(spark, sf_dir)
+    found = stats.sketched_latency(stats.latency_sketches(requests_made), "endpoint")
+    held = requests_made.join(F.broadcast(found), "endpoint")
+
+    def within(share: float) -> Column:
+        value = F.col(f"total_p{round(share * 100)}")
+        below, upto = (F.avg(test.cast("int")) for test in (F.col("total_ms") < value, F.col("total_ms") <= value))
+        return ((below <= share + 0.02) & (upto >= share - 0.02)).alias(f"p{round(share * 100)}_within")
+
+    return held.groupBy("endpoint", "requests").agg(within(0.5), within(0.95))
+
+
 @query
 def dropped_marker_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.dropped_marker_rate(log(spark, sf_dir))
@@ -1026,6 +1041,22 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(activity.OUTCOME_SCHEMA).parquet(out).select("caller", "event_id", "outcome", "retry_after_s")
 
 
+@query
+def stream_rate_limit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three landings of ten days each; a micro-batch takes the four files of one landing."""
+    landing, out, checkpoint = (run_folder(spark, name) for name in ("caller-events", "caller-outcomes", "caller-checkpoint"))
+    events = caller_events(spark, sf_dir)
+    third = F.least(F.floor((F.dayofmonth("created_at") - 1) / 10), F.lit(2))
+    for part in range(3):
+        events.where(third == part).repartition(4).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(landing)
+        activity.stream_rate_limit_sliced(
+            stream, out, checkpoint, limit=2, window_ms=86_400_000, delay_ms=172_800_000, slice_windows=3
+        ).awaitTermination()
+    found = spark.read.schema(f"{activity.OUTCOME_SCHEMA}, batch_id int").parquet(out)
+    return found.select("caller", "event_id", "outcome", "retry_after_s")
+
+
 @query
 def stream_volume_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing, out = run_folder(spark, "log"), run_folder(spark, "volume")

@@ -249,10 +249,10 @@ SELECT count(*) FILTER (outcome <> 'removed') AS documents_discovered, count(*)
   count(*) FILTER (outcome = 'removed') AS documents_removed, count(*) FILTER (outcome = 'failed') AS documents_failed,
   count(*) FILTER (outcome IN ('added', 'updated')) AS chunks_written FROM outcomes"""
 ORACLE["quarantine_failures"] = with_parts(CORPUS, LABELLED) + f"""
-SELECT source_path, CASE WHEN unreadable THEN 'PARSE' WHEN tokens > 400 THEN 'EMBED' END AS phase,
-  CASE WHEN unreadable THEN 'document has no readable text'
+SELECT source_path, CASE WHEN unreadable THEN 'PARSE' WHEN broken THEN 'CHUNK' WHEN tokens > 400 THEN 'EMBED' END AS phase,
+  CASE WHEN unreadable THEN 'document has no readable text' WHEN broken THEN 'section without end'
        WHEN tokens > 400 THEN concat('input has ', tokens, ' tokens, over the limit of 400') END AS error
-FROM (SELECT source_path, coalesce(toxic, 0) <> 0 AS unreadable, {TOKENS.format("content")} AS tokens FROM labelled)"""
+FROM (SELECT source_path, coalesce(toxic, 0) <> 0 AS unreadable, doc_id % 5 = 0 AS broken, {TOKENS.format("content")} AS tokens FROM labelled)"""
 ORACLE["empty_document_events"] = with_parts(CORPUS, LABELLED) + f"""
 SELECT source_path, 'CHUNK' AS phase, 'WARN' AS level, 'document produced no chunks and was skipped' AS message
 FROM labelled WHERE toxic = 1 OR {TOKENS.format("content")} = 0"""
@@ -657,6 +657,9 @@ ORACLE["latency_split"] = with_parts(LOG) + "SELECT endpoint, " + ", ".join(
     for stage in ("embed", "retrieve", "generate", "total")
     for share in (0.5, 0.95)
 ) + " FROM log GROUP BY endpoint"
+ORACLE["sketched_latency"] = with_parts(LOG) + (
+    "SELECT endpoint, count(total_ms) AS requests, true AS p50_within, true AS p95_within FROM log WHERE total_ms IS NOT NULL GROUP BY endpoint"
+)
 ORACLE["dropped_marker_rate"] = with_parts(LOG) + (
     "SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS requests, sum(dropped)::BIGINT AS dropped_markers FROM log GROUP BY 1"
 )
@@ -707,6 +710,7 @@ ORACLE["rate_limit_audit"] = with_parts(LIMITED) + "SELECT caller, ts_ms, event_
 ORACLE["stream_rate_limit"] = with_parts(LIMITED) + (
     "SELECT caller, event_id, CASE WHEN allowed THEN 'allowed' ELSE 'rejected' END AS outcome, retry_after_s FROM outcomes"
 )
+ORACLE["stream_rate_limit_sliced"] = ORACLE["stream_rate_limit"]
 ORACLE["stream_volume_by_day"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS count FROM events GROUP BY 1"
 ORACLE["stream_ingest"] = with_parts(CORPUS, LABELLED) + f"""
 SELECT source_path, content_hash, 'INDEXED' AS status FROM labelled WHERE coalesce(toxic, 0) = 0 AND {TOKENS.format("content")} > 0

@@ -22,8 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.functions import constants as K
+from passagemill.session import persist_table
 
 NO_WINDOW = -(2**62)
+#: Slice numbers before and after all others: the window that a caller brings along, and the one that it leaves.
+ENTRY, EXIT = -(2**62), 2**62
+WINDOW_FIELDS = "opened bigint, count bigint, last bigint"
 
 
 def runs_of(keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -35,8 +39,8 @@ def runs_of(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 class OpenChains:
     """The windows open at a moment, one per group of possible first openers of a slice."""
 
-    def __init__(self, start_ms: int, window_ms: int) -> None:
-        self.window, self.fresh_until = window_ms, start_ms + window_ms
+    def __init__(self, first_ms: int, window_ms: int) -> None:
+        self.window, self.fresh_until = window_ms, first_ms + window_ms
         self.events, self.last_opener = 0, None
         self.chains: deque[tuple[int, int, list[int]]] = deque()
         self.candidates_open = True
@@ -45,8 +49,8 @@ class OpenChains:
         ended: list[int] = []
         while self.chains and self.chains[0][0] + self.window <= ts:
             ended += self.chains.popleft()[2]
-        # A window carried into the slice ends within one window length of its start, so the
-        # first event after that is the last one that can be a first opener.
+        # A window carried into the slice was opened no later than its first event, also where a batch cuts the slice. It
+        # ends within one window length of that, so the first event after it is the last one that can be a first opener.
         candidate = self.candidates_open and ts != self.last_opener
         if candidate:
             ended.append(ts)
@@ -74,12 +78,49 @@ def rate_limit_audit(
     sliced = events.select("caller", "ts_ms", "event_id").withColumn(
         "slice", F.floor(F.col("ts_ms") / slice_ms).cast("bigint")
     )
-    summaries = slice_summaries(sliced, window_ms, slice_ms)
+    summaries = slice_summaries(sliced, window_ms)
     carried = carried_windows(summaries, window_ms)
     return decided(sliced, carried, limit, window_ms)
 
 
-def slice_summaries(sliced: DataFrame, window_ms: int, slice_ms: int) -> DataFrame:
+def rate_limit_step(
+    events: DataFrame, before: DataFrame, limit: int, window_ms: int, delay_ms: int, slice_windows: int = 240
+) -> tuple[DataFrame, DataFrame]:
+    """One batch of ``(caller, ts_ms, event_id)`` rows after the windows ``before`` (``caller``, ``opened``, ``count``, ``last``).
+
+    Returns the rows with ``outcome`` (``allowed``, ``rejected`` or ``late``) and ``retry_after_s``, and the windows after them.
+    An event is late if it is older than its caller's last decided one, or than the newest event of former batches by more than
+    ``delay_ms``. A window is dropped once all that could meet it would be late. The batch is cut into the slices of
+    ``rate_limit_audit``, so a caller with most of the rows is many tasks; a caller brings one row along.
+    """
+    oldest = before.agg(F.max("last") - delay_ms).scalar()
+    known = before.select("caller", F.col("last").alias("known"))
+    bound = F.greatest(F.coalesce("known", F.lit(NO_WINDOW)), F.coalesce(oldest, F.lit(NO_WINDOW)))
+    seen = events.select("caller", "ts_ms", "event_id").join(known, "caller", "left")
+    seen = persist_table(seen.withColumn("late", F.col("ts_ms") < bound).drop("known"), "limiter-batch")
+    slice_ms = window_ms * slice_windows
+    sliced = seen.where("not late").drop("late").withColumn("slice", F.floor(F.col("ts_ms") / slice_ms).cast("bigint"))
+    brought = before.select(
+        "caller", F.lit(ENTRY).alias("slice"), F.col("count").alias("n"),
+        F.array(F.struct(F.lit(EXIT).alias("first_opener"), "opened", F.col("count").alias("events"))).alias("ends"),
+    )
+    carried = persist_table(carried_windows(slice_summaries(sliced, window_ms).unionByName(brought), window_ms, True), "limiter-windows")
+    judged = decided(sliced, carried.where((F.col("slice") > ENTRY) & (F.col("slice") < EXIT)), limit, window_ms)
+    outcomes = judged.select("caller", "ts_ms", "event_id", F.when(F.col("allowed"), "allowed").otherwise("rejected").alias("outcome"), "retry_after_s")
+    late = seen.where("late").select("caller", "ts_ms", "event_id", F.lit("late").alias("outcome"), F.lit(0).alias("retry_after_s"))
+
+    newest = seen.where("not late").groupBy("caller").agg(F.max("ts_ms").alias("newest"))
+    left = carried.where(F.col("slice") == EXIT).select("caller", "opened", F.least("carried", F.lit(limit)).cast("bigint").alias("count"))
+    # Neither side's last event is older than the other's: what is decided is not older than what was.
+    after = left.join(newest, "caller", "left").join(known, "caller", "left").select(
+        "caller", "opened", "count", F.coalesce("newest", "known").alias("last")
+    )
+    after = persist_table(after, "limiter-after")
+    passed = F.coalesce(after.agg(F.max("last") - delay_ms).scalar(), F.lit(NO_WINDOW))
+    return outcomes.unionByName(late), after.where((F.col("last") >= passed) | (F.col("opened") + window_ms > passed))
+
+
+def slice_summaries(sliced: DataFrame, window_ms: int) -> DataFrame:
     schema = (
         f"caller {sliced.schema['caller'].dataType.simpleString()}, slice bigint, n bigint, "
         "ends array<struct<first_opener: bigint, opened: bigint, events: bigint>>"
@@ -96,7 +137,7 @@ def slice_summaries(sliced: DataFrame, window_ms: int, slice_ms: int) -> DataFra
                 if key != current:
                     if current is not None:
                         done.append((*current, open_chains.events, open_chains.summary()))
-                    current, open_chains = key, OpenChains(key[1] * slice_ms, window_ms)
+                    current, open_chains = key, OpenChains(int(times[start]), window_ms)
                 for ts in times[start:end].tolist():
                     open_chains.add(ts)
             yield pd.DataFrame(done, columns=["caller", "slice", "n", "ends"])
@@ -109,8 +150,8 @@ def slice_summaries(sliced: DataFrame, window_ms: int, slice_ms: int) -> DataFra
     return ordered.mapInPandas(summarise, schema)
 
 
-def carried_windows(summaries: DataFrame, window_ms: int) -> DataFrame:
-    """The window carried into each slice: ``(caller, slice, opened, carried)``."""
+def carried_windows(summaries: DataFrame, window_ms: int, leaving: bool = False) -> DataFrame:
+    """The window carried into each slice: ``(caller, slice, opened, carried)``; if ``leaving``, also into the slice ``EXIT``."""
     schema = f"caller {summaries.schema['caller'].dataType.simpleString()}, slice bigint, opened bigint, carried bigint"
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,6 +160,8 @@ def carried_windows(summaries: DataFrame, window_ms: int) -> DataFrame:
             rows = []
             for row in batch.itertuples(index=False):
                 if row.caller != caller:
+                    if leaving and caller is not None:
+                        rows.append((caller, EXIT, opened, count))
                     caller, opened, count = row.caller, NO_WINDOW, 0
                 rows.append((row.caller, row.slice, opened, count))
                 place = bisect_left([end["first_opener"] for end in row.ends], opened + window_ms)
@@ -127,6 +170,8 @@ def carried_windows(summaries: DataFrame, window_ms: int) -> DataFrame:
                 else:
                     count += row.n
             yield pd.DataFrame(rows, columns=["caller", "slice", "opened", "carried"])
+        if leaving and caller is not None:
+            yield pd.DataFrame([(caller, EXIT, opened, count)], columns=["caller", "slice", "opened", "carried"])
 
     ordered = summaries.repartition("caller").sortWithinPartitions("caller", "slice")
     return ordered.mapInPandas(chain, schema)

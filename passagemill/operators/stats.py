@@ -107,6 +107,27 @@ def latency_split(log: DataFrame) -> DataFrame:
     return log.groupBy("endpoint").agg(*measures)
 
 
+def latency_sketches(log: DataFrame, k: int = 400) -> DataFrame:
+    """A KLL sketch of the total time per UTC day and endpoint: a few kilobytes a row, whatever the traffic.
+
+    The rank of a quantile is off by about ``2.3 / k ** 0.9`` of all rows at most; that holds for merged sketches too.
+    """
+    day = F.date_format("created_at", "yyyy-MM-dd").alias("day")
+    return log.groupBy(day, "endpoint").agg(
+        F.count("total_ms").alias("requests"), F.kll_sketch_agg_double(F.col("total_ms").cast("double"), k).alias("sketch")
+    )
+
+
+def sketched_latency(sketches: DataFrame, *by: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """Percentiles over any days and endpoints of ``latency_sketches``, without another look at the log."""
+    merged = sketches.where("requests > 0").groupBy(*by).agg(
+        F.sum("requests").cast("bigint").alias("requests"), F.kll_merge_agg_double("sketch").alias("sketch")
+    )
+    return merged.select(
+        *by, "requests", *(F.kll_sketch_get_quantile_double("sketch", F.lit(share)).alias(f"total_p{round(share * 100)}") for share in shares)
+    )
+
+
 def dropped_marker_rate(log: DataFrame) -> DataFrame:
     """Markers without a source per day: a rising count shows a regression."""
     dropped = F.coalesce(F.size("dropped_markers"), F.lit(0))

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from passagemill.functions import constants as K
-from passagemill.operators.limiter import NO_WINDOW, decide
+from passagemill.operators.limiter import NO_WINDOW, WINDOW_FIELDS, decide, rate_limit_step
 
 
 def daily_volume(log: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -86,3 +86,28 @@ def stream_rate_limit(
     return watched.groupBy("caller").applyInPandasWithState(
         judge, OUTCOME_SCHEMA, WINDOW_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def stream_rate_limit_sliced(
+    events: DataFrame, target: str, checkpoint: str, limit: int = K.RATE_LIMIT, window_ms: int = K.RATE_WINDOW_MS,
+    delay_ms: int = 3_600_000, slice_windows: int = 240,
+) -> StreamingQuery:
+    """``stream_rate_limit`` for callers of any size: writes the outcomes of each batch to ``target/batch_id=n``.
+
+    Each micro-batch is decided in slices of the time line, so a busy caller is many tasks (``rate_limit_step``). The open
+    windows lie beside the checkpoint, one table a batch, which the next batch reads; a batch that is repeated after a failure
+    starts from the same table and replaces its own output. Bound the micro-batches at the source.
+    """
+    windows = f"caller {events.schema['caller'].dataType.simpleString()}, {WINDOW_FIELDS}"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        if batch_id:
+            before = session.read.schema(windows).parquet(f"{checkpoint}/windows/batch_id={batch_id - 1}")
+        else:
+            before = session.createDataFrame([], windows)
+        outcomes, after = rate_limit_step(batch, before, limit, window_ms, delay_ms, slice_windows)
+        outcomes.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        after.write.mode("overwrite").parquet(f"{checkpoint}/windows/batch_id={batch_id}")
+
+    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()
