@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
+import time
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from passagemill.functions import constants as K
 from passagemill.functions import markdown, stem, text
@@ -33,7 +35,7 @@ from passagemill.plans.ingest import Options, open_index, prepared_documents, ru
 from passagemill.session import persist_table, scratch_dir, ship_package
 from passagemill.sources import corpus as S
 from passagemill.sources import eval_suite, query_log
-from passagemill.sources.index_store import IndexStore
+from passagemill.sources.index_store import IndexStore, Manifest
 from passagemill.streaming import activity, feed
 
 DIMENSIONS = 64
@@ -1116,6 +1118,46 @@ def stream_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.documents(manifest).select("source_path").join(chunked, "source_path")
 
 
+def wait_for_version(running: StreamingQuery, store: IndexStore, version: int, seconds: int = 900) -> Manifest:
+    """The first manifest of ``version`` or later."""
+    deadline = time.time() + seconds
+    while time.time() < deadline:
+        if running.exception() is not None:
+            raise running.exception()
+        manifest = store.manifest()
+        if manifest.version >= version:
+            return manifest
+        time.sleep(0.5)
+    raise TimeoutError(f"no version {version} within {seconds} s")
+
+
+@query
+def scheduled_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder under scheduled passes, from which the files of unlabelled documents are deleted and some come back."""
+    root, store = run_folder(spark, "watched"), IndexStore(spark, run_folder(spark, "watched-index"))
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "lang", "text").join(S.table(spark, sf_dir, "labels"), "doc_id", "left")
+    unlabelled = F.col("quality").isNull()
+
+    def files(rows: DataFrame, folder: str) -> None:
+        rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).write.mode("overwrite").partitionBy("doc_id").text(f"{root}/{folder}")
+
+    files(docs.where(~unlabelled), "kept")
+    files(docs.where(unlabelled), "gone")
+    running = feed.scheduled_ingest(spark, store, root, run_folder(spark, "watched-checkpoint"), "1 second", extensions=("txt",))
+    try:
+        wait_for_version(running, store, 1)
+        files(docs.where("false"), "gone")
+        files(docs.where(unlabelled & (F.col("lang") == "fr")), "back")
+        # The pass that publishes the next version may have begun before; the one after it sees the folder as it is now.
+        manifest = wait_for_version(running, store, store.manifest().version + 2)
+    finally:
+        running.stop()
+    chunked = store.chunks(manifest).select("source_path").distinct()
+    doc_id = F.regexp_extract("source_path", r"doc_id=(\d+)/", 1).cast("bigint").alias("doc_id")
+    found = store.documents(manifest).join(chunked, "source_path")
+    return found.select(doc_id, F.split_part("source_path", F.lit("/"), F.lit(1)).alias("folder"), "content_hash", "status")
+
+
 @query
 def compacted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live chunks after merging the layers of two runs."""

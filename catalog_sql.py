@@ -716,6 +716,10 @@ ORACLE["stream_ingest"] = with_parts(CORPUS, LABELLED) + f"""
 SELECT source_path, content_hash, 'INDEXED' AS status FROM labelled WHERE coalesce(toxic, 0) = 0 AND {TOKENS.format("content")} > 0
 UNION ALL SELECT concat('pages/', page_id, '.md'), sha256(url || ' late'), 'INDEXED' FROM pages"""
 ORACLE["scheduled_ingest"] = f"SELECT *, 1 AS runs FROM ({ORACLE['stream_ingest']})"
+ORACLE["scheduled_folder"] = f"""
+SELECT doc_id, CASE WHEN quality IS NULL THEN 'back' ELSE 'kept' END AS folder, sha256(text || chr(10)) AS content_hash, 'INDEXED' AS status
+FROM documents LEFT JOIN labels USING (doc_id)
+WHERE (quality IS NOT NULL OR lang = 'fr') AND {TOKENS.format("text")} > 0"""
 ORACLE["stream_removals"] = with_parts(CORPUS, LABELLED) + (
     f"SELECT source_path FROM labelled WHERE quality IS NOT NULL AND {TOKENS.format('content')} > 0"
 )

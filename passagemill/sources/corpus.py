@@ -24,9 +24,10 @@ def scan_corpus(spark: SparkSession, root: str, extensions: tuple[str, ...] = K.
     """Files under ``root`` as ``(source_path, content, content_hash)``; paths are relative to it.
 
     Bytes that are no UTF-8 become replacement characters; the hash is over the raw bytes. Spark's file listing itself
-    leaves out names that start with ``.`` or ``_``.
+    leaves out names that start with ``.`` or ``_``. A file that is deleted between listing and reading is left out, too.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+    files = reader.load(root)
     base = root.rstrip("/")
     # Listed paths are URIs; what follows the root folder is the relative path.
     relative = F.expr("substring(path, instr(path, base) + length(base) + 1)")
