@@ -107,3 +107,39 @@ def test_blocks_that_cannot_matter_stay_closed(spark):
     assert 0.06 < need.need < 0.09
     found = postings.stored_topk(questions, blocks, pruned_from=0).collect()
     assert {r.chunk_id for r in found} <= {f"c{i}" for i in range(30)} and len(found) == 20
+
+
+def test_blocks_of_pieces_hold_every_posting_once(spark):
+    """Chunks of one document in several partitions, pieces smaller than a document, chunks without a document."""
+    rows = [(f"c{i:03d}", None if i % 9 == 0 else f"d{i % 13}", None, [("everywhere", 1, 0.06), (f"w{i % 5}", 1, 0.06 + i / 1e4)]) for i in range(90)]
+    terms = spark.createDataFrame(rows, f"chunk_id string, document_id string, doc_type string, terms {keyword.TERMS_TYPE}").repartition(7)
+    blocks = postings.posting_blocks(terms, 4, piece=10).collect()
+    found = sorted((b.lexeme, e.chunk_id, e.document_id or "", e.weight) for b in blocks for e in b.entries)
+    assert found == sorted((t[0], c, d or "", t[2]) for c, d, _, held in rows for t in held)
+    counts: dict[str, int] = {}
+    for b in blocks:
+        counts[b.lexeme] = counts.get(b.lexeme, 0) + b.documents
+    known = {d for _, d, _, _ in rows if d}
+    assert counts["everywhere"] == len(known) + 10
+
+
+def test_postings_are_not_moved(spark):
+    """Whole chunks are shuffled, and blocks meet any number of lexemes where they lie."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    blocks = spark.createDataFrame([("w1", 1, 1, 0.06, [("c", "d", None, 0.06)], "r")], postings.BLOCK_SCHEMA + ", layer string")
+    many = postings.having(blocks, "lexeme", [f"w{i}" for i in range(postings.PUSHED_VALUES + 1)])
+    assert "BroadcastHashJoin" in plan(many) and "SortMergeJoin" not in plan(many) and many.count() == 1
+    terms = spark.createDataFrame([("c", "d", None, [("w1", 1, 0.06)])], f"chunk_id string, document_id string, doc_type string, terms {keyword.TERMS_TYPE}")
+    assert "Generate" not in plan(postings.posting_blocks(terms))
+
+
+def test_frequencies_count_documents_once(spark):
+    rows = [("a", "d1", ["x", "y"]), ("b", "d1", ["x"]), ("c", "d2", ["x"]), ("d", None, ["x", "z"]), ("e", None, ["x"]), ("f", "d3", [])]
+    terms = spark.createDataFrame(
+        [(c, d, [(w, 1, 0.06) for w in words]) for c, d, words in rows], f"chunk_id string, document_id string, terms {keyword.TERMS_TYPE}"
+    )
+    frequencies = keyword.lexeme_frequencies(terms)
+    assert {r.lexeme: r.documents for r in frequencies.collect()} == {"x": 3, "y": 1, "z": 1}
+    # No aggregate is keyed by document and lexeme.
+    plan = frequencies._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [document_id" in line and "lexeme" in line.split("]")[0]]
