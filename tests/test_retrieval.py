@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagemill.functions import text
 from passagemill.operators import duplicates, embed, evaluate, fusion, keyword, vector
@@ -301,3 +302,44 @@ def test_a_log_with_times_can_be_read_by_the_statistics(spark, tmp_path):
     assert split.retrieve_p50 == 4 and split.generate_p50 is None
     unmeasured = query_log.search_log(asked.drop("user_id"), passages, now, 6).first()
     assert unmeasured.total_ms is None and unmeasured.user_id is None
+
+
+def grid_tables(spark):
+    rng = np.random.default_rng(23)
+    vectors = rng.normal(size=(400, 8))
+    vectors[100:200] = vectors[7]  # more copies than hits, so ids decide
+    chunks = spark.createDataFrame(
+        [(None if n == 399 else n, v.tolist()) for n, v in enumerate(vectors)], "chunk_id bigint, embedding array<double>"
+    )
+    asked = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(vectors[:60])], "query_id bigint, embedding array<double>")
+    return vectors, chunks, asked
+
+
+def test_grid_copies_no_chunk_for_a_block_of_questions(spark):
+    vectors, chunks, asked = grid_tables(spark)
+    want = {}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for n in range(60):
+        scores = np.round(unit @ unit[n], 9)
+        order = sorted(range(400), key=lambda m: (-scores[m], -1 if m == 399 else m))[:20]
+        want[n] = [None if m == 399 else m for m in order]
+    for row_values, copies in ((vector.ROW_VALUES, 1), (20 * 8, 3)):
+        hits = vector.vector_topk(asked, chunks, 8, broadcast_values=0, block_values=8, row_values=row_values).collect()
+        got = {}
+        for row in sorted(hits, key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(row.query_id, []).append(row.chunk_id)
+        assert got == want
+        questions, offered = vector.prepared_questions(asked), vector.prepared_chunks(chunks, "chunk_id")
+        result = T.StructType([questions.schema["query_id"], offered.schema["chunk_id"]])
+        dealt = vector.grid_rows(questions, offered, result, row_values // 8)
+        assert dealt.where("kind = 1").count() == 400 * copies
+
+
+def test_vectors_without_a_direction_hide_no_others(spark):
+    chunks = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [float("inf"), 1.0]), (3, [float("nan"), 1.0]), (4, [0.5, 0.5])], "chunk_id int, embedding array<double>"
+    ).coalesce(1)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("inf"), 0.0])], "query_id int, embedding array<double>")
+    for options in ({}, {"broadcast_values": 0}):
+        hits = vector.vector_topk(asked, chunks, 2, **options).collect()
+        assert [(r.query_id, r.chunk_id, r["rank"]) for r in sorted(hits, key=lambda r: r["rank"])] == [(1, 1, 1), (1, 4, 2)]
