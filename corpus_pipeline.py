@@ -34,6 +34,12 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return near_copies.first_of_each(docs)
 
 
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup, together with the links of near copies: of each group, the document with the smallest id stays."""
+    queries.prepare(spark)
+    return near_copies.first_of_each(docs, fingerprints=True)
+
+
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of twenty or more words go; a document that loses all its words goes with them."""
     queries.prepare(spark)
@@ -49,7 +55,7 @@ def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("language_id", identify_languages),
     ("line_dedup", remove_repeated_lines),
-    ("near_copies", remove_near_copies),
+    ("near_copies", remove_near_duplicates),
     ("substring_dedup", remove_repeated_passages),
     ("packing", pack_batches),
 ]

@@ -238,7 +238,7 @@ def set_components(
     docs: DataFrame, id_col: str, text_col: str, hashes: Callable[[str | None], np.ndarray], keys: Callable[[np.ndarray], np.ndarray],
     bound: Bound, empty_alike: bool = False,
 ) -> DataFrame:
-    """``_id``, ``_mark``, ``n`` and ``component_id`` (the smallest id reachable over links) of each row.
+    """``_id``, ``_mark``, ``n``, ``component_id`` (the smallest id reachable over links) and ``root`` (the component's name) of each row.
 
     Rows of equal sets are one node; a set without keys is linked with nothing but rows of the same set, and empty sets only
     with each other, if ``empty_alike``. Null ids count only where a component has no other id, its ``component_id`` is then
@@ -258,6 +258,6 @@ def set_components(
 
     roots = linked_sets(nodes.select("set", "keys"), fetch, bound)
     classes = rooted(nodes.select("set", "least"), roots)
-    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set", "component_id")
-    found = filled.select("_id", "_mark", "n", "set").join(named, "set").select("_id", "_mark", "n", "component_id")
-    return found if empty_alike else found.unionByName(rows.where("n = 0").select("_id", "_mark", "n", F.col("_id").alias("component_id")))
+    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set", "component_id", "root")
+    found = filled.select("_id", "_mark", "n", "set").join(named, "set").select("_id", "_mark", "n", "component_id", "root")
+    return found if empty_alike else found.unionByName(rows.where("n = 0").select("_id", "_mark", "n", F.col("_id").alias("component_id"), F.col("set").alias("root")))

@@ -174,7 +174,8 @@ def linked_fingerprints(distinct: DataFrame, limit: int = CLASS) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, limit: int = CLASS) -> DataFrame:
-    """``_id``, ``_mark``, ``fp`` and ``component_id`` (the smallest id reachable over links of two bits) of each row.
+    """``_id``, ``_mark``, ``fp``, ``component_id`` (the smallest id reachable over links of two bits) and ``root`` (a name of the
+    component that no other has) of each row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; a text of fewer than ``size`` words has one shingle,
     one without words (or null) the fingerprint zero, linked like any other. Repeated rows share a fingerprint and a
@@ -185,8 +186,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     distinct = persist_table(rows.groupBy("fp").agg(F.min("_id").alias("least")), "distinct")
     roots = components(linked_fingerprints(distinct.select("fp"), limit))
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("_id", "_mark", "fp", "component_id")
+    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("_id", "_mark", "fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from passagemill.llm import circulant, near_copies, set_links
+from passagemill.llm import circulant, near_copies, set_links, simhash
 
 
 def shingles(text):
@@ -148,3 +148,22 @@ def test_bounds_of_sizes(spark):
     rows = spark.range(1, 400).select("id", bound.least_size(F.col("id")).alias("least"), bound.least_shared(F.col("id")).alias("shared")).collect()
     for r in rows:
         assert r.least == -(-85 * r.id // 100) and r.shared == -(-85 * r.id // 185)
+
+
+def test_fingerprints_link_what_shingles_do_not(spark, documents):
+    """Two short texts with one fingerprint up to two bits and a lower similarity; a near copy of the second hangs on both."""
+    pick, words, pair = random.Random(5), [f"w{i}" for i in range(400)], None
+    while pair is None:
+        one = pick.choices(words, k=60)
+        for at in range(60):
+            two = [*one[:at], pick.choice(words), *one[at + 1 :]]
+            two[(at + 20) % 60] = pick.choice(words)
+            prints = [simhash.simhash(simhash.shingle_hashes(" ".join(text).encode(), 3)) for text in (one, two)]
+            if (prints[0] ^ prints[1]).bit_count() <= 2 and not linked(shingles(" ".join(one)), shingles(" ".join(two))):
+                pair = one, two
+                break
+    three = [*pair[1], "tail"]
+    rows = [(4, " ".join(pair[0])), (7, " ".join(pair[1])), (9, " ".join(three)), (12, " ".join(pick.choices(words, k=60)))]
+    docs = documents(rows)
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, "").collect()} == {4, 12}
+    assert {(r._id, r.component_id) for r in near_copies.near_copy_components(docs).collect()} == {(4, 4), (7, 7), (9, 7), (12, 12)}
