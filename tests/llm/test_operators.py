@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -365,3 +366,19 @@ def test_empty_tables(documents, spark):
 def test_fresh_names(spark):
     df = spark.createDataFrame([(1, 2)], "a int, A_ int")
     assert tables.fresh(df, "a") == "a__" and tables.fresh(df, "b") == "b"
+
+
+def test_quality_thresholds_come_from_all_labels(spark):
+    """Bad rows beside a rate that good rows have: a share of the labels would place the cut elsewhere."""
+    draw = np.random.default_rng(4)
+    counts = [(int(n), int(n * (4 + draw.random() + (9 if i % 9 == 0 else 0))), int(draw.integers(0, 4)), 0, 0) for i, n in enumerate(draw.integers(60, 400, 3000))]
+    table = spark.createDataFrame([(i, 0, *row) for i, row in enumerate(counts)], "_id bigint, _mark int, " + ", ".join(f"{name} bigint" for name in quality.STATISTICS)).repartition(5)
+    good = np.array([i % 9 != 0 and i % 50 != 7 for i in range(3000)])
+    labels = spark.createDataFrame([(i, int(label)) for i, label in enumerate(good)], "doc_id bigint, quality int")
+    forests, cut = quality.fit_forests(table, labels, keep=0.9, most=100), 0
+    for kind, points in quality.features(np.array(counts, dtype=np.int64)).items():
+        whole = quality.Forest(forests[kind].trees, forests[kind].unit)
+        whole.calibrate(whole.scores(points), good, 0.9)
+        assert forests[kind].threshold == pytest.approx(whole.threshold, abs=1e-12)
+        cut += whole.threshold < 1
+    assert cut
