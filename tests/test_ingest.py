@@ -12,7 +12,7 @@ from passagemill.functions.markdown import ChunkLimits
 from passagemill.operators import embed, limiter
 from passagemill.plans import retrieval
 from passagemill.plans.ingest import Options, open_index, run_ingest
-from passagemill.sources.corpus import scan_corpus, with_hash
+from passagemill.sources.corpus import scan_corpus, with_hash, write_files
 from passagemill.sources.index_store import IndexStore
 from passagemill.streaming import activity, feed
 
@@ -275,3 +275,16 @@ def test_an_index_is_opened_with_what_it_was_made_with(spark, tmp_path):
             open_index(store, other)
     with pytest.raises(ValueError, match="was made with"):
         run_ingest(store, corpus(spark, {"a.md": "beta"}), "r2", options=Options(dimensions=16))
+
+
+def test_files_are_written_by_the_tasks(spark, tmp_path):
+    rows = [(n, f"s{n % 3}" if n % 10 else None, None if n == 4 else f"text {n}\nmore é") for n in range(40)]
+    docs = spark.createDataFrame([*rows, (7, "s1", "again")], "doc_id bigint, source string, text string")
+    for most in (40, 8):  # the second time fewer rows: the old files are gone
+        write_files(docs.where(F.col("doc_id") < most), str(tmp_path / "files"), "text", "source", "doc_id")
+        found = {r.source_path: r.content for r in scan_corpus(spark, str(tmp_path / "files"), ("txt",)).collect()}
+        twice = found.pop("source=s1/doc_id=7/part.txt")
+        assert twice in ("text 7\nmore é\nagain\n", "again\ntext 7\nmore é\n")
+        assert found == {
+            f"source={source or '__HIVE_DEFAULT_PARTITION__'}/doc_id={n}/part.txt": (text or "") + "\n" for n, source, text in rows[:most] if n != 7
+        }
