@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.tables import apart
+from passagemill.llm.tables import apart, forget
 from passagemill.session import persist_table
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) of every node in ``edges`` (``a``, ``b``: any orderable type).
 
-    Every round writes its edges to the scratch folder, which cuts the lineage. Only two numbers a round reach the driver.
+    Every round writes its edges to the scratch folder, which cuts the lineage, and deletes those of the round before. Only two numbers a round reach the driver.
     """
     star = persist_table(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
                 F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct("u", F.col("m").alias("v"))
             )).alias("e")
         )
-        star = persist_table(small.select("e.*").where("u <> v").distinct(), "edges")
+        before, star = star, persist_table(small.select("e.*").where("u <> v").distinct(), "edges")
+        forget(before)
         now = star.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             return star.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

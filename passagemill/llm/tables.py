@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.session import scratch_dir
+from passagemill.session import forget  # noqa: F401
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -38,19 +38,6 @@ def hashed_share(key: Column, rows: int, wanted: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(max(1, rows // wanted))) == 0
 
 
-def forget(*tables: DataFrame) -> None:
-    """Deletes written tables (see ``persist_table``) that nothing reads any more; the rest of the run has the space."""
-    for table in tables:
-        files = table.inputFiles()
-        if not files:
-            continue
-        spark, folder = table.sparkSession, files[0].rsplit("/", 1)[0]
-        if scratch_dir(spark).rstrip("/").rsplit("/", 1)[-1] != folder.rsplit("/", 2)[-2]:
-            raise ValueError(f"{folder} is not in the scratch folder")
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def apart(table: DataFrame, *key: str) -> DataFrame:
     """Deals an aggregate out anew, so that both sides of the join on ``key`` are dealt for it and a hot key can be split."""
     return table.repartition(F.xxhash64(*key))
