@@ -127,6 +127,25 @@ def test_keyword_arm_ranks_by_covered_terms(spark):
         assert hits[1].raw_score == pytest.approx(0.1 * (1 + 1 / 4 + 1 / 9) / 1.64493406685 / 3, abs=1e-9)
 
 
+def test_keyword_grid_moves_only_the_best(spark):
+    """Many rows of the grid give the rows of the scan, and no row for each question and chunk is moved."""
+    picker = random.Random(8)
+    vocabulary = [f"word{n:02d}" for n in range(30)]
+    words = lambda most: " ".join(picker.choices(vocabulary, k=picker.randint(1, most)))
+    terms = make_index(spark, {f"{n}.md": words(30) for n in range(400)}).terms
+    asked = spark.createDataFrame([(n, words(6)) for n in range(12)] + [(None, "word01")], "query_id int, question string")
+    wanted = keyword.question_lexemes(asked)
+    found = keyword.grid_scores(wanted, terms, 2, row_lexemes=10)
+    cells = 13 * (1 + keyword.GRID_TASKS * spark.sparkContext.defaultParallelism)
+    assert found.count() <= 2 * cells * 2 < wanted.count() * 400
+    best = {tuple(r) for r in keyword.ranked(found, 2).collect()}
+    assert best == {tuple(r) for r in keyword.keyword_topk(asked, terms, 2).collect()}
+    twice = keyword.keyword_topk(asked, terms.unionAll(terms), 2, broadcast_rows=0)
+    assert {(r.query_id, r.chunk_id): pytest.approx(2 * r.raw_score) for r in found.collect()}.items() >= {
+        (r.query_id, r.chunk_id): r.raw_score for r in twice.collect()
+    }.items()
+
+
 def test_term_counts_are_by_document_and_stem(spark):
     from passagemill.functions import stem
 
