@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import constants as K
 from passagemill.functions import text
-from passagemill.session import persist_table
+from passagemill.session import forget, persist_table
 
 SKETCH_LONGS = 16
-#: Postings of leaders that are sent to every task: at most 60 MB.
+#: Postings of leaders that are sent to every task at once (at most 60 MB), and how often that is done before they are shuffled.
 BROADCAST_POSTINGS = 200_000
+BROADCASTS = 16
+#: Postings of a slice of the words, which is what a shuffled join moves at once; each has a sketch (about 170 bytes).
+SLICE_POSTINGS = 10_000_000
 SKETCHES = [f"sketch_{number}" for number in range(SKETCH_LONGS)]
 
 
@@ -58,11 +61,16 @@ def shared_words(sets: DataFrame, overlap: float) -> DataFrame:
     )
 
 
-def candidates(small: DataFrame, large: DataFrame, sent: str = "") -> DataFrame:
+def in_slice(postings: DataFrame, part: int, parts: int) -> DataFrame:
+    """The postings of one of ``parts`` slices of the words."""
+    return postings if parts == 1 else postings.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == part)
+
+
+def candidates(small: DataFrame, large: DataFrame, sent: str = "", part: int = 0, parts: int = 1) -> DataFrame:
     """``(document_id, leader)`` of sets that meet in a word that may be their first common one, and pass the bounds.
 
     Both tables have the columns of ``shared_words`` and two flags: ``leads`` (may be a leader) and ``open`` (seeks one); the
-    one named by ``sent`` goes to every task. The larger set of a pair must hold ``need`` words from the common one on. Each bit that only the smaller one has is a word that the larger
+    one named by ``sent`` goes to every task. Sets meet in the words of slice ``part`` of ``parts``. The larger set of a pair must hold ``need`` words from the common one on. Each bit that only the smaller one has is a word that the larger
     one lacks; more than ``spare`` of them rule the pair out. All are conditions of the join, so only what they leave becomes a row.
     """
     opening = F.slice("words", F.lit(1), F.greatest(F.col("spare") + 1, F.lit(0)))
@@ -74,6 +82,7 @@ def candidates(small: DataFrame, large: DataFrame, sent: str = "") -> DataFrame:
         F.col("leads").alias("larger_leads"), F.col("open").alias("larger_open"),
         *[F.col(name).alias(f"larger_{name}") for name in SKETCHES], F.posexplode("words").alias("place", "word"),
     )
+    left, right = (in_slice(side, part, parts) for side in (left, right))
     left, right = (F.broadcast(side) if sent == name else side for name, side in (("small", left), ("large", right)))
     lacking = reduce(
         lambda total, count: total + count,
@@ -90,14 +99,28 @@ def candidates(small: DataFrame, large: DataFrame, sent: str = "") -> DataFrame:
 
 
 def round_candidates(flagged: DataFrame, last: bool) -> DataFrame:
-    """The pairs of a round. While the leaders are few, they go to the tasks and the postings of all others stay in place."""
+    """The pairs of a round, written slice by slice of the words, so that the disk holds the postings of one slice at a time.
+
+    While the leaders are few, their slices go to the tasks and the postings of all others stay in place.
+    """
     leaders, open_sets = flagged.where("leads"), flagged.where("open")
+    postings = F.sum(F.size("words"))
     if not last:
-        postings = leaders.agg(F.sum(F.size("words"))).first()[0] or 0
-        if postings <= BROADCAST_POSTINGS:
-            return candidates(leaders, open_sets, "small").unionByName(candidates(open_sets, leaders, "large"))
+        slices = -(-(leaders.agg(postings).first()[0] or 0) // max(BROADCAST_POSTINGS, 1))
+        if BROADCAST_POSTINGS and slices <= BROADCASTS:
+            return written_pairs([
+                candidates(leaders, open_sets, "small", part, slices).unionByName(candidates(open_sets, leaders, "large", part, slices))
+                for part in range(slices)
+            ], flagged)
     either = flagged.where(F.col("leads") | F.col("open"))
-    return candidates(either, either)
+    slices = max(1, -(-(either.agg(postings).first()[0] or 0) // SLICE_POSTINGS))
+    return written_pairs([candidates(either, either, part=part, parts=slices) for part in range(slices)], flagged)
+
+
+def written_pairs(slices: list[DataFrame], flagged: DataFrame) -> DataFrame:
+    name = F.col("document_id")
+    none = flagged.select(name, name.alias("leader")).limit(0)
+    return reduce(DataFrame.unionByName, [persist_table(pairs.distinct(), "pairs") for pairs in slices or [none]])
 
 
 def partners_below(pairs: DataFrame, sets: DataFrame, overlap: float) -> DataFrame:
@@ -124,33 +147,47 @@ def corpus_near_duplicates(
     distinct = sets.groupBy("signature").agg(F.min(F.struct("document_id", "words")).alias("first")).select(
         "first.document_id", "first.words"
     )
-    entries = persist_table(shared_words(distinct, overlap), "distinct-sets")
+    # The search moves ids often: they become numbers in their order.
+    distinct = persist_table(distinct.where(F.col("document_id").isNotNull()), "distinct-words")
+    numbers = persist_table(numbered(distinct.select("document_id").distinct()), "numbers")
+    entries = distinct.join(numbers, "document_id").select(F.col("number").alias("document_id"), "words")
+    entries = persist_table(shared_words(entries, overlap), "distinct-sets")
     rounds = max(1, math.ceil(math.log(max(entries.count(), 2), growth)))
     found: DataFrame | None = None
+    place = order_share(F.col("name"))
     lower = 0.0
     for step in range(rounds, 0, -1):
         upper = growth ** (1.0 - step)
-        place = order_share(F.col("document_id"))
-        flagged = entries.withColumn("leads", (place >= lower) & (place < upper))
+        shares = numbers.select(F.col("number").alias("document_id"), F.col("document_id").alias("name"))
+        leaders = shares.where((place >= lower) & (place < upper)).agg(F.min("document_id"), F.max("document_id")).first()
+        least, most = (0, -1) if leaders[0] is None else leaders
+        flagged = entries.withColumn("leads", F.col("document_id").between(least, most))
         if found is None:
             flagged = flagged.withColumn("open", F.lit(True))
         else:
             done = found.select("document_id", F.lit(True).alias("done"))
             flagged = flagged.join(done, "document_id", "left").withColumn("open", F.col("done").isNull()).drop("done")
+            flagged = persist_table(flagged, "flagged")
         pairs = round_candidates(flagged, last=step == 1)
         partners = partners_below(pairs, entries, overlap)
         found = persist_table(partners if found is None else found.unionByName(partners), "partners")
+        forget(pairs, *([] if step == rounds else [flagged]))
         lower = upper
     firsts = sets.groupBy("signature").agg(F.min("document_id").alias("first"))
-    earlier = firsts.join(found.withColumnRenamed("document_id", "first"), "first", "left")
-    own_first = F.when(
-        (F.col("first") != F.col("document_id")) & (F.size("words") > 0), F.col("first")
-    )
-    return sets.join(earlier, "signature").select(
+    of, by = (numbers.select(F.col("document_id").alias(name), F.col("number").alias(key)) for name, key in (("first", "document_id"), ("repeat_of", "leader")))
+    named = found.withColumnRenamed("repeat_of", "leader").join(of, "document_id").join(by, "leader").select("first", "repeat_of")
+    earlier = firsts.join(named, "first", "left")
+    own_first = F.when((F.col("first") != F.col("document_id")) & (F.col("n") > 0), F.col("first"))
+    return sets.select("document_id", "signature", F.size("words").alias("n")).join(earlier, "signature").select(
         "document_id", F.coalesce("repeat_of", own_first).alias("repeat_of")
     )
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """``document_id`` and ``number``, a long, in the order of the ids."""
+    return ids.orderBy("document_id").withColumn("number", F.monotonically_increasing_id())
+
+
 def duplicate_summary(repeats: DataFrame) -> DataFrame:
     """Documents that others repeat, with the number of their direct repeats."""
     return repeats.where(F.col("repeat_of").isNotNull()).groupBy(F.col("repeat_of").alias("document_id")).agg(

@@ -222,6 +222,26 @@ def test_corpus_near_duplicates_match_brute_force(spark, monkeypatch, sent):
     assert got == want
 
 
+@pytest.mark.parametrize("sent", [0, 40])
+def test_duplicates_found_in_slices_of_the_words(spark, monkeypatch, sent):
+    """The pairs of a round are written slice by slice, so no join moves the postings of all words."""
+    monkeypatch.setattr(duplicates, "BROADCAST_POSTINGS", sent)
+    monkeypatch.setattr(duplicates, "SLICE_POSTINGS", 150)
+    calls = []
+    real = duplicates.candidates
+    monkeypatch.setattr(duplicates, "candidates", lambda *a, **b: calls.append(b) or real(*a, **b))
+    picker = random.Random(5)
+    vocabulary = [f"word{n:03d}" for n in range(50)]
+    texts = [picker.sample(vocabulary, picker.randint(2, 15)) for _ in range(60)]
+    df = spark.createDataFrame([(f"{n * 68:04x}", " ".join(words)) for n, words in enumerate(texts)], "document_id string, content string")
+    want = {}
+    for n, words in enumerate(map(set, texts)):
+        earlier = [m for m in range(n) if len(words & set(texts[m])) >= 0.8 * min(len(words), len(texts[m]))]
+        want[f"{n * 68:04x}"] = f"{earlier[0] * 68:04x}" if earlier else None
+    assert {r.document_id: r.repeat_of for r in duplicates.corpus_near_duplicates(df, growth=16).collect()} == want
+    assert len(calls) > 4
+
+
 def test_bounds_leave_few_candidates(spark):
     """Sets that share many words but no near copy: the bounds of the join leave next to none of the pairs that meet."""
     picker = random.Random(7)
