@@ -22,6 +22,8 @@ BROADCAST_POSTINGS = 200_000
 BROADCASTS = 16
 #: Postings of a slice of the words, which is what a shuffled join moves at once; each has a sketch (about 170 bytes).
 SLICE_POSTINGS = 10_000_000
+#: Words of the leaders that are sent to every task at once to compare pairs: 32 MB.
+SENT_WORDS = 4_000_000
 SKETCHES = [f"sketch_{number}" for number in range(SKETCH_LONGS)]
 
 
@@ -123,15 +125,28 @@ def written_pairs(slices: list[DataFrame], flagged: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [persist_table(pairs.distinct(), "pairs") for pairs in slices or [none]])
 
 
-def partners_below(pairs: DataFrame, sets: DataFrame, overlap: float) -> DataFrame:
-    """The lowest overlapping leader of each document that has one."""
+def partners_below(pairs: DataFrame, sets: DataFrame, leaders: DataFrame, overlap: float) -> DataFrame:
+    """The lowest overlapping leader of each document that has one.
+
+    A slice of the ``leaders`` at a time, the lowest first, goes to every task, and a document's words move once for a slice and not
+    for a pair. A document leaves with its first partner.
+    """
     left = sets.select("document_id", "n", "words")
-    right = sets.select(F.col("document_id").alias("leader"), F.col("n").alias("leader_n"), F.col("words").alias("leader_words"))
-    common = F.size(F.array_intersect("words", "leader_words"))
-    similar = common / F.least("n", "leader_n") >= overlap
-    return pairs.distinct().join(left, "document_id").join(right, "leader").where(similar).groupBy("document_id").agg(
-        F.min("leader").alias("repeat_of")
-    )
+    right = leaders.select(F.col("document_id").alias("leader"), F.col("n").alias("leader_n"), F.col("words").alias("leader_words"))
+    slices = max(1, -(-(leaders.agg(F.sum(F.size("words"))).first()[0] or 0) // SENT_WORDS))
+    edges = leaders.approxQuantile("document_id", [part / slices for part in range(1, slices)], 0.1 / slices) if slices > 1 else []
+    similar = F.size(F.array_intersect("words", "leader_words")) / F.least("n", "leader_n") >= overlap
+    found: list[DataFrame] = []
+    for low, high in zip([None, *edges], [*edges, None]):
+        inside = F.lit(True) if low is None else F.col("leader") > int(low)
+        inside &= F.lit(True) if high is None else F.col("leader") <= int(high)
+        some = pairs.where(inside)
+        if found:
+            some = some.join(reduce(DataFrame.unionByName, found).select("document_id"), "document_id", "left_anti")
+        lists = some.groupBy("document_id").agg(F.collect_set("leader").alias("leaders")).join(left, "document_id")
+        met = lists.select("document_id", "n", "words", F.explode("leaders").alias("leader")).join(F.broadcast(right.where(inside)), "leader")
+        found.append(persist_table(met.where(similar).groupBy("document_id").agg(F.min("leader").alias("repeat_of")), "partners"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def corpus_near_duplicates(
@@ -148,9 +163,9 @@ def corpus_near_duplicates(
         "first.document_id", "first.words"
     )
     # The search moves ids often: they become numbers in their order.
-    distinct = persist_table(distinct.where(F.col("document_id").isNotNull()), "distinct-words")
-    numbers = persist_table(numbered(distinct.select("document_id").distinct()), "numbers")
-    entries = distinct.join(numbers, "document_id").select(F.col("number").alias("document_id"), "words")
+    distinct = persist_table(distinct, "distinct-words")
+    numbers = persist_table(numbered(distinct.select("document_id").where(F.col("document_id").isNotNull()).distinct()), "numbers")
+    entries = distinct.join(numbers, "document_id", "left").select(F.col("number").alias("document_id"), "words")
     entries = persist_table(shared_words(entries, overlap), "distinct-sets")
     rounds = max(1, math.ceil(math.log(max(entries.count(), 2), growth)))
     found: DataFrame | None = None
@@ -169,7 +184,7 @@ def corpus_near_duplicates(
             flagged = flagged.join(done, "document_id", "left").withColumn("open", F.col("done").isNull()).drop("done")
             flagged = persist_table(flagged, "flagged")
         pairs = round_candidates(flagged, last=step == 1)
-        partners = partners_below(pairs, entries, overlap)
+        partners = partners_below(pairs, entries, flagged.where("leads"), overlap)
         found = persist_table(partners if found is None else found.unionByName(partners), "partners")
         forget(pairs, *([] if step == rounds else [flagged]))
         lower = upper

@@ -146,6 +146,15 @@ def test_keyword_grid_moves_only_the_best(spark):
     }.items()
 
 
+def test_keyword_search_puts_chunks_without_an_id_first(spark):
+    rows = [(name, "d", None, [("apple", 1, 0.1)]) for name in ("b", None, "a")]
+    terms = spark.createDataFrame(rows, f"chunk_id string, document_id string, doc_type string, terms {keyword.TERMS_TYPE}").coalesce(1)
+    asked = spark.createDataFrame([(1, "apple")], "query_id int, question string")
+    for bound in (100, 0):
+        found = keyword.keyword_topk(asked, terms, 2, broadcast_rows=bound).orderBy("rank").collect()
+        assert [r.chunk_id for r in found] == [None, "a"]
+
+
 def test_term_counts_are_by_document_and_stem(spark):
     from passagemill.functions import stem
 
@@ -227,6 +236,7 @@ def test_duplicates_found_in_slices_of_the_words(spark, monkeypatch, sent):
     """The pairs of a round are written slice by slice, so no join moves the postings of all words."""
     monkeypatch.setattr(duplicates, "BROADCAST_POSTINGS", sent)
     monkeypatch.setattr(duplicates, "SLICE_POSTINGS", 150)
+    monkeypatch.setattr(duplicates, "SENT_WORDS", 100)
     calls = []
     real = duplicates.candidates
     monkeypatch.setattr(duplicates, "candidates", lambda *a, **b: calls.append(b) or real(*a, **b))
