@@ -105,7 +105,7 @@ def hashed_sets(texts: DataFrame, hashes: Callable[[str | None], np.ndarray]) ->
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``) that reach the bound, written."""
+    """Those of ``pairs`` (``a``, ``b``) that reach the bound, written. ``sets`` is a written table, so the joins can split it as it is."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,14 +121,13 @@ def verified(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     one, two = (sets.select(F.col("set").alias(key), F.col("hashes").alias(name)) for key, name in (("a", "one"), ("b", "two")))
-    met = pairs.join(apart(one, "a"), "a").join(apart(two, "b"), "b").select("a", "b", "one", "two")
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two")
     return persist_table(met.mapInArrow(kernel, "a binary, b binary"), "set-links")
 
 
 def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` (``set``, ...) with ``root``; a set without links is its own."""
-    named = apart(roots.select(F.col("node").alias("set"), "root"), "set")
-    return rows.join(named, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    """``rows`` (``set``, ...) with ``root`` (see ``components``); a set without links is its own."""
+    return rows.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
 
 
 def postings(sets: DataFrame, bound: Bound) -> DataFrame:
@@ -155,7 +154,7 @@ def postings(sets: DataFrame, bound: Bound) -> DataFrame:
 
 def sketched(posted: DataFrame, sets: DataFrame) -> DataFrame:
     """``posted`` with the sketches, which are wide and so join it only where pairs are formed."""
-    return posted.join(apart(sets.select("set", *SKETCH), "set"), "set")
+    return posted.join(sets.select("set", *SKETCH), "set")
 
 
 def candidates(posted: DataFrame, short: DataFrame, bound: Bound) -> DataFrame:
@@ -188,7 +187,7 @@ def exact_links(sets: DataFrame, roots: DataFrame, bound: Bound) -> DataFrame:
     joined = rooted(links.withColumnRenamed("a", "set"), roots).select(F.col("root").alias("a"), "b")
     joined = rooted(joined.withColumnRenamed("b", "set"), roots).select("a", F.col("root").alias("b"))
     merged = components(joined).select("node", F.col("root").alias("merged"))
-    again = posted.join(apart(merged.withColumnRenamed("node", "root"), "root"), "root", "left").withColumn("root", F.coalesce("merged", "root")).drop("merged")
+    again = posted.join(merged.withColumnRenamed("node", "root"), "root", "left").withColumn("root", F.coalesce("merged", "root")).drop("merged")
     again = persist_table(again, "postings")
     mixed = again.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
     rest = persist_table(again.join(apart(mixed.select("hash"), "hash"), "hash"), "postings")
@@ -203,8 +202,8 @@ def exact_links(sets: DataFrame, roots: DataFrame, bound: Bound) -> DataFrame:
         return pairs.join(apart(found, "a", "b"), ["a", "b"]).select(low.alias("a"), high.alias("b")).distinct()
 
     near = persist_table(edges(verified(first, sets, bound)), "set-edges")
-    now = persist_table(components(near).withColumnRenamed("node", "set"), "set-roots")
-    now_a, now_b = (apart(now.select(F.col("set").alias(f"root_{name}"), F.col("root").alias(f"now_{name}")), f"root_{name}") for name in "ab")
+    now = components(near)
+    now_a, now_b = (now.select(F.col("node").alias(f"root_{name}"), F.col("root").alias(f"now_{name}")) for name in "ab")
     still = pairs.join(now_a, "root_a", "left").join(now_b, "root_b", "left").where(F.coalesce("now_a", "root_a") != F.coalesce("now_b", "root_b"))
     far = persist_table(edges(verified(still.select("a", "b"), sets, bound)), "set-edges")
     forget(posted, again, rest, drawn, pairs)
@@ -223,7 +222,7 @@ def linked_sets(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], bound
 
     firsts = members.where(F.col("set") != F.col("first")).groupBy("set").agg(F.min("first").alias("a"))
     links = verified(firsts.select("a", F.col("set").alias("b")), sets, bound)
-    roots = persist_table(components(links), "set-roots")
+    roots = components(links)
 
     placed = rooted(members, roots)
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))

@@ -1,6 +1,7 @@
 """Each operator on small tables against brute force: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -15,6 +16,7 @@ from passagemill.llm import (
     bpe_automaton, components, exact_dedup, language_id, line_dedup, packing, quality, simhash, substring_dedup, tables, token_counts, warc,
     winnowing,
 )
+from passagemill.session import persist_table
 from tests.llm.conftest import CLASHING
 from tests.llm.test_kernels import WORD, simple_fingerprint
 
@@ -202,6 +204,40 @@ def test_components_of_paths_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+def test_components_of_random_graphs(spark):
+    """Nodes as bytes, edges twice and both ways, at densities where components are many, one, or chains."""
+    for seed, count in ((1, 30), (2, 60), (3, 200)):
+        pick = random.Random(seed)
+        edges = [(pick.randrange(60), pick.randrange(60)) for _ in range(count)]
+        edges += [(b, a) for a, b in edges[::3]] + edges[::4]
+        least = list(range(60))
+        for _ in range(60):
+            for a, b in edges:
+                least[a] = least[b] = min(least[a], least[b])
+        found = components.components(spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in edges], "a binary, b binary")).collect()
+        linked = {x for a, b in edges if a != b for x in (a, b)}
+        assert sorted((r.node[0], r.root[0]) for r in found) == [(x, least[x]) for x in sorted(linked)]
+
+
+def test_components_end_with_the_stars(spark, monkeypatch):
+    """Once edges are stars the next table says so; no whole round goes over them again, and tables of rounds do not stay."""
+    written = []
+
+    def persist(df, name):
+        written.append((name, persist_table(df, name)))
+        return written[-1][1]
+
+    monkeypatch.setattr(components, "persist_table", persist)
+    stars = spark.createDataFrame([(root, root + i) for root in (10, 40) for i in range(1, 20)], "a int, b int")
+    found = components.components(stars)
+    assert {(r.node, r.root) for r in found.collect()} == {(root + i, root) for root in (10, 40) for i in range(20)}
+    assert [name for name, _ in written] == ["edges", "least"]
+    path = components.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a int, b int"))
+    assert {r.root for r in path.collect()} == {0}
+    left = [name for name, table in written for file in table.inputFiles()[:1] if os.path.exists(file.removeprefix("file://"))]
+    assert left == ["least", "least"]
+
+
 def test_packing(documents):
     pick = random.Random(2)
     rows = [(i, "w " * pick.choice([0, 1, 3, 10, 50, 51, 900, 3000])) for i in range(400)] + [(None, None), (None, "a\nb"), (1, "same"), (1, "same")]
