@@ -16,7 +16,7 @@ from passagemill.llm import set_links
 from passagemill.llm.arrow import mix
 from passagemill.llm.components import components
 from passagemill.llm.simhash import shingle_hashes, simhash_components
-from passagemill.llm.tables import drop_documents
+from passagemill.llm.tables import apart, drop_documents
 from passagemill.session import persist_table
 
 SIZE = 5
@@ -65,7 +65,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edges = rows.join(over, "print").where("root <> a").select("a", F.col("root").alias("b"))
     joined = components(edges).select(F.col("node").alias("root"), F.col("root").alias("whole"))
     named = persist_table(rows.join(joined, "root", "left").select("_id", "_mark", F.coalesce("whole", "root").alias("whole")), "named")
-    return named.join(named.groupBy("whole").agg(F.min("_id").alias("component_id")), "whole").select("_id", "_mark", "component_id")
+    return named.join(apart(named.groupBy("whole").agg(F.min("_id").alias("component_id")), "whole"), "whole").select("_id", "_mark", "component_id")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprints: bool = False) -> DataFrame:

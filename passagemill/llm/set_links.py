@@ -158,7 +158,7 @@ def sketched(posted: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def candidates(posted: DataFrame, short: DataFrame, bound: Bound) -> DataFrame:
-    """Pairs ``a``, ``b`` of different roots that share a hash where it leaves enough to share.
+    """Pairs ``a``, ``b`` of different roots ``root_a``, ``root_b`` that share a hash where it leaves enough to share.
 
     Of two similar sets the shorter one has the first hash that they share among its first ``n - s + 1``, where ``s`` is what
     it shares with a set of its size; at that hash, no more than what follows in either can be shared. Sketches that differ
@@ -174,7 +174,19 @@ def candidates(posted: DataFrame, short: DataFrame, bound: Bound) -> DataFrame:
     differ = (F.bit_count(F.col(name).bitwiseXOR(F.col(f"short_{name}"))) for name in SKETCH)
     fits &= functools.reduce(operator.add, differ) <= n + F.col("short_n") - needed * 2
     pairs = posted.join(meets, "hash").where(fits)
-    return pairs.select(F.least("set", "short_set").alias("a"), F.greatest("set", "short_set").alias("b")).distinct()
+    one, two = F.struct("set", "root"), F.struct(F.col("short_set").alias("set"), F.col("short_root").alias("root"))
+    met = pairs.select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two"))
+    return met.select(*(F.col(f"{side}.set").alias(name) for side, name in (("one", "a"), ("two", "b"))), F.col("one.root").alias("root_a"), F.col("two.root").alias("root_b")).distinct()
+
+
+def still_mixed(posted: DataFrame, roots: DataFrame) -> DataFrame:
+    """``posted`` (see ``postings``) with the roots of its roots (``node``, ``root``), under hashes that lie in several; written."""
+    now = roots.select(F.col("node").alias("root"), F.col("root").alias("now"))
+    again = persist_table(posted.join(now, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now"), "postings")
+    mixed = again.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
+    rest = persist_table(again.join(apart(mixed.select("hash"), "hash"), "hash"), "postings")
+    forget(again)
+    return rest
 
 
 def exact_links(sets: DataFrame, roots: DataFrame, bound: Bound) -> DataFrame:
@@ -186,30 +198,31 @@ def exact_links(sets: DataFrame, roots: DataFrame, bound: Bound) -> DataFrame:
     links = verified(candidates(sketched(posted, sets), sketched(least, sets), bound), sets, bound)
     joined = rooted(links.withColumnRenamed("a", "set"), roots).select(F.col("root").alias("a"), "b")
     joined = rooted(joined.withColumnRenamed("b", "set"), roots).select("a", F.col("root").alias("b"))
-    merged = components(joined).select("node", F.col("root").alias("merged"))
-    again = posted.join(merged.withColumnRenamed("node", "root"), "root", "left").withColumn("root", F.coalesce("merged", "root")).drop("merged")
-    again = persist_table(again, "postings")
-    mixed = again.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
-    rest = persist_table(again.join(apart(mixed.select("hash"), "hash"), "hash"), "postings")
-    # Many pairs of two components would say the same. One of each is compared first, then all between those still apart.
-    of_a, of_b = (apart(rest.select(F.col("set").alias(name), F.col("root").alias(f"root_{name}")).distinct(), name) for name in "ab")
-    drawn = persist_table(sketched(rest, sets), "postings")
-    pairs = persist_table(candidates(drawn, drawn.where(shorter), bound).join(of_a, "a").join(of_b, "b"), "set-pairs")
-    low, high = F.least("root_a", "root_b"), F.greatest("root_a", "root_b")
-    first = pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.min(F.struct("a", "b")).alias("one")).select("one.*")
-
-    def edges(found: DataFrame) -> DataFrame:
-        return pairs.join(apart(found, "a", "b"), ["a", "b"]).select(low.alias("a"), high.alias("b")).distinct()
-
-    near = persist_table(edges(verified(first, sets, bound)), "set-edges")
-    now = components(near)
-    now_a, now_b = (now.select(F.col("node").alias(f"root_{name}"), F.col("root").alias(f"now_{name}")) for name in "ab")
-    still = pairs.join(now_a, "root_a", "left").join(now_b, "root_b", "left").where(F.coalesce("now_a", "root_a") != F.coalesce("now_b", "root_b"))
-    far = persist_table(edges(verified(still.select("a", "b"), sets, bound)), "set-edges")
-    forget(posted, again, rest, drawn, pairs)
+    rest = still_mixed(posted, components(joined))
+    # All pairs of two components would say the same, and a pair meets under each hash that it shares. So one set of each component
+    # stands for it under a hash, one pair of two components is compared, and only what is still apart then forms all its pairs.
+    stand = rest.groupBy("hash", "root").agg(F.min(F.struct("place", "n", "set")).alias("one")).select("hash", "root", "one.*")
+    drawn = persist_table(sketched(stand, sets), "postings")
+    pairs = persist_table(candidates(drawn, drawn.where(shorter), bound), "set-pairs")
+    near = compared(pairs, pairs.groupBy(*ends()).agg(F.min(F.struct("a", "b")).alias("one")).select("one.*"), sets, bound)
+    left = still_mixed(rest, components(near))
+    full = persist_table(sketched(left, sets), "postings")
+    every = persist_table(candidates(full, full.where(shorter), bound), "set-pairs")
+    far = compared(every, every.select("a", "b"), sets, bound)
+    forget(posted, rest, drawn, pairs, left, full, every)
     return links.unionByName(near).unionByName(far)
 
 
+def ends() -> tuple[Column, Column]:
+    return F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")
+
+
+def compared(pairs: DataFrame, asked: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
+    """``a`` and ``b``: the roots of those of the ``pairs`` (see ``candidates``) that are ``asked`` for and reach the bound; written."""
+    found = pairs.join(apart(verified(asked, sets, bound), "a", "b"), ["a", "b"])
+    return persist_table(found.select(*ends()).distinct().toDF("a", "b"), "set-edges")
+
+
 def linked_sets(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], bound: Bound) -> DataFrame:
     """``node`` and ``root`` of the sets that are linked to another one.
 
