@@ -119,6 +119,25 @@ def test_pages_of_two_templates_and_a_crowd_of_copies(spark, documents):
         assert held == root
 
 
+def test_two_large_components_meet_by_one_pair(spark, monkeypatch):
+    """All pairs of two components are similar, but the first set of each hash is similar to none of them."""
+    core = range(1000, 1099)
+    held = {bytes([0, h - 1000]): [h] for h in core} | {bytes([kind, i]): [*core, 5000 + 100 * kind + i] for kind in (1, 2) for i in range(30)}
+    rows = [(bytearray(name), hashes, *set_links.sketch(np.array(hashes, dtype=np.uint64)).tolist()) for name, hashes in held.items()]
+    sets = spark.createDataFrame(rows, "set binary, hashes array<bigint>, " + ", ".join(f"{name} bigint" for name in set_links.SKETCH))
+    roots = spark.createDataFrame([(bytearray([kind, i]), bytearray([kind, 0])) for kind in (1, 2) for i in range(30)], "node binary, root binary")
+    met, real = [], set_links.candidates
+
+    def counted(*args):
+        met.append((found := real(*args)).count())
+        return found
+
+    monkeypatch.setattr(set_links, "candidates", counted)
+    links = set_links.exact_links(sets, roots, set_links.Bound(5, 4)).collect()
+    assert {(bytes(r.a), bytes(r.b)) for r in links} == {(bytes([1, 0]), bytes([2, 0]))}
+    assert sum(met) == 1  # of 900
+
+
 def test_circulant_tables(spark, documents):
     found = circulant.near_duplicates(documents([], ("_id", "set", "keys", "n", "root", "hash")))
     assert found.columns == ["doc_id", "n_shingles", "component_id", "kept"] and found.collect() == []
