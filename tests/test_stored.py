@@ -143,3 +143,17 @@ def test_frequencies_count_documents_once(spark):
     # No aggregate is keyed by document and lexeme.
     plan = frequencies._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Aggregate [document_id" in line and "lexeme" in line.split("]")[0]]
+
+
+@pytest.mark.parametrize("wanted", [0, 1, 51, postings.PUSHED_VALUES])
+def test_long_lists_of_values_reach_the_scan(spark, tmp_path, wanted):
+    """As many values as are ever pushed, whatever the stack of the reading thread."""
+    rows = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("chunk_id"), "id")
+    rows.unionByName(spark.createDataFrame([(None, -1)], rows.schema)).coalesce(1).sortWithinPartitions("chunk_id").write.parquet(str(tmp_path / "rows"))
+    written = spark.read.parquet(str(tmp_path / "rows"))
+    values = [row.chunk_id for row in written.where(F.col("id") >= 0).orderBy("id").limit(wanted).collect()]
+    found = postings.having(written, "chunk_id", values)
+    assert sorted(row.id for row in found.collect()) == list(range(wanted))
+    assert postings.having(written, "chunk_id", [*values, None]).count() == wanted
+    if wanted:
+        assert "PushedFilters: []" not in found._jdf.queryExecution().executedPlan().toString()
