@@ -12,6 +12,7 @@ from passagemill.functions.markdown import ChunkLimits
 from passagemill.operators import embed, limiter
 from passagemill.plans import retrieval
 from passagemill.plans.ingest import Options, open_index, run_ingest
+from passagemill.sources import corpus as sources
 from passagemill.sources.corpus import scan_corpus, with_hash, write_files
 from passagemill.sources.index_store import IndexStore
 from passagemill.streaming import activity, feed
@@ -288,3 +289,28 @@ def test_files_are_written_by_the_tasks(spark, tmp_path):
         assert found == {
             f"source={source or '__HIVE_DEFAULT_PARTITION__'}/doc_id={n}/part.txt": (text or "") + "\n" for n, source, text in rows[:most] if n != 7
         }
+
+
+def test_the_driver_lists_no_files(spark, tmp_path, monkeypatch):
+    """The tasks list folders, in rounds, and read the files; what Spark's listing hides or the reader misses is left out."""
+    root = tmp_path / "docs"
+    monkeypatch.setattr(sources, "DESCENDED", 2)
+    shown = ["a.md", "b/c d.md", "b/é.md", "day=1/_x=2/e.md", "b/deep/er/f.md", "m%20n.md", *(f"many/d{n}/g.md" for n in range(12))]
+    for name in (*shown, "_x.md", ".h.md", "_tmp/i.md", ".git/j.md", "k.md._COPYING_", "node_modules/l.md", "a.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    (root / "nowhere.md").symlink_to(root / "missing")
+    (root / "linked.md").symlink_to(root / "a.md")
+    gone = scan_corpus(spark, str(root))
+    assert gone.inputFiles() and not any(name.endswith(".md") for name in gone.inputFiles())
+    for place in (str(root), f"{root}/", f"file://{root}"):
+        found = {r.source_path: r.content for r in scan_corpus(spark, place).collect()}
+        assert found == {name: name for name in shown} | {"linked.md": "a.md"}
+    (root / "b/c d.md").unlink()
+    assert {r.source_path for r in gone.collect()} == {*shown, "linked.md"} - {"b/c d.md"}
+    kinds = {r.source_path: r.content for r in sources.spark_files(spark, str(root)).collect()}
+    assert {name for name in kinds if name.endswith(".md") and "node_modules" not in name} == {*shown, "linked.md"} - {"b/c d.md"}
+    (root / "empty").mkdir()
+    assert scan_corpus(spark, str(root / "empty")).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        scan_corpus(spark, str(root / "none"))
