@@ -12,6 +12,7 @@ from passagemill.functions.markdown import ChunkLimits
 from passagemill.operators import embed, limiter
 from passagemill.plans import retrieval
 from passagemill.plans.ingest import Options, open_index, run_ingest
+from passagemill import session
 from passagemill.sources import corpus as sources
 from passagemill.sources.corpus import scan_corpus, with_hash, write_files
 from passagemill.sources.index_store import IndexStore
@@ -314,3 +315,20 @@ def test_the_driver_lists_no_files(spark, tmp_path, monkeypatch):
     assert scan_corpus(spark, str(root / "empty")).count() == 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         scan_corpus(spark, str(root / "none"))
+
+
+def test_a_run_leaves_no_scratch_tables(spark, tmp_path, monkeypatch):
+    """What a run or a batch wrote for itself goes once it is published; a blank in the path does not matter."""
+    scratch = tmp_path / "own scratch"
+    monkeypatch.setattr(session, "scratch_dir", lambda _: str(scratch))
+    left = lambda: {path.name.rsplit("-", 5)[0] for path in scratch.iterdir()} - {"summary"}
+    store = IndexStore(spark, str(tmp_path / "index"))
+    run_ingest(store, corpus(spark, {"a.md": "alpha", "b.md": "beta"}), "r1")
+    run_ingest(store, corpus(spark, {"a.md": "alpha", "b.md": "beta"}), "r2")
+    assert left() == set() and paths(store) == ["a.md", "b.md"]
+    batch = spark.createDataFrame([("c.md", "gamma", "upsert", 1), ("a.md", None, "delete", 2)], feed.CHANGE_SCHEMA)
+    feed.apply_changes(store, batch, 0)
+    assert left() == set() and paths(store) == ["b.md", "c.md"]
+    assert {r.content for r in store.chunks(store.manifest()).collect()} == {"beta", "gamma"}
+    files = [path.name for path in (tmp_path / "index").rglob("chunks/**/*.parquet")]
+    assert files and all(".zstd." in name for name in files)
