@@ -7,8 +7,12 @@ words overlap by the bound. The result grows with the documents, not with the pa
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ BROADCASTS = 16
 SLICE_POSTINGS = 10_000_000
 #: Words of the leaders that are sent to every task at once to compare pairs: 32 MB.
 SENT_WORDS = 4_000_000
+#: Leaders that a document meets at once.
+MET_LEADERS = 256
 SKETCHES = [f"sketch_{number}" for number in range(SKETCH_LONGS)]
 
 
@@ -135,7 +141,6 @@ def partners_below(pairs: DataFrame, sets: DataFrame, leaders: DataFrame, overla
     right = leaders.select(F.col("document_id").alias("leader"), F.col("n").alias("leader_n"), F.col("words").alias("leader_words"))
     slices = max(1, -(-(leaders.agg(F.sum(F.size("words"))).first()[0] or 0) // SENT_WORDS))
     edges = leaders.approxQuantile("document_id", [part / slices for part in range(1, slices)], 0.1 / slices) if slices > 1 else []
-    similar = F.size(F.array_intersect("words", "leader_words")) / F.least("n", "leader_n") >= overlap
     found: list[DataFrame] = []
     for low, high in zip([None, *edges], [*edges, None]):
         inside = F.lit(True) if low is None else F.col("leader") > int(low)
@@ -144,11 +149,67 @@ def partners_below(pairs: DataFrame, sets: DataFrame, leaders: DataFrame, overla
         if found:
             some = some.join(reduce(DataFrame.unionByName, found).select("document_id"), "document_id", "left_anti")
         lists = some.groupBy("document_id").agg(F.collect_set("leader").alias("leaders")).join(left, "document_id")
-        met = lists.select("document_id", "n", "words", F.explode("leaders").alias("leader")).join(F.broadcast(right.where(inside)), "leader")
-        found.append(persist_table(met.where(similar).groupBy("document_id").agg(F.min("leader").alias("repeat_of")), "partners"))
+        met = lowest_partners(lists, right.where(inside), overlap)
+        found.append(persist_table(met.groupBy("document_id").agg(F.min("repeat_of").alias("repeat_of")), "partners"))
     return reduce(DataFrame.unionByName, found)
 
 
+def lowest_partners(lists: DataFrame, leaders: DataFrame, overlap: float) -> DataFrame:
+    """The lowest of the ``leaders`` of each row of ``lists`` that overlaps with it.
+
+    The words of all leaders go to every task as numbers. A document marks its own, and the marks of its leaders are summed a few
+    leaders at a time, the lowest first: no row is made for a pair, and no word is hashed for one.
+    """
+    sent = leaders.select("leader", "leader_n", F.array_distinct("leader_words").alias("leader_words")).orderBy("leader").toArrow().combine_chunks()
+    lengths = pc.list_value_length(sent["leader_words"]).to_numpy()
+    vocabulary, codes = np.unique(pc.list_flatten(sent["leader_words"]).to_numpy(), return_inverse=True)
+    ids, sizes = sent["leader"].to_numpy(), sent["leader_n"].to_numpy()
+    shared = lists.sparkSession.sparkContext.broadcast((ids, sizes, np.append(0, np.cumsum(lengths)), vocabulary, codes.astype(np.int32)))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, starts, vocabulary, codes = shared.value
+        marks = np.zeros(len(vocabulary), dtype=np.int32)
+
+        def lowest(n: int, words: np.ndarray, asked: np.ndarray) -> int | None:
+            # Ids may come twice.
+            first, last = np.searchsorted(ids, asked, "left"), np.searchsorted(ids, asked, "right")
+            places = np.repeat(first, last - first) + ranges(last - first)
+            known = np.searchsorted(vocabulary, words)
+            inside = known < len(vocabulary)
+            known = known[inside][vocabulary[known[inside]] == words[inside]]
+            marks[known] = 1
+            found = None
+            for begin in range(0, len(places), MET_LEADERS):
+                some = places[begin : begin + MET_LEADERS]
+                held = starts[some + 1] - starts[some]
+                sums = np.append(0, np.cumsum(marks[codes[np.repeat(starts[some], held) + ranges(held)]]))
+                ends = np.cumsum(held)
+                common = sums[ends] - sums[ends - held]
+                passed = np.flatnonzero(common / np.minimum(n, sizes[some]) >= overlap)
+                if len(passed):
+                    found = int(ids[some[passed[0]]])
+                    break
+            marks[known] = 0
+            return found
+
+        for batch in batches:
+            words, asked = (split_lists(batch[name]) for name in ("words", "leaders"))
+            best = [lowest(n, mine, np.sort(theirs)) for n, mine, theirs in zip(batch["n"].to_pylist(), words, asked)]
+            made = pa.RecordBatch.from_arrays([batch["document_id"], pa.array(best, pa.int64())], ["document_id", "repeat_of"])
+            yield made.filter(made["repeat_of"].is_valid())
+
+    return lists.select("document_id", "n", "words", "leaders").mapInArrow(kernel, "document_id bigint, repeat_of bigint")
+
+
+def ranges(counts: np.ndarray) -> np.ndarray:
+    """``0 .. count - 1`` for each count, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def split_lists(column: pa.Array) -> list[np.ndarray]:
+    return np.split(column.flatten().to_numpy(), np.cumsum(pc.list_value_length(column).to_numpy())[:-1])
+
+
 def corpus_near_duplicates(
     documents: DataFrame, overlap: float = K.DUPLICATE_OVERLAP, growth: int = 256
 ) -> DataFrame:

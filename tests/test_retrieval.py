@@ -392,3 +392,25 @@ def test_vectors_without_a_direction_hide_no_others(spark):
     for options in ({}, {"broadcast_values": 0}):
         hits = vector.vector_topk(asked, chunks, 2, **options).collect()
         assert [(r.query_id, r.chunk_id, r["rank"]) for r in sorted(hits, key=lambda r: r["rank"])] == [(1, 1, 1), (1, 4, 2)]
+
+
+def test_pairs_are_compared_without_a_row_for_each(spark, monkeypatch):
+    """The lowest overlapping leader of each document, whatever number of leaders is met at once; no join of pairs with words."""
+    monkeypatch.setattr(duplicates, "MET_LEADERS", 3)
+    picker = random.Random(8)
+    sets = [(n, picker.sample(range(-40, 40), picker.randint(1, 20))) for n in range(50)]
+    pairs = [(n, m) for n in range(50) for m in range(n) if picker.random() < 0.7]
+    entries = spark.createDataFrame([(n, len(words) + n % 2, words) for n, words in sets], "document_id long, n int, words array<long>")
+    table = spark.createDataFrame(pairs, "document_id long, leader long")
+    want = {}
+    for n, m in pairs:
+        common = len(set(sets[n][1]) & set(sets[m][1]))
+        if common / min(len(sets[n][1]) + n % 2, len(sets[m][1]) + m % 2) >= 0.4:
+            want[n] = min(m, want.get(n, m))
+    found = duplicates.partners_below(table, entries, entries, 0.4)
+    assert {r.document_id: r.repeat_of for r in found.collect()} == want and len(want) > 20
+    lists = table.groupBy("document_id").agg(F.collect_set("leader").alias("leaders")).join(entries, "document_id")
+    named = entries.select(F.col("document_id").alias("leader"), F.col("n").alias("leader_n"), F.col("words").alias("leader_words"))
+    plan = duplicates.lowest_partners(lists, named, 0.4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    assert duplicates.lowest_partners(lists, named.limit(0), 0.4).count() == 0
