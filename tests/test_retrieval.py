@@ -414,3 +414,13 @@ def test_pairs_are_compared_without_a_row_for_each(spark, monkeypatch):
     plan = duplicates.lowest_partners(lists, named, 0.4)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
     assert duplicates.lowest_partners(lists, named.limit(0), 0.4).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_values", [0, vector.BROADCAST_VALUES])
+def test_chunks_without_an_id_are_found_by_vector(spark, broadcast_values):
+    chunks = spark.createDataFrame(
+        [(None, [1.0, 0.0]), ("b", [1.0, 0.0]), ("a", [1.0, 0.0]), (None, [0.0, 1.0])], "chunk_id string, embedding array<double>"
+    ).coalesce(1)
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    found = vector.vector_topk(asked, chunks, 2, broadcast_values=broadcast_values).orderBy("rank").collect()
+    assert [(r.chunk_id, r.raw_score) for r in found] == [(None, 1.0), ("a", 1.0), ("b", 1.0), (None, 0.0)]
